@@ -63,7 +63,7 @@ def group_movers(stacked: DataFrame, key: str, value: str, old: str, new: str, *
     Both snapshots' medians come from one grouped median over (label, key); an
     inner join keeps groups present in both with at least ``min_rows`` rows.
     """
-    from ..functions.numeric import pct, round_half_up
+    from ..functions.numeric import round_half_up, safe_ratio
     two = stacked.where(F.col(label).isin(old, new) & F.col(key).isNotNull())
     med = grouped_median(two, [label, key], value, "__med")
     cnt = two.groupBy(label, key).agg(F.count(value).alias("__n"))
@@ -71,7 +71,7 @@ def group_movers(stacked: DataFrame, key: str, value: str, old: str, new: str, *
     o = s.where(F.col(label) == old).select(key, F.col("__med").alias("median_old"), F.col("__n").alias("n_old"))
     n = s.where(F.col(label) == new).select(key, F.col("__med").alias("median_new"), F.col("__n").alias("n_new"))
     m = n.join(o, key, "inner").where((F.col("n_new") >= min_rows) & (F.col("n_old") >= min_rows))
-    m = m.withColumn("change_pct", pct(F.col("median_new") - F.col("median_old"), F.col("median_old")))
+    m = m.withColumn("change_pct", (safe_ratio("median_new", "median_old") - F.lit(1.0)) * F.lit(100.0))
     m = m.orderBy(F.abs("change_pct").desc(), F.col(key).asc()).limit(k)
     return m.select(key, round_half_up("median_old", digits).alias("median_old"),
                     round_half_up("median_new", digits).alias("median_new"),
