@@ -10,9 +10,12 @@ operator here selects the middle rank(s) by narrowing histograms instead:
    A window over the <= few-thousand buckets of a group gives the group size
    ``n``, the target ranks ``(n+1) div 2`` and ``(n+2) div 2`` (1-based, the
    "mean of the two middles" rule) and the bucket that holds each rank.
-2. Each further pass re-buckets only the rows inside the chosen value interval
-   into ``buckets`` equal-width sub-buckets of that interval (still partial
-   aggregations), narrowing it again.
+2. While a chosen interval still holds more than ``final_max_rows`` rows, a
+   further pass re-buckets only the rows inside it into ``buckets`` equal-width
+   sub-buckets (still partial aggregations), narrowing it again.
+   The per-group target table (<= 2 rows per group) is checkpointed after each
+   pass, so the data scan behind it is not recomputed, and it is broadcast only
+   when its counted size is under ``BROADCAST_MAX_ROWS``.
 3. A target whose interval holds a single distinct value is answered without a
    sort. Only the remaining rows - about n / (coarse buckets x buckets) for a
    hot group - get a ``row_number`` to pick the exact rank.
@@ -58,21 +61,44 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
 
 def _pick_targets(h: DataFrame, gkeys: list[str], part: list[str]) -> DataFrame:
     """From per-bucket counts (cnt, lo_b, hi_b) with a running total, keep one row per
-    target rank: the bucket that holds it, with the rows below it."""
+    target rank: the bucket that holds it, with the rows below it and its size."""
     w = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("__cum", F.sum("__c").over(w) + F.col("__below"))
     first = F.col("__cum") - F.col("__c")
     hit = F.filter("__ks", lambda k: (k > first) & (k <= F.col("__cum")))
     return (h.where(F.size(hit) > 0)
              .select(*gkeys, F.explode(hit).alias("__k"), first.alias("__below"),
-                     F.col("__bl").alias("__lo"), F.col("__bh").alias("__hi")))
+                     F.col("__bl").alias("__lo"), F.col("__bh").alias("__hi"), F.col("__c").alias("__cnt")))
 
 
-def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 2,
-                  buckets: int = 4096, coarse_per_unit: float = 64.0) -> DataFrame:
+# Size bounds of the driver-side decisions below (rows of the small target table).
+BROADCAST_MAX_ROWS = 1_000_000     # a target row is ~100 bytes -> <= ~100 MB broadcast
+FINAL_MAX_ROWS = 2_000_000         # largest interval handed to the final exact sort
+
+
+def _materialise(t: DataFrame) -> tuple[DataFrame, int, int]:
+    """Checkpoint the small target table (cuts lineage: the data scan behind it is
+    not repeated by every later reference) and read its size bounds."""
+    t = t.checkpoint(eager=True)
+    row = t.agg(F.count(F.lit(1)).alias("n"),
+                F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__cnt"))).alias("m")).first()
+    return t, int(row["n"] or 0), int(row["m"] or 0)
+
+
+def _join_targets(x: DataFrame, iv: DataFrame, gkeys: list[str], n_rows: int) -> DataFrame:
+    # Broadcast only with a proven bound (counted above); beyond it a shuffle join,
+    # where AQE splits a hot group's partition (skew join) instead of one task.
+    return _ns_join(x, F.broadcast(iv) if n_rows <= BROADCAST_MAX_ROWS else iv, gkeys)
+
+
+def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
+                  buckets: int = 4096, coarse_per_unit: float = 64.0,
+                  final_max_rows: int = FINAL_MAX_ROWS) -> DataFrame:
     """One row per (group, middle rank) with the exact value at that rank.
 
     Columns: ``keys`` (or ``__all`` when no keys), ``__k`` rank, ``__v`` value.
+    Runs one histogram pass, then refinement passes only while some open
+    interval holds more than ``final_max_rows`` rows (at most ``levels`` passes).
     """
     keys = list(keys)
     gkeys = keys or [_ALL]
@@ -91,19 +117,21 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 2,
               F.floor((F.col("__n") + 1) / 2).cast("long"),
               F.floor((F.col("__n") + 2) / 2).cast("long"))))
           .withColumn("__below", F.lit(0).cast("long")))
-    t = _pick_targets(h, gkeys, gkeys)
+    t, n_t, max_open = _materialise(_pick_targets(h, gkeys, gkeys))
 
-    # Passes 2..levels: equal-width sub-buckets inside each open interval.
-    for _ in range(1, levels):
+    # Further passes: equal-width sub-buckets inside each open interval.
+    level = 1
+    while max_open > final_max_rows and level < levels:
         open_iv = (t.where(F.col("__lo") < F.col("__hi"))
                     .groupBy(*gkeys, "__lo", "__hi", "__below")
                     .agg(F.array_sort(F.collect_set("__k")).alias("__ks")))
-        cand = _ns_join(x, open_iv, gkeys).where(v.between(F.col("__lo"), F.col("__hi")))
+        cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
         h = (cand.groupBy(*gkeys, "__lo", "__hi", "__below", "__ks",
                           _fine_bucket(v, F.col("__lo"), F.col("__hi"), buckets).alias("__b"))
                  .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh")))
         refined = _pick_targets(h, gkeys, gkeys + ["__lo", "__hi"])
-        t = t.where(F.col("__lo") == F.col("__hi")).unionByName(refined)
+        t, n_t, max_open = _materialise(t.where(F.col("__lo") == F.col("__hi")).unionByName(refined))
+        level += 1
 
     # Intervals of one distinct value answer their ranks directly.
     closed = t.where(F.col("__lo") == F.col("__hi")).select(*gkeys, "__k", F.col("__lo").alias(_V))
@@ -111,7 +139,7 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 2,
     open_iv = (t.where(F.col("__lo") < F.col("__hi"))
                 .groupBy(*gkeys, "__lo", "__hi", "__below")
                 .agg(F.collect_set("__k").alias("__ks")))
-    cand = _ns_join(x, open_iv, gkeys).where(v.between(F.col("__lo"), F.col("__hi")))
+    cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
     rn = F.row_number().over(Window.partitionBy(*gkeys, "__lo", "__hi").orderBy(v))
     cand = cand.withColumn("__k", F.col("__below") + rn)
     picked = cand.where(F.array_contains("__ks", F.col("__k"))).select(*gkeys, "__k", _V)
@@ -119,7 +147,7 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 2,
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "median",
-                   *, method: str = "exact", levels: int = 2, buckets: int = 4096) -> DataFrame:
+                   *, method: str = "exact", **kw) -> DataFrame:
     """Exact median of ``value`` per group (G6); mean of the two middle rows for even n.
 
     ``method="exact"``: skew-safe histogram selection (default).
@@ -128,11 +156,12 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
     """
     keys = list(keys)
     if method == "builtin":
-        g = df.groupBy(*keys) if keys else df
+        d = df.where(_value(value).isNotNull() & ~F.isnan(_value(value)))
+        g = d.groupBy(*keys) if keys else d
         return g.agg(F.median(_value(value)).alias(alias))
     if method != "exact":
         raise ValueError(f"unknown median method {method!r}")
-    mv = median_values(df, keys, value, levels=levels, buckets=buckets)
+    mv = median_values(df, keys, value, **kw)
     gkeys = keys or [_ALL]
     out = mv.groupBy(*gkeys).agg(F.avg(_V).alias(alias))
     return out.drop(_ALL) if not keys else out
