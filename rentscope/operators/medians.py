@@ -59,7 +59,7 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
-def _pick_targets(h: DataFrame, gkeys: list[str], part: list[str]) -> DataFrame:
+def _pick_targets(h: DataFrame, gkeys: list[str], part: list[str], carry: Sequence[str] = ()) -> DataFrame:
     """From per-bucket counts (cnt, lo_b, hi_b) with a running total, keep one row per
     target rank: the bucket that holds it, with the rows below it and its size."""
     w = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,10 +67,12 @@ def _pick_targets(h: DataFrame, gkeys: list[str], part: list[str]) -> DataFrame:
     first = F.col("__cum") - F.col("__c")
     hit = F.filter("__ks", lambda k: (k > first) & (k <= F.col("__cum")))
     return (h.where(F.size(hit) > 0)
-             .select(*gkeys, F.explode(hit).alias("__k"), first.alias("__below"),
+             .select(*gkeys, *carry, F.explode(hit).alias("__k"), first.alias("__below"),
                      F.col("__bl").alias("__lo"), F.col("__bh").alias("__hi"), F.col("__c").alias("__cnt")))
 
 
+_STATS = ["__n", "__gsum", "__gmin", "__gmax"]
+
 # Size bounds of the driver-side decisions below (rows of the small target table).
 BROADCAST_MAX_ROWS = 1_000_000     # a target row is ~100 bytes -> <= ~100 MB broadcast
 FINAL_MAX_ROWS = 2_000_000         # largest interval handed to the final exact sort
@@ -96,7 +98,9 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
                   final_max_rows: int = FINAL_MAX_ROWS) -> DataFrame:
     """One row per (group, middle rank) with the exact value at that rank.
 
-    Columns: ``keys`` (or ``__all`` when no keys), ``__k`` rank, ``__v`` value.
+    Columns: ``keys`` (or ``__all`` when no keys), the group statistics
+    ``__n, __gsum, __gmin, __gmax`` (taken from the first histogram for free),
+    ``__k`` rank, ``__v`` value.
     Runs one histogram pass, then refinement passes only while some open
     interval holds more than ``final_max_rows`` rows (at most ``levels`` passes).
     """
@@ -110,60 +114,70 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
 
     # Pass 1: coarse histogram over all rows; group size and target ranks.
     h = (x.groupBy(*gkeys, _coarse_bucket(v, coarse_per_unit).alias("__b"))
-          .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh")))
-    n = F.sum("__c").over(Window.partitionBy(*gkeys))
-    h = (h.withColumn("__n", n)
+          .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh"),
+               F.sum(v).alias("__s")))
+    wg = Window.partitionBy(*gkeys)
+    n = F.sum("__c").over(wg)
+    h = (h.withColumn("__n", n).withColumn("__gsum", F.sum("__s").over(wg))
+          .withColumn("__gmin", F.min("__bl").over(wg)).withColumn("__gmax", F.max("__bh").over(wg))
           .withColumn("__ks", F.array_distinct(F.array(
               F.floor((F.col("__n") + 1) / 2).cast("long"),
               F.floor((F.col("__n") + 2) / 2).cast("long"))))
           .withColumn("__below", F.lit(0).cast("long")))
-    t, n_t, max_open = _materialise(_pick_targets(h, gkeys, gkeys))
+    t, n_t, max_open = _materialise(_pick_targets(h, gkeys, gkeys, _STATS))
 
     # Further passes: equal-width sub-buckets inside each open interval.
     level = 1
     while max_open > final_max_rows and level < levels:
         open_iv = (t.where(F.col("__lo") < F.col("__hi"))
-                    .groupBy(*gkeys, "__lo", "__hi", "__below")
+                    .groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below")
                     .agg(F.array_sort(F.collect_set("__k")).alias("__ks")))
         cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
-        h = (cand.groupBy(*gkeys, "__lo", "__hi", "__below", "__ks",
+        h = (cand.groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below", "__ks",
                           _fine_bucket(v, F.col("__lo"), F.col("__hi"), buckets).alias("__b"))
                  .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh")))
-        refined = _pick_targets(h, gkeys, gkeys + ["__lo", "__hi"])
+        refined = _pick_targets(h, gkeys, gkeys + ["__lo", "__hi"], _STATS)
         t, n_t, max_open = _materialise(t.where(F.col("__lo") == F.col("__hi")).unionByName(refined))
         level += 1
 
     # Intervals of one distinct value answer their ranks directly.
-    closed = t.where(F.col("__lo") == F.col("__hi")).select(*gkeys, "__k", F.col("__lo").alias(_V))
+    closed = t.where(F.col("__lo") == F.col("__hi")).select(*gkeys, *_STATS, "__k", F.col("__lo").alias(_V))
     # The rest: exact rank inside the (now small) interval.
     open_iv = (t.where(F.col("__lo") < F.col("__hi"))
-                .groupBy(*gkeys, "__lo", "__hi", "__below")
+                .groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below")
                 .agg(F.collect_set("__k").alias("__ks")))
     cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
     rn = F.row_number().over(Window.partitionBy(*gkeys, "__lo", "__hi").orderBy(v))
     cand = cand.withColumn("__k", F.col("__below") + rn)
-    picked = cand.where(F.array_contains("__ks", F.col("__k"))).select(*gkeys, "__k", _V)
+    picked = cand.where(F.array_contains("__ks", F.col("__k"))).select(*gkeys, *_STATS, "__k", _V)
     return closed.unionByName(picked)
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "median",
-                   *, method: str = "exact", **kw) -> DataFrame:
+                   *, method: str = "exact", stats: dict[str, str] | None = None, **kw) -> DataFrame:
     """Exact median of ``value`` per group (G6); mean of the two middle rows for even n.
 
     ``method="exact"``: skew-safe histogram selection (default).
     ``method="builtin"``: ``F.median`` - one pass, for groups known to be small.
     Groups whose values are all NULL are absent from the result.
+    ``stats`` maps any of n / sum / avg / min / max to an output column; they
+    describe the same non-NULL values and come from the first pass at no cost.
     """
     keys = list(keys)
+    stats = stats or {}
     if method == "builtin":
         d = df.where(_value(value).isNotNull() & ~F.isnan(_value(value)))
         g = d.groupBy(*keys) if keys else d
-        return g.agg(F.median(_value(value)).alias(alias))
+        fns = {"n": F.count(F.lit(1)), "sum": F.sum(_value(value)), "avg": F.avg(_value(value)),
+               "min": F.min(_value(value)), "max": F.max(_value(value))}
+        return g.agg(F.median(_value(value)).alias(alias), *[fns[k].alias(c) for k, c in stats.items()])
     if method != "exact":
         raise ValueError(f"unknown median method {method!r}")
     mv = median_values(df, keys, value, **kw)
     gkeys = keys or [_ALL]
-    out = mv.groupBy(*gkeys).agg(F.avg(_V).alias(alias))
+    st = {"n": F.max("__n"), "sum": F.max("__gsum"), "avg": F.max("__gsum") / F.max("__n"),
+          "min": F.max("__gmin"), "max": F.max("__gmax")}
+    out = mv.groupBy(*gkeys).agg(F.avg(_V).alias(alias), *[st[k].alias(c) for k, c in stats.items()])
     return out.drop(_ALL) if not keys else out
 
 
@@ -185,10 +199,9 @@ def multi_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
     base = df.where(cond)
     out = None
-    if count_alias:
-        out = (base.groupBy(*keys) if keys else base).agg(F.count(F.lit(1)).alias(count_alias))
-    for name, c in columns.items():
-        m = grouped_median(base, keys, c, name, **kw)
+    for i, (name, c) in enumerate(columns.items()):
+        st = {"n": count_alias} if (i == 0 and count_alias) else None
+        m = grouped_median(base, keys, c, name, stats=st, **kw)
         if out is None:
             out = m
         elif keys:

@@ -25,10 +25,24 @@ NEGATIVE_WORDS = ("bad dirty noisy rude broken poor terrible awful small smell p
                   "cold uncomfortable disappointing").split()
 
 
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work (tokenising whole texts) over the cluster when
+    the scan yields fewer partitions than the default parallelism (e.g. one large
+    row group). At scale the input already has many splits and this is a no-op,
+    so no shuffle is added there. Only planning is needed to decide, no job."""
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the plan as is
+        return df
+    return df.repartition(par) if n < par else df
+
+
 def words(df: DataFrame, text: str, group: Sequence[str], *, separator: str = NON_WORD,
           min_len: int = 4, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """One row per word occurrence (group..., word); stop words removed."""
-    w = df.select(*group, F.explode(tokens(text, separator, min_len)).alias("word"))
+    src = spread_for_cpu(df.select(*group, text))
+    w = src.select(*group, F.explode(tokens(text, separator, min_len)).alias("word"))
     if stop_words:
         w = w.where(~F.col("word").isin(list(stop_words)))
     return w
@@ -43,7 +57,8 @@ def word_top(df: DataFrame, text: str, group: Sequence[str], k: int = 100, **kw)
 def bigram_top(df: DataFrame, text: str, group: Sequence[str], k: int = 20, *,
                separator: str = NON_WORD, min_len: int = 1) -> DataFrame:
     """Top-k adjacent word pairs per group (T2); pairs never cross documents."""
-    toks = df.select(*group, tokens(text, separator, min_len).alias("__w"))
+    src = df.select(*group, text).where(F.col(text).isNotNull())
+    toks = spread_for_cpu(src).select(*group, tokens(text, separator, min_len).alias("__w"))
     toks = toks.select(*group, F.filter("__w", lambda x: F.length(x) > 0).alias("__w"))
     pairs = toks.select(*group, F.explode(bigrams("__w")).alias("bigram"))
     cnt = pairs.groupBy(*group, "bigram").agg(F.count(F.lit(1)).alias("count"))
@@ -59,7 +74,9 @@ def lexicon_rate(df: DataFrame, text: str, group: Sequence[str], *,
     Word counts per text are computed in-row with array functions, so no word
     row is materialised; the group aggregate is a partial sum.
     """
-    toks = df.select(*group, tokens(text, separator, min_len).alias("__w"))
+    # NULL texts are skipped up front: with ANSI off, size(NULL) would count -1 words
+    src = df.select(*group, text).where(F.col(text).isNotNull())
+    toks = spread_for_cpu(src).select(*group, tokens(text, separator, min_len).alias("__w"))
     toks = toks.select(*group, F.filter("__w", lambda x: F.length(x) > 0).alias("__w"))
     pos, neg = F.array(*[F.lit(w) for w in positive]), F.array(*[F.lit(w) for w in negative])
     per_doc = toks.select(*group, F.size("__w").alias("__n"),

@@ -40,9 +40,10 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
     """
     out_key = out_key or key
     priced = df.where(F.col(value) > 0)
-    stats = priced.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__avg"))
-    med = grouped_median(priced, [key], value, "__med")
-    j = stats.join(med, key, "inner")
+    # count and mean come from the median's first pass; the source's inner join
+    # of the two aggregates drops the NULL group, so drop it explicitly.
+    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"})
+    j = j.where(F.col(key).isNotNull())
     if min_rows is not None:
         j = j.where(F.col("__n") >= min_rows)
     j = share_of_total(j, "__n", "__share", digits=share_digits)
@@ -56,11 +57,8 @@ def price_profile(df: DataFrame, key: str, value: str, *, count_alias: str = "n"
                   names: Sequence[str] = ("min_price", "avg_price", "median_price", "max_price")) -> DataFrame:
     """n / min / mean / exact median / max of priced rows per group."""
     priced = df.where(F.col(value) > 0)
-    stats = priced.groupBy(key).agg(F.count(F.lit(1)).alias(count_alias), F.min(value).alias("__mn"),
-                                    F.avg(value).alias("__avg"), F.max(value).alias("__mx"))
-    med = grouped_median(priced, [key], value, "__med")
-    from ..operators.medians import _ns_join
-    j = _ns_join(stats, med, [key])
+    j = grouped_median(priced, [key], value, "__med",
+                       stats={"n": count_alias, "min": "__mn", "avg": "__avg", "max": "__mx"})
     return j.select(key, count_alias, R("__mn", 2).alias(names[0]), R("__avg", 2).alias(names[1]),
                     R("__med", 2).alias(names[2]), R("__mx", 2).alias(names[3]))
 
