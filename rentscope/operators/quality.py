@@ -51,10 +51,17 @@ def load_checks(checks: Mapping[str, Column], df_for: Mapping[str, DataFrame]) -
     """UNION ALL of one-line checks with mixed-type values (QS / U1).
 
     ``checks`` maps name -> aggregate column, ``df_for`` maps name -> source frame.
-    Values are rendered as strings so integers and dates share one column.
+    Checks on the same frame are computed in one aggregate (one scan per
+    source), then unpivoted; values are strings so integers and dates share a column.
     """
+    by_frame: dict[int, tuple[DataFrame, list[str]]] = {}
+    for name in checks:
+        df = df_for[name]
+        by_frame.setdefault(id(df), (df, []))[1].append(name)
     out = None
-    for name, agg in checks.items():
-        one = df_for[name].agg(agg.cast("string").alias("value")).select(F.lit(name).alias("check_name"), "value")
-        out = one if out is None else out.unionByName(one)
+    for df, names in by_frame.values():
+        one = df.agg(*[checks[n].cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+        long = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"c{i}").alias("value"))
+                                              for i, n in enumerate(names)])).alias("r")).select("r.*")
+        out = long if out is None else out.unionByName(long)
     return out

@@ -44,7 +44,8 @@ def mix(df: DataFrame, key: str, n_alias: str = "n", pct_alias: str = "pct", *,
     """
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias(n_alias))
     if drop_null_key:
-        total = df.agg(F.count(F.lit(1))).scalar()
+        # the total comes from the grouped rows (NULL group included), not a second scan
+        total = g.agg(F.sum(n_alias)).scalar()
         return share_of_total(g.where(F.col(key).isNotNull()), n_alias, pct_alias,
                               digits=digits, denominator=total)
     return share_of_total(g, n_alias, pct_alias, digits=digits)
@@ -58,9 +59,9 @@ def top_n_share(df: DataFrame, key: str, n: int, alias: str = "top_share_pct", *
     ``row_number <= n`` filter is planned as a partial window group limit.
     """
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = g.agg(F.sum("__n")).scalar()          # from the aggregate, not a second scan
     if drop_null_key:
         g = g.where(F.col(key).isNotNull())
-    total = df.agg(F.count(F.lit(1))).scalar()
     top = g.orderBy(F.col("__n").desc(), F.col(key).asc()).limit(n)
     out = top.agg(F.sum("__n").alias("top_rows"))
     val = pct(F.col("top_rows"), total)

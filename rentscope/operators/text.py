@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 from ..functions.text import NON_WORD, bigrams, tokens, word_count_spaces
+from .partitioning import spread_for_cpu
 from .topk import top_k_per_group
 
 # Default English stop words (our own list; the source's list is not given).
@@ -25,19 +26,6 @@ NEGATIVE_WORDS = ("bad dirty noisy rude broken poor terrible awful small smell p
                   "cold uncomfortable disappointing").split()
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work (tokenising whole texts) over the cluster when
-    the scan yields fewer partitions than the default parallelism (e.g. one large
-    row group). At scale the input already has many splits and this is a no-op,
-    so no shuffle is added there. Only planning is needed to decide, no job."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the plan as is
-        return df
-    return df.repartition(par) if n < par else df
-
-
 def words(df: DataFrame, text: str, group: Sequence[str], *, separator: str = NON_WORD,
           min_len: int = 4, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """One row per word occurrence (group..., word); stop words removed."""

@@ -88,7 +88,7 @@ def c5_min_nights(calendar: DataFrame) -> DataFrame:
 def b6_min_nights_wide(listings: DataFrame) -> DataFrame:
     """Bands 1 / 2-7 / 8-30 / 31+ on listings, spread to columns, 0.0 default."""
     g = listings.groupBy(band("minimum_nights", **MIN_NIGHT_BANDS_WIDE).alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    g = share_of_total(g, "n", "pct", denominator=listings.agg(F.count(F.lit(1))).scalar())
+    g = share_of_total(g, "n", "pct")       # bands are exhaustive (NULL falls to ELSE): sum = all rows
     return pivot_wide(g, [], "band", "pct", {"1 night": "min_nights_1", "2–7 nights": "min_nights_2_7",
                                              "8–30 nights": "min_nights_8_30", "31+ nights": "min_nights_31plus"},
                       default=0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..operators import assert_unique
+from ..operators.partitioning import spread_for_cpu
 from ..sources import clean_listings, read_listings_raw, write_mart, write_snapshot
 
 
@@ -13,7 +14,7 @@ def build_snapshot(spark: SparkSession, csv_path: str, month: str, table_path: s
     The multi-line CSV is read once (not splittable per file) and written as
     Parquet; every later query reads the Parquet partition.
     """
-    raw = read_listings_raw(spark, csv_path)
+    raw = spread_for_cpu(read_listings_raw(spark, csv_path))   # one task per gzip / multi-line file
     clean = clean_listings(raw)
     assert_unique(clean, ["id"])
     write_snapshot(clean, table_path, month)

@@ -68,29 +68,52 @@ def area_trajectories(stacked: DataFrame, months: list[str], k: int = 8) -> Data
     """Median price per month of the k biggest areas of the latest month, pivoted."""
     from ..operators import grouped_median, pivot_wide, top_k
     priced = stacked.where((F.col("price") > 0) & F.col("neighbourhood_cleansed").isNotNull())
-    latest = priced.agg(F.max("month")).scalar()
-    sizes = priced.where(F.col("month") == latest).groupBy("neighbourhood_cleansed").agg(F.count(F.lit(1)).alias("n"))
-    top = top_k(sizes, [F.col("n").desc()], k, ["neighbourhood_cleansed"]).select("neighbourhood_cleansed")
+    sizes = priced.groupBy("month", "neighbourhood_cleansed").agg(F.count(F.lit(1)).alias("n"))
+    latest = sizes.agg(F.max("month")).scalar()
+    top = top_k(sizes.where(F.col("month") == latest), [F.col("n").desc()], k,
+                ["neighbourhood_cleansed"]).select("neighbourhood_cleansed")
     m = grouped_median(priced.join(top, "neighbourhood_cleansed", "left_semi"), ["month", "neighbourhood_cleansed"],
                        "price", "med").withColumn("med", R("med", 2))
     return pivot_wide(m, ["neighbourhood_cleansed"], "month", "med", {mo: mo for mo in months})
 
 
+def _long(df: DataFrame, metric: str, key: str | None, cols) -> list[DataFrame]:
+    k = F.col(key).cast("string") if key else F.lit("")
+    return [df.select(F.lit(f"{metric}.{c}").alias("metric"), F.coalesce(k, F.lit("NULL")).alias("key"),
+                      F.col(c).cast("double").alias("value")) for c in cols]
+
+
 def metrics_table(listings: DataFrame, month: str) -> DataFrame:
-    """The monthly metrics document as a long table (month, metric, key, value)."""
-    from .listings import a1_top_areas, a3_host_type, q1_nulls
+    """The monthly metrics document (M1-M13) as one long table
+    (month, metric, key, value), ready for ``write.partitionBy('month')``."""
+    from ..operators import count_in_top_k
+    from . import listings as L
+    q0, q1 = L.q0_size(listings), L.q1_nulls(listings)
     parts = []
-    q1 = q1_nulls(listings)
-    parts.append(unpivot_long(q1, [], q1.columns, "metric", "value").select(
-        F.col("metric"), F.lit("").alias("key"), "value"))
-    a1 = a1_top_areas(listings, 15, share_digits=2)
-    for c in ("listings", "pct_of_city_supply", "avg_price", "median_price"):
-        parts.append(a1.select(F.lit(f"top_areas.{c}").alias("metric"), F.col("neighbourhood").alias("key"),
-                               F.col(c).cast("double").alias("value")))
-    a3 = a3_host_type(listings)
-    for c in ("listings", "avg_price", "avg_rating"):
-        parts.append(a3.select(F.lit(f"host_type.{c}").alias("metric"), F.col("host_type").alias("key"),
-                               F.col(c).cast("double").alias("value")))
+    parts += _long(q0.select("listings"), "size", None, ["listings"])                              # M1
+    parts += _long(q1, "quality", None, [c for c in q1.columns])                                     # M1
+    parts += _long(L.q2_room_mix(listings), "room_mix", "room_type", ["n", "pct"])                  # M2
+    parts += _long(L.a2_entire_premium(listings, ratio_of_rounded=True), "premium", None,
+                   ["entire_home_median", "private_room_median", "entire_home_premium_ratio"])      # M3
+    parts += _long(L.a3_host_type(listings), "host_type", "host_type", ["listings", "avg_price", "avg_rating"])  # M4
+    parts += _long(L.a4_rating_bands(listings), "rating_band", "rating_band", ["listings", "avg_price"])        # M5
+    parts += _long(L.a5_availability_bands(listings, priced_only=True), "availability_band", "availability_band",
+                   ["listings", "implied_occupancy_pct"])                                            # M6
+    parts += _long(L.a1_top_areas(listings, 15, share_digits=2), "top_areas", "neighbourhood",
+                   ["listings", "pct_of_city_supply", "avg_price", "median_price"])                  # M7
+    parts += _long(L.a8_host_concentration(listings, keep_null_host=True), "host_size", "host_size_band",
+                   ["hosts", "listings", "pct_of_supply"])                                           # M8
+    parts += _long(L.a9_bedroom_curve(listings, "cast"), "bedrooms", "bedrooms",
+                   ["avg_price", "marginal_cost_of_extra_bedroom"])                                  # M9
+    parts += _long(L.a10_revenue_leaders(listings, min_rows=None, priced_only=True), "revenue", "neighbourhood",
+                   ["avg_est_annual_revenue"])                                                       # M10
+    parts += _long(count_in_top_k(listings, [F.col("number_of_reviews").desc_nulls_last()], 20,
+                                  F.col("room_type") == "Private room", "private_in_top20", ["id"]),
+                   "top_reviewed", None, ["private_in_top20"])                                      # M11
+    parts += _long(L.a7_latest_review_months(listings), "latest_review", "review_month",
+                   ["listings_with_latest_review"])                                                  # M12
+    parts += _long(L.a11_value_picks(listings, k=8).agg(F.count(F.lit(1)).alias("picks")), "value_picks", None,
+                   ["picks"])                                                                        # M13
     gm = global_median(listings.where(F.col("price") > 0), "price", "value")
     parts.append(gm.select(F.lit("median_price").alias("metric"), F.lit("").alias("key"), R("value", 2).alias("value")))
     out = parts[0]

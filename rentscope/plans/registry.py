@@ -49,9 +49,10 @@ def e1_profile(registry: DataFrame) -> DataFrame:
 
 def e2_postal_share(registry: DataFrame) -> DataFrame:
     """Largest postal area (first three characters) and its share."""
-    g = registry.where(F.col("postal_code").isNotNull()).groupBy(
-        F.upper(F.substring("postal_code", 1, 3)).alias("postal_area")).agg(F.count(F.lit(1)).alias("registrations"))
-    g = share_of_total(g, "registrations", "pct", denominator=registry.agg(F.count(F.lit(1))).scalar())
+    g = registry.groupBy(F.upper(F.substring("postal_code", 1, 3)).alias("postal_area")) \
+        .agg(F.count(F.lit(1)).alias("registrations"))
+    total = g.agg(F.sum("registrations")).scalar()     # all rows, NULL area included
+    g = share_of_total(g.where(F.col("postal_area").isNotNull()), "registrations", "pct", denominator=total)
     return top_k(g, [F.col("registrations").desc()], 1, ["postal_area"])
 
 

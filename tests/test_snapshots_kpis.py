@@ -59,8 +59,9 @@ def test_movers_and_trends(stacked):
 def test_metrics_table(stacked):
     m = K.metrics_table(stacked.where(F.col("month") == "2026-06").drop("month"), "2026-06")
     rows = {(r["metric"], r["key"]): r["value"] for r in m.collect()}
-    assert rows[("total_listings", "")] == float(len(listings_rows()))
-    assert ("top_areas.median_price", "A") in rows
+    assert rows[("quality.total_listings", "")] == float(len(listings_rows()))
+    assert ("top_areas.median_price", "A") in rows and ("host_size.hosts", "6+ listings") in rows
+    assert rows[("value_picks.picks", "")] == 2.0
 
 
 def test_snapshot_bookkeeping(spark):
