@@ -100,3 +100,10 @@ def c6_by_room_type(calendar: DataFrame, listings: DataFrame) -> DataFrame:
     return j.groupBy("room_type").agg(
         F.count(F.lit(1)).alias("listings"), R(F.avg("minimum_nights"), 1).alias("avg_min_nights"),
         R(F.avg(pct(F.col("booked_days"), F.col("total_days"))), 1).alias("avg_true_occ_pct"))
+
+
+def h9_low_high_month(calendar: DataFrame) -> DataFrame:
+    """Availability curve's highest and lowest month (ties to the earliest month)."""
+    from ..operators import extremes
+    return extremes(c3_availability_curve(calendar), "cal_month", "pct_available",
+                    names=("high_month", "high_pct_available", "low_month", "low_pct_available"))

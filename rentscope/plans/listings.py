@@ -213,3 +213,59 @@ def d18_professionalisation(listings: DataFrame) -> DataFrame:
     share = lambda cond: R(pct(F.count_if(cond), F.count(F.lit(1))), 1)
     return df.agg(share(n >= 2).alias("pct_multi"), share(n >= 5).alias("pct_5plus"),
                   share(n == 1).alias("pct_single"), share(c("room_type") == ENTIRE).alias("pct_entire"))
+
+
+def d13_area_list(listings: DataFrame, k: int = 60) -> DataFrame:
+    """Selector list: the k biggest areas, NULL excluded."""
+    g = listings.where(F.col("neighbourhood_cleansed").isNotNull()).groupBy("neighbourhood_cleansed") \
+        .agg(F.count(F.lit(1)).alias("listings"))
+    return top_k(g, [F.col("listings").desc()], k, ["neighbourhood_cleansed"])
+
+
+def _revenue_rows(listings: DataFrame) -> DataFrame:
+    return listings.where((F.col("price") > 0) & F.col("availability_30").isNotNull()) \
+        .withColumn("rev", F.col("price") * (F.lit(30) - F.col("availability_30")))
+
+
+def d20_revenue_by_area(listings: DataFrame, k: int = 15) -> DataFrame:
+    """Median upper-bound 30-day revenue by area, the k biggest areas."""
+    df = _revenue_rows(listings).where(F.col("neighbourhood_cleansed").isNotNull())
+    m = grouped_median(df, ["neighbourhood_cleansed"], "rev", "__m", stats={"n": "listings"})
+    m = m.select(F.col("neighbourhood_cleansed").alias("nb"), R("__m", 2).alias("median_est_revenue"), "listings")
+    return top_k(m, [F.col("listings").desc()], k, ["nb"])
+
+
+def d21_revenue_exclusions(listings: DataFrame) -> DataFrame:
+    """How many rows D19/D20 leave out, and why."""
+    c = F.col
+    return count_conditions(listings, {"no_price": c("price").isNull() | (c("price") <= 0),
+                                       "no_availability_30": c("availability_30").isNull(),
+                                       "no_area": c("neighbourhood_cleansed").isNull()}, "listings")
+
+
+def d24_comparator(listings: DataFrame, picks: list[str]) -> DataFrame:
+    """Stats and entire/private medians of caller-picked areas, in the caller's order;
+    a pick without rows stays as an empty row (D24 + D25)."""
+    from ..functions.numeric import pct as _pct
+    from ..operators import compare_groups, picks_frame, pivot_wide
+    c = F.col
+    df = listings.where(c("neighbourhood_cleansed").isin(picks)).withColumnRenamed("neighbourhood_cleansed", "nb")
+    priced = c("price") > 0
+    stats = df.groupBy("nb").agg(
+        F.count(F.lit(1)).alias("listings"),
+        R(_pct(F.count_if(priced & (c("host_is_superhost") == 1)), F.nullif(F.count_if(priced), F.lit(0))), 1)
+        .alias("superhost_pct"),
+        R(F.avg(F.lit(100.0) * (F.lit(1) - c("availability_365") / 365.0)), 1).alias("occ_upper_pct"),
+        R(F.avg("reviews_per_month"), 2).alias("reviews_pm"))
+    med = grouped_median(df.where(priced & c("room_type").isin(ENTIRE, PRIVATE)), ["nb", "room_type"], "price", "m") \
+        .withColumn("m", R("m", 2))
+    piv = pivot_wide(med, ["nb"], "room_type", "m", {ENTIRE: "entire_median", PRIVATE: "private_median"})
+    spark = listings.sparkSession
+    return compare_groups(picks_frame(spark, "nb", picks), stats, "nb", piv).orderBy("position")
+
+
+def d26_mean_median_skew(listings: DataFrame, min_rows: int = 50, k: int = 10) -> DataFrame:
+    """Areas whose mean price sits furthest above the median."""
+    s = M.supply_by_group(listings, "neighbourhood_cleansed", "price", limit=None, out_key="nb", min_rows=min_rows)
+    s = s.withColumn("skew", R(F.col("avg_price") - F.col("median_price"), 2))
+    return top_k(s, [F.col("skew").desc()], k, ["nb"])

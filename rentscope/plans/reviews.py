@@ -74,3 +74,10 @@ def t4_side_by_side(words: DataFrame, k: int = 20) -> DataFrame:
     """Top-k words per year spread side by side by rank."""
     top = words.where(F.col("rank") <= k)
     return top.groupBy("rank").pivot("year").agg(F.first("word")).orderBy("rank")
+
+
+def h8_peak_month(reviews: DataFrame) -> DataFrame:
+    """Review volume's peak and low month (ties to the earliest month)."""
+    from ..operators import extremes
+    return extremes(r1_volume(reviews, distinct=False), "review_month", "reviews",
+                    names=("peak_month", "peak_reviews", "low_month", "low_reviews"))

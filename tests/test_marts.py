@@ -141,3 +141,18 @@ def test_words_markup_and_stopwords(reviews):
     words = {r["word"] for r in RV.t1_top_words(reviews).collect()}
     assert "great" in words and "stay" in words and "clean" in words and "place" in words
     assert not any("<" in w or w == "with" for w in words)
+
+
+def test_dashboard_extras(listings, reviews, calendar):
+    assert [r["neighbourhood_cleansed"] for r in L.d13_area_list(listings, 2).collect()] == ["A", "D"]  # tie at 6, by name
+    assert L.d20_revenue_by_area(listings).count() == 4
+    ex = L.d21_revenue_exclusions(listings).first()
+    assert (ex["no_price"], ex["no_area"]) == (3, 2)
+    cmp_rows = L.d24_comparator(listings, ["B", "A", "ZZ"]).collect()
+    assert [r["nb"] for r in cmp_rows] == ["B", "A", "ZZ"] and cmp_rows[2]["listings"] is None
+    assert cmp_rows[1]["entire_median"] == 250.0 and cmp_rows[0]["private_median"] == 55.0
+    assert L.d26_mean_median_skew(listings, min_rows=1).count() == 4
+    pk = RV.h8_peak_month(reviews).first()
+    assert pk["peak_reviews"] >= pk["low_reviews"]
+    hl = C.h9_low_high_month(calendar).first()
+    assert hl["high_month"] == hl["low_month"] == "2026-08"
