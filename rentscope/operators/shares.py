@@ -28,8 +28,10 @@ def share_of_total(df: DataFrame, n_col: str, alias: str = "pct", *,
         total = df.agg(F.sum(n_col).alias("__t")).scalar()
         out = df.withColumn(alias, pct(F.col(n_col), total))
     else:
+        from .medians import _ns_join
         tot = df.groupBy(*within).agg(F.sum(n_col).alias("__t"))
-        out = df.join(tot, within, "inner").withColumn(alias, pct(F.col(n_col), F.col("__t"))).drop("__t")
+        # NULL-safe: a NULL partition key is one partition, as in PARTITION BY
+        out = _ns_join(df, tot, within).withColumn(alias, pct(F.col(n_col), F.col("__t"))).drop("__t")
     if digits is not None:
         out = out.withColumn(alias, round_half_up(alias, digits))
     return out

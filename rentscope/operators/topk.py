@@ -46,6 +46,7 @@ def extremes(df: DataFrame, label: str, value: str, order_key: str | None = None
     """
     ok = F.col(order_key or label)
     v = F.col(value)
+    df = df.where(v.isNotNull())          # a NULL value is neither the peak nor the low
     out = df.agg(F.min_by(F.struct(F.col(label).alias("l"), v.alias("v")), F.struct(-v, ok)).alias("__hi"),
                  F.min_by(F.struct(F.col(label).alias("l"), v.alias("v")), F.struct(v, ok)).alias("__lo"))
     return out.select(F.col("__hi.l").alias(names[0]), F.col("__hi.v").alias(names[1]),

@@ -62,3 +62,15 @@ def test_top_k_tiebreak(spark):
 def test_word_count_spaces(spark):
     df = spark.createDataFrame([("a  b",), ("one",)], "t string")
     assert [r["w"] for r in df.select(word_count_spaces("t").alias("w")).collect()] == [3, 1]
+
+
+def test_within_share_keeps_null_partition(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("m", 2)], "m string, n long")
+    got = sorted((r["m"] or "", r["pct"]) for r in share_of_total(df, "n", "pct", within=["m"]).collect())
+    assert got == [("", 25.0), ("", 75.0), ("m", 100.0)]
+
+
+def test_extremes_ignore_null(spark):
+    df = spark.createDataFrame([("a", None), ("b", 3), ("c", 1)], "m string, n long")
+    r = extremes(df, "m", "n").first()
+    assert (r["peak"], r["low"]) == ("b", "c")
