@@ -39,14 +39,30 @@ def _value(value) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 
 
+_INF = float("inf")
+
+
 def _coarse_bucket(v: Column, per_unit: float) -> Column:
-    # sign(v) * log1p(|v|) is monotone, symmetric and defined on all doubles.
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(per_unit)).cast("long")
+    # sign(v) * log1p(|v|) is monotone and symmetric; finite doubles map to
+    # |bucket| < 46,000 * per_unit / 64, infinities get their own end buckets.
+    finite = F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(per_unit)).cast("long")
+    return F.when(v == F.lit(_INF), F.lit(1 << 62)).when(v == F.lit(-_INF), F.lit(-(1 << 62))).otherwise(finite)
 
 
 def _fine_bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
-    b = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets))).cast("long")
-    return F.least(b, F.lit(buckets - 1))
+    """Equal-width sub-bucket of v in [lo, hi] (lo < hi), monotone in v.
+
+    Width hi - lo is used when finite (it is > 0, also for subnormal intervals);
+    when it overflows the halved bounds are used; an infinite bound cannot be
+    split by width, so the interval stays one bucket (the final sort resolves it).
+    """
+    inf, half = F.lit(_INF), F.lit(0.5)
+    width = hi - lo
+    frac = (F.when(width < inf, (v - lo) / width)
+             .when((lo > -inf) & (hi < inf), (v * half - lo * half) / (hi * half - lo * half))
+             .otherwise(F.lit(0.0)))
+    b = F.floor(frac * F.lit(float(buckets))).cast("long")
+    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1))
 
 
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
