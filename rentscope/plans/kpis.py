@@ -17,6 +17,13 @@ KPI_NAMES = {"period": "month", "rows": "listings", "a_median": "entire_med", "b
 KPI_METRICS = ["listings", "entire_med", "private_med", "no_quote_pct", "superhost_share", "never_reviewed_pct"]
 
 
+def listings_slim(frames: dict[str, DataFrame]) -> DataFrame:
+    """B1: stack typed monthly snapshots, checked for and pruned to the slim columns."""
+    from ..operators import stack_snapshots
+    from ..sources import LISTING_SLIM_COLUMNS
+    return stack_snapshots(frames, LISTING_SLIM_COLUMNS, label="month")
+
+
 def kpis(stacked: DataFrame) -> DataFrame:
     """One KPI row per month of the stacked table (B2 / D2, premium from rounded medians)."""
     never = (F.col("number_of_reviews") == 0) | F.col("number_of_reviews").isNull()

@@ -23,6 +23,13 @@ def d31_by_type(registry: DataFrame) -> DataFrame:
     return out.withColumn("multi_unit", F.col("property_type").isin(MULTI_UNIT_TYPES))
 
 
+def d31_multi_unit_share(registry: DataFrame) -> DataFrame:
+    """Share of registrations whose property type is a multi-unit type; one row."""
+    return registry.agg(F.count(F.lit(1)).alias("registrations"),
+                        R(pct(F.count_if(F.col("property_type").isin(MULTI_UNIT_TYPES)), F.count(F.lit(1))), 1)
+                        .alias("multi_unit_pct"))
+
+
 def d32_top_addresses(registry: DataFrame, k: int = 8) -> DataFrame:
     g = registry.where(F.col("address").isNotNull()).groupBy("address").agg(F.count(F.lit(1)).alias("registrations"))
     return top_k(g, [F.col("registrations").desc()], k, ["address"])
@@ -32,9 +39,14 @@ def d32_top_share(registry: DataFrame, key: str = "address", n: int = 8) -> Data
     return top_n_share(registry, key, n)
 
 
-def d33_coverage(registry: DataFrame, listings: DataFrame) -> DataFrame:
-    """Registered / listed (upper bound on coverage), in %."""
-    return ratio_of_counts(registry, listings, "registered_per_listed_pct")
+def d33_coverage(registry: DataFrame, listings: DataFrame, outside_count: int | None = None) -> DataFrame:
+    """Registered / listed (upper bound on coverage), in %; with ``outside_count``
+    (a figure published elsewhere, an argument) also registered / that count (E4)."""
+    out = ratio_of_counts(registry, listings, "registered_per_listed_pct")
+    if outside_count:
+        out = out.withColumn("registered_per_outside_pct",
+                             R(pct(F.col("numerator"), F.lit(float(outside_count))), 1))
+    return out
 
 
 def e1_profile(registry: DataFrame) -> DataFrame:

@@ -88,3 +88,14 @@ def test_header_contract(spark, tmpdir_path, mutate):
     _write_csv(p, cols, [["1"] * len(cols)])
     with pytest.raises(HeaderMismatch):
         read_listings_raw(spark, p)
+
+
+def test_gzip_staging_read(spark, tmpdir_path):
+    import gzip
+    import shutil
+    p = f"{tmpdir_path}/listings.csv"
+    _write_csv(p, LISTING_RAW_COLUMNS, [_raw_row(id="7", name="a\nb", price="$5.00")])
+    with open(p, "rb") as src, gzip.open(p + ".gz", "wb") as dst:
+        shutil.copyfileobj(src, dst)
+    row = clean_listings(read_listings_raw(spark, p + ".gz")).first()
+    assert (row["id"], row["name"], row["price"]) == (7, "a\nb", 5.0)

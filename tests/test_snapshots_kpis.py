@@ -104,3 +104,12 @@ def test_registry_marts(registry, spark):
     assert RG.d32_top_addresses(registry, 1).first()["address"] == "1 Main St"
     listings = spark.range(10)
     assert RG.d33_coverage(registry, listings).first()["registered_per_listed_pct"] == 50.0
+
+
+def test_registry_extras_and_slim(registry, spark):
+    assert RG.d31_multi_unit_share(registry).first()["multi_unit_pct"] == 60.0
+    cov = RG.d33_coverage(registry, spark.range(10), outside_count=20).first()
+    assert cov["registered_per_outside_pct"] == 25.0
+    june = spark.createDataFrame(listings_rows(), LISTING_SCHEMA)
+    with pytest.raises(ValueError):
+        K.listings_slim({"2026-06": june})           # fixture lacks some slim columns
