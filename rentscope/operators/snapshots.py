@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .medians import grouped_median
@@ -78,6 +78,68 @@ def group_movers(stacked: DataFrame, key: str, value: str, old: str, new: str, *
                     "n_old", "n_new", round_half_up("change_pct", digits).alias("change_pct"))
 
 
+def _with_previous(periods: DataFrame, label: str, prev: str) -> DataFrame:
+    """Each period of a small per-period table with the period before it.
+
+    The unpartitioned window is fine here: it runs on one row per snapshot.
+    Labels must sort in time order (``yyyy``, ``yyyy-MM``, dates)."""
+    return periods.withColumn(prev, F.lag(label).over(Window.orderBy(F.col(label))))
+
+
+def snapshot_changes(stacked: DataFrame, key: str, label: str = "month",
+                     prev_label: str = "prev_month") -> DataFrame:
+    """Keys added / removed / kept between every snapshot and the one before it (J8
+    over all snapshots); one row per snapshot that has a predecessor.
+
+    One shuffle by key: each key's sorted snapshot list is built with a partial
+    ``collect_set`` (<= one entry per snapshot per task, so a hot key is combined
+    map-side and bounded by the snapshot count). From it every (snapshot, previous
+    snapshot of this key) pair is counted into a table of <= snapshots^2 rows;
+    kept(s) = keys whose previous appearance is the snapshot just before s.
+    """
+    per_key = (stacked.where(F.col(label).isNotNull()).groupBy(key)
+                      .agg(F.array_sort(F.collect_set(label)).alias("__ls")))
+    pairs = per_key.select(F.posexplode("__ls").alias("__i", label), "__ls").select(
+        label, F.when(F.col("__i") > 0, F.element_at("__ls", F.col("__i").cast("int"))).alias("__pk"))
+    cnt = pairs.groupBy(label, "__pk").agg(F.count(F.lit(1)).alias("__c"))
+    tot = cnt.groupBy(label).agg(F.sum("__c").alias("__n"))
+    seq = _with_previous(tot, label, prev_label).withColumn("__np", F.lag("__n").over(Window.orderBy(label)))
+    kept = cnt.where(F.col("__pk").isNotNull()).select(F.col(label).alias("__l"), F.col("__pk").alias("__p"), "__c")
+    j = seq.join(kept, (seq[label] == kept["__l"]) & (seq[prev_label] == kept["__p"]), "left")
+    k = F.coalesce(F.col("__c"), F.lit(0)).cast("long")
+    return (j.where(F.col(prev_label).isNotNull())
+             .select(label, prev_label, (F.col("__n") - k).alias("added"),
+                     (F.col("__np") - k).alias("removed"), k.alias("kept")))
+
+
+def movers_by_period(stacked: DataFrame, key: str, value: str, *, label: str = "month",
+                     prev_label: str = "prev_month", min_rows: int = 50, k: int = 3,
+                     digits: int = 2) -> DataFrame:
+    """For every snapshot, the ``k`` groups whose exact median moved most against the
+    snapshot before it (J9 + O7 over all snapshots).
+
+    All (snapshot, group) medians and counts come from one grouped median; each
+    snapshot's row is joined with its predecessor's on the group key (inner: the
+    group must be in both with ``min_rows`` rows), and the top k per snapshot is a
+    ``row_number`` window planned with a partial group limit.
+    """
+    from ..functions.numeric import round_half_up, safe_ratio
+    from .topk import top_k_per_group
+    s = grouped_median(stacked.where(F.col(key).isNotNull()), [label, key], value, "__med", stats={"n": "__n"})
+    seq = _with_previous(s.select(label).distinct(), label, prev_label)   # every snapshot with values
+    s = s.where(F.col("__n") >= min_rows)
+    new = s.join(seq, label).select(label, prev_label, key, F.col("__med").alias("median_new"),
+                                    F.col("__n").alias("n_new"))
+    old = s.select(F.col(label).alias(prev_label), key, F.col("__med").alias("median_old"),
+                   F.col("__n").alias("n_old"))
+    m = new.join(old, [prev_label, key], "inner")
+    m = m.withColumn("__chg", (safe_ratio("median_new", "median_old") - F.lit(1.0)) * F.lit(100.0))
+    m = top_k_per_group(m, [label], [F.abs("__chg").desc_nulls_last(), F.col(key).asc()], k, "__rk")
+    return m.select(label, prev_label, key, round_half_up("median_old", digits).alias("median_old"),
+                    round_half_up("median_new", digits).alias("median_new"), "n_old", "n_new",
+                    round_half_up("__chg", digits).alias("change_pct"))
+
+
 def pending_snapshots(found: DataFrame, done: DataFrame, key: str = "month") -> DataFrame:
     """Snapshots found but not processed yet (S11): a left anti-join."""
     return found.join(done.select(key).distinct(), key, "left_anti")

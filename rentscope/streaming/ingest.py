@@ -59,25 +59,30 @@ def _clean_orders(df: DataFrame) -> DataFrame:
 
 
 def demo_ingest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver binding of I1: orders of each year become snapshot CSV folders;
-    two ingest runs (second after one more snapshot arrives), result = the table.
+    """Driver binding of I1 over the whole orders table: every order year becomes a
+    snapshot CSV folder. The first run ingests all years but the newest, then the
+    newest snapshot arrives and a second run picks up only it; a third run finds
+    nothing new. Result: rows and customers per ingested month partition.
 
     Works under the shared checkpoint folder, a fresh sub-folder per call.
     """
     root = scratch_path(spark, "ingest", uuid.uuid4().hex)
     incoming, table, ckpt = f"{root}/incoming", f"{root}/table", f"{root}/_checkpoint"
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderdate").isNotNull())
     y = F.date_format("o_orderdate", "yyyy")
-
-    def drop_snapshot(year: str) -> None:
-        snap = orders.where(y == year).select(*[F.col(c).cast("string").alias(c) for c in _ORDER_COLUMNS])
-        snap.write.option("header", True).option("escape", '"').csv(f"{incoming}/orders-{year}-01")
-
-    for year in ("1996", "1997"):
-        drop_snapshot(year)
-    ingest_snapshots(spark, f"{incoming}/*", table, ckpt, _ORDER_COLUMNS, _clean_orders)
-    drop_snapshot("1998")
-    ingest_snapshots(spark, f"{incoming}/*", table, ckpt, _ORDER_COLUMNS, _clean_orders)
-    ingest_snapshots(spark, f"{incoming}/*", table, ckpt, _ORDER_COLUMNS, _clean_orders)   # nothing new
+    newest = orders.agg(F.max(y)).first()[0]
+
+    def drop_snapshots(cond) -> None:
+        # one write: a folder per year (snapshot=orders-YYYY-01/part-*.csv)
+        snap = orders.where(cond).select(F.concat(F.lit("orders-"), y, F.lit("-01")).alias("snapshot"),
+                                         *[F.col(c).cast("string").alias(c) for c in _ORDER_COLUMNS])
+        (snap.write.mode("append").option("header", True).option("escape", '"')
+             .partitionBy("snapshot").csv(incoming))
+
+    drop_snapshots(y < F.lit(newest))
+    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders)
+    drop_snapshots(y == F.lit(newest))
+    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders)
+    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders)   # nothing new
     t = spark.read.parquet(table)
     return t.groupBy("month").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"))
