@@ -158,6 +158,8 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
 
     # Intervals of one distinct value answer their ranks directly.
     closed = t.where(F.col("__lo") == F.col("__hi")).select(*gkeys, *_STATS, "__k", F.col("__lo").alias(_V))
+    if max_open == 0:           # no interval holds two distinct values: no second scan of the data
+        return closed
     # The rest: exact rank inside the (now small) interval.
     open_iv = (t.where(F.col("__lo") < F.col("__hi"))
                 .groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below")
@@ -169,32 +171,82 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
     return closed.unionByName(picked)
 
 
+# Groups above this many rows are "hot": the built-in median would hold up to that
+# many distinct values of one group in one task's buffer, so they take the
+# histogram selection instead. Hot groups number at most rows / HOT_GROUP_ROWS.
+HOT_GROUP_ROWS = 1_000_000
+
+
+def _valid(value) -> Column:
+    return _value(value).isNotNull() & ~F.isnan(_value(value))
+
+
+def _builtin_grouped(df: DataFrame, keys: list[str], value, alias: str, stats: dict[str, str]) -> DataFrame:
+    d = df.where(_valid(value))
+    g = d.groupBy(*keys) if keys else d
+    fns = {"n": F.count(F.lit(1)), "sum": F.sum(_value(value)), "avg": F.avg(_value(value)),
+           "min": F.min(_value(value)), "max": F.max(_value(value))}
+    return g.agg(F.median(_value(value)).alias(alias), *[fns[k].alias(c) for k, c in stats.items()])
+
+
+def _exact_grouped(df: DataFrame, keys: list[str], value, alias: str, stats: dict[str, str], **kw) -> DataFrame:
+    mv = median_values(df, keys, value, **kw)
+    gkeys = keys or [_ALL]
+    st = {"n": F.max("__n"), "sum": F.max("__gsum"), "avg": F.max("__gsum") / F.max("__n"),
+          "min": F.max("__gmin"), "max": F.max("__gmax")}
+    out = mv.groupBy(*gkeys).agg(F.avg(_V).alias(alias), *[st[k].alias(c) for k, c in stats.items()])
+    return out.drop(_ALL) if not keys else out
+
+
+def _ns_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Null-safe left semi / anti join on ``keys`` (NULL keys match, as in GROUP BY)."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
+    return left.join(r, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys], how)
+
+
 def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "median",
-                   *, method: str = "exact", stats: dict[str, str] | None = None, **kw) -> DataFrame:
+                   *, method: str = "auto", stats: dict[str, str] | None = None,
+                   hot_group_rows: int = HOT_GROUP_ROWS, **kw) -> DataFrame:
     """Exact median of ``value`` per group (G6); mean of the two middle rows for even n.
 
-    ``method="exact"``: skew-safe histogram selection (default).
-    ``method="builtin"``: ``F.median`` - one pass, for groups known to be small.
-    Groups whose values are all NULL are absent from the result.
+    ``method="auto"`` (default): one count pass finds the hot groups (more than
+    ``hot_group_rows`` values; at most rows / ``hot_group_rows`` of them, so the
+    table is checkpointed and its size checked before it is broadcast). Other
+    groups get Spark's one-pass ``median`` (partial aggregation, buffer bounded by
+    the group size); hot groups get the histogram selection below. Without hot
+    groups this is one count job plus one aggregation.
+    ``method="exact"``: histogram selection for every group.
+    ``method="builtin"``: ``F.median`` for every group - for groups known to be small.
+    The built-in interpolates 0.5*lo + 0.5*hi, the selection averages (lo + hi) / 2:
+    equal for all doubles except when lo + hi overflows or the halves are subnormal.
+    Groups whose values are all NULL / NaN are absent from the result.
     ``stats`` maps any of n / sum / avg / min / max to an output column; they
-    describe the same non-NULL values and come from the first pass at no cost.
+    describe the same non-NULL values and come from the same passes.
     """
     keys = list(keys)
     stats = stats or {}
     if method == "builtin":
-        d = df.where(_value(value).isNotNull() & ~F.isnan(_value(value)))
-        g = d.groupBy(*keys) if keys else d
-        fns = {"n": F.count(F.lit(1)), "sum": F.sum(_value(value)), "avg": F.avg(_value(value)),
-               "min": F.min(_value(value)), "max": F.max(_value(value))}
-        return g.agg(F.median(_value(value)).alias(alias), *[fns[k].alias(c) for k, c in stats.items()])
-    if method != "exact":
+        return _builtin_grouped(df, keys, value, alias, stats)
+    if method == "exact":
+        return _exact_grouped(df, keys, value, alias, stats, **kw)
+    if method != "auto":
         raise ValueError(f"unknown median method {method!r}")
-    mv = median_values(df, keys, value, **kw)
-    gkeys = keys or [_ALL]
-    st = {"n": F.max("__n"), "sum": F.max("__gsum"), "avg": F.max("__gsum") / F.max("__n"),
-          "min": F.max("__gmin"), "max": F.max("__gmax")}
-    out = mv.groupBy(*gkeys).agg(F.avg(_V).alias(alias), *[st[k].alias(c) for k, c in stats.items()])
-    return out.drop(_ALL) if not keys else out
+    x = df.where(_valid(value))
+    if not keys:
+        n = x.agg(F.count(F.lit(1))).first()[0]
+        if n > hot_group_rows:
+            return _exact_grouped(df, keys, value, alias, stats, **kw)
+        return _builtin_grouped(df, keys, value, alias, stats)
+    hot = (x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gn"))
+            .where(F.col("__gn") > hot_group_rows).select(*keys))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _builtin_grouped(df, keys, value, alias, stats)
+    hot = hot.checkpoint(eager=True)          # small (<= rows / hot_group_rows); used twice below
+    side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
+    small = _builtin_grouped(_ns_semi(df, side, keys, "left_anti"), keys, value, alias, stats)
+    big = _exact_grouped(_ns_semi(df, side, keys, "left_semi"), keys, value, alias, stats, **kw)
+    return small.unionByName(big)
 
 
 def global_median(df: DataFrame, value, alias: str = "median", **kw) -> DataFrame:
@@ -206,30 +258,23 @@ def multi_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
                  count_alias: str | None = "n", **kw) -> DataFrame:
     """Several medians at once (G8) after the joint not-NULL filter.
 
-    ``columns`` maps output name -> input column. Each median is a bounded
-    per-group table; they are joined on the (small) group key.
+    ``columns`` maps output name -> input column. The columns are unpivoted to
+    (metric, value) rows, so one exact-median pipeline over (keys, metric) serves
+    all of them: one scan, one histogram shuffle and one refinement per call
+    instead of one per column; the small result is pivoted back per group.
     """
     keys = list(keys)
     cond = None
     for c in columns.values():
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
-    base = df.where(cond)
-    out = None
-    for i, (name, c) in enumerate(columns.items()):
-        st = {"n": count_alias} if (i == 0 and count_alias) else None
-        m = grouped_median(base, keys, c, name, stats=st, **kw)
-        if out is None:
-            out = m
-        elif keys:
-            out = _ns_join(out, m, keys)
-        else:
-            out = _scalar_join(out, m)
-    return out
-
-
-def _scalar_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side join of two one-row frames (no keys) on a constant key."""
-    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    entries = F.array(*[F.struct(F.lit(i).alias("__m"), _value(c).alias("__x"))
+                        for i, c in enumerate(columns.values())])
+    long = df.where(cond).select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.__m", "__e.__x")
+    m = grouped_median(long, keys + ["__m"], "__x", "__med", stats={"n": "__cnt"}, **kw)
+    aggs = [F.max(F.when(F.col("__m") == i, F.col("__med"))).alias(name) for i, name in enumerate(columns)]
+    if count_alias:
+        aggs.insert(0, F.max(F.when(F.col("__m") == 0, F.col("__cnt"))).alias(count_alias))
+    return m.groupBy(*keys).agg(*aggs) if keys else m.agg(*aggs)
 
 
 def median_ratio(df: DataFrame, key: str, value, a: str, b: str, *,

@@ -11,8 +11,10 @@ def _rows(df, key="k", val="m"):
     return {r[key]: r[val] for r in df.collect()}
 
 
-@pytest.mark.parametrize("kw", [{}, {"final_max_rows": 0, "levels": 5, "buckets": 3},
-                                {"final_max_rows": 1, "levels": 2, "buckets": 2}, {"method": "builtin"}])
+@pytest.mark.parametrize("kw", [{}, {"method": "exact"}, {"method": "exact", "final_max_rows": 0, "levels": 5, "buckets": 3},
+                                {"method": "exact", "final_max_rows": 1, "levels": 2, "buckets": 2}, {"method": "builtin"},
+                                {"hot_group_rows": 2}, {"hot_group_rows": 1, "final_max_rows": 1, "buckets": 2},
+                                {"hot_group_rows": 1, "method": "auto"}])
 def test_odd_even_single_null_key(spark, kw):
     data = [("odd", 3.0), ("odd", 1.0), ("odd", 2.0), ("even", 1.0), ("even", 4.0), ("even", 2.0), ("even", 10.0),
             ("one", 7.5), (None, 5.0), (None, 6.0), ("nulls", None), ("dup", 2.0), ("dup", 2.0), ("dup", 2.0),
@@ -32,7 +34,8 @@ def test_random_against_python(spark):
     for k, v in data:
         exp.setdefault(k, []).append(v)
     exp = {k: statistics.median(vs) for k, vs in exp.items()}
-    for kw in ({}, {"final_max_rows": 10, "levels": 6, "buckets": 4}):
+    for kw in ({}, {"method": "exact"}, {"method": "exact", "final_max_rows": 10, "levels": 6, "buckets": 4},
+               {"hot_group_rows": 1500, "final_max_rows": 10, "levels": 6, "buckets": 4}):
         got = _rows(grouped_median(df, ["k"], "v", "m", **kw))
         assert got.keys() == exp.keys()
         for k in exp:
@@ -65,7 +68,8 @@ _values = st.one_of(st.floats(allow_nan=False, width=64), st.integers(-5, 5).map
        final_max_rows=st.sampled_from([0, 1, 5, 2_000_000]), buckets=st.sampled_from([2, 3, 16]))
 def test_property_exact(spark, rows, final_max_rows, buckets):
     df = spark.createDataFrame(rows, "k string, v double")
-    got = _rows(grouped_median(df, ["k"], "v", "m", final_max_rows=final_max_rows, buckets=buckets, levels=6))
+    got = _rows(grouped_median(df, ["k"], "v", "m", method="exact", final_max_rows=final_max_rows, buckets=buckets,
+                               levels=6))
     groups = {}
     for k, v in rows:
         groups.setdefault(k, []).append(v)
@@ -75,3 +79,26 @@ def test_property_exact(spark, rows, final_max_rows, buckets):
         lo, hi = s[(n + 1) // 2 - 1], s[(n + 2) // 2 - 1]
         exp = lo if lo == hi else (lo + hi) / 2      # mean of the two middles, as AVG computes it
         assert got[k] == exp or (got[k] != got[k] and exp != exp), (k, s, got[k])
+
+
+_plain = st.one_of(st.floats(allow_nan=False, allow_subnormal=False, min_value=-1e300, max_value=1e300),
+                   st.integers(-5, 5).map(float), st.sampled_from([float("inf"), float("-inf")]))
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", None]), _plain), min_size=1, max_size=60),
+       hot=st.sampled_from([0, 3, 10, 1_000_000]))
+def test_property_hybrid(spark, rows, hot):
+    """Hybrid: groups above ``hot`` rows by selection, the rest by the built-in; same values."""
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = _rows(grouped_median(df, ["k"], "v", "m", hot_group_rows=hot, final_max_rows=2, buckets=2, levels=6))
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        s = sorted(vs)
+        n = len(s)
+        lo, hi = s[(n + 1) // 2 - 1], s[(n + 2) // 2 - 1]
+        exp = lo if lo == hi else (lo + hi) / 2
+        assert got[k] == exp or (got[k] != got[k] and exp != exp), (k, s, got[k])
