@@ -31,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _ALL = "__all"
 _V = "__v"
 
@@ -97,6 +99,7 @@ FINAL_MAX_ROWS = 2_000_000         # largest interval handed to the final exact
 def _materialise(t: DataFrame) -> tuple[DataFrame, int, int]:
     """Checkpoint the small target table (cuts lineage: the data scan behind it is
     not repeated by every later reference) and read its size bounds."""
+    ensure_checkpoint_dir(t.sparkSession)
     t = t.checkpoint(eager=True)
     row = t.agg(F.count(F.lit(1)).alias("n"),
                 F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__cnt"))).alias("m")).first()
@@ -242,6 +245,7 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
     n_hot = hot.count()
     if n_hot == 0:
         return _builtin_grouped(df, keys, value, alias, stats)
+    ensure_checkpoint_dir(df.sparkSession)
     hot = hot.checkpoint(eager=True)          # small (<= rows / hot_group_rows); used twice below
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     small = _builtin_grouped(_ns_semi(df, side, keys, "left_anti"), keys, value, alias, stats)
