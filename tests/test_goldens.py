@@ -57,3 +57,54 @@ def test_r1_and_b7_give_the_counts_back(spark):
     assert all(r["active_listings"] == min(1000, R1_REVIEWS[r["review_month"]]) for r in r1)
     peak = h8_peak_month(reviews).first()
     assert tuple(peak)[:2] == ("2026-07", 24685)            # H8: peak month of the captured volume
+
+
+# The source's captured band outputs over its 22,257 listings: (label, listings, pct).
+C4_LEAD = [("0–7 days", 20170, 90.6), ("8–30 days", 265, 1.2), ("31–90 days", 207, 0.9), ("90+ days", 597, 2.7),
+           ("No bookings in 365d", 1018, 4.6)]
+C5_MIN_NIGHTS = [("1 night", 5168, 23.2), ("2–3 nights", 3200, 14.4), ("4–7 nights", 342, 1.5),
+                 ("8–30 nights", 12478, 56.1), ("31+ nights", 1069, 4.8)]
+R4_REVIEW_BANDS = [("0", 6877, 30.9), ("1–5", 5208, 23.4), ("6–20", 4630, 20.8), ("21–50", 2590, 11.6),
+                   ("51+", 2952, 13.3)]
+LISTINGS = 22_257
+
+
+def _listings_per_value(spark, values_and_counts):
+    """Listing ids 0..n-1, each with the value of its band (Spark explodes the ranges)."""
+    rows, start = [], 0
+    for value, n in values_and_counts:
+        rows.append((value, start, start + n - 1))
+        start += n
+    df = spark.createDataFrame(rows, "v int, a long, b long")
+    return df.select("v", F.explode(F.sequence("a", "b")).alias("listing_id"))
+
+
+def _as_table(df, label):
+    return [(r[label], r[1], r[2]) for r in df.collect()]
+
+
+def test_c4_c5_r4_band_counts_and_shares(spark):
+    from rentscope.plans.calendar import c4_lead_time, c5_min_nights
+    from rentscope.plans.reviews import r4_count_bands
+    assert all(sum(n for _, n, _ in t) == LISTINGS for t in (C4_LEAD, C5_MIN_NIGHTS, R4_REVIEW_BANDS))
+
+    # Each listing's minimum nights, one value inside each captured band
+    per = _listings_per_value(spark, zip([1, 2, 5, 10, 40], [n for _, n, _ in C5_MIN_NIGHTS]))
+    cal = per.select("listing_id", F.lit("2026-08-15").cast("date").alias("date"), F.lit(1).alias("available"),
+                     F.col("v").alias("minimum_nights"))
+    assert sorted(_as_table(c5_min_nights(cal), "min_nights_band")) == sorted(C5_MIN_NIGHTS)
+
+    # C4: first unavailable day at lead 0 / 10 / 40 / 100 days, or none (-1)
+    per = _listings_per_value(spark, zip([0, 10, 40, 100, -1], [n for _, n, _ in C4_LEAD]))
+    day0 = F.lit("2026-08-15").cast("date")
+    first = per.select("listing_id", day0.alias("date"), F.when(F.col("v") == 0, 0).otherwise(1).alias("available"))
+    booked = per.where(F.col("v") > 0).select("listing_id", F.date_add(day0, F.col("v")).alias("date"),
+                                              F.lit(0).alias("available"))
+    cal = first.unionByName(booked).withColumn("minimum_nights", F.lit(1))
+    assert sorted(_as_table(c4_lead_time(cal), "lead_time_band")) == sorted(C4_LEAD)
+
+    # 0 / 1 / 6 / 21 / 51 reviews per listing; listings without reviews kept as 0
+    per = _listings_per_value(spark, zip([0, 1, 6, 21, 51], [n for _, n, _ in R4_REVIEW_BANDS]))
+    listings = per.select(F.col("listing_id").alias("id"))
+    reviews = per.where(F.col("v") > 0).select("listing_id", F.explode(F.sequence(F.lit(1), "v")).alias("k"))
+    assert sorted(_as_table(r4_count_bands(reviews, listings), "review_count_band")) == sorted(R4_REVIEW_BANDS)
