@@ -102,3 +102,15 @@ def test_property_hybrid(spark, rows, hot):
         lo, hi = s[(n + 1) // 2 - 1], s[(n + 2) // 2 - 1]
         exp = lo if lo == hi else (lo + hi) / 2
         assert got[k] == exp or (got[k] != got[k] and exp != exp), (k, s, got[k])
+
+
+@pytest.mark.parametrize("kw", [{"hot_group_rows": 1}, {"hot_group_rows": 1, "final_max_rows": 0, "buckets": 2},
+                                {"method": "exact"}, {"method": "builtin"}])
+def test_global_and_multi_every_method(spark, kw):
+    df = spark.createDataFrame([(1.0, 10.0, "x"), (2.0, None, "x"), (3.0, 30.0, "y"), (4.0, 40.0, "y"),
+                                (9.0, 5.0, None)], "a double, b double, k string")
+    assert global_median(df, "a", "m", **kw).first()["m"] == 3.0
+    mm = multi_median(df, [], {"ma": "a", "mb": "b"}, "n", **kw).first()
+    assert (mm["n"], mm["ma"], mm["mb"]) == (4, 3.5, 20.0)
+    by = {r["k"]: (r["n"], r["ma"], r["mb"]) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", **kw).collect()}
+    assert by == {"x": (1, 1.0, 10.0), "y": (2, 3.5, 35.0), None: (1, 9.0, 5.0)}
