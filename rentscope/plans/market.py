@@ -200,11 +200,15 @@ def period_volume(df: DataFrame, period: Column, *, period_alias: str, count_ali
     return df.groupBy(period.alias(period_alias)).agg(*aggs)
 
 
-def month_of_year_mean(df: DataFrame, date_col: str, start: str, end: str, *,
+def month_of_year_mean(df: DataFrame, date_col: str, start, end, *,
                        alias: str, digits: int = 0) -> DataFrame:
-    """Mean monthly volume by calendar month over [start, end)."""
+    """Mean monthly volume by calendar month over [start, end).
+
+    ``start`` / ``end`` are ISO date strings or date columns (e.g. scalar subqueries)."""
     d = F.col(date_col)
-    m = (df.where((d >= F.lit(start).cast("date")) & (d < F.lit(end).cast("date")))
+    lo = F.lit(start).cast("date") if isinstance(start, str) else start
+    hi = F.lit(end).cast("date") if isinstance(end, str) else end
+    m = (df.where((d >= lo) & (d < hi))
            .groupBy(F.trunc(d.cast("date"), "month").alias("__m")).agg(F.count(F.lit(1)).alias("__c")))
     return m.groupBy(F.date_format("__m", "MM").alias("month_num")).agg(R(F.avg("__c"), digits).alias(alias))
 
