@@ -16,3 +16,17 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the plan as is
         return df
     return df.repartition(par) if n < par else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small intermediate that is used more than once (a per-group or
+    per-period aggregate, a top-k list) to the shared checkpoint folder.
+
+    Every later use reads the written rows instead of recomputing the scans,
+    joins and shuffles behind them, and the lineage is cut, so a lost executor
+    does not send the job back to the source tables. Reliable checkpoint only
+    (``spark.checkpoint.dir``), never a local one.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .medians import grouped_median
+from .partitioning import materialize
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str = "table") -> DataFrame:
@@ -126,6 +127,7 @@ def movers_by_period(stacked: DataFrame, key: str, value: str, *, label: str = "
     from ..functions.numeric import round_half_up, safe_ratio
     from .topk import top_k_per_group
     s = grouped_median(stacked.where(F.col(key).isNotNull()), [label, key], value, "__med", stats={"n": "__n"})
+    s = materialize(s)          # one row per (snapshot, group), read three times below
     seq = _with_previous(s.select(label).distinct(), label, prev_label)   # every snapshot with values
     s = s.where(F.col("__n") >= min_rows)
     new = s.join(seq, label).select(label, prev_label, key, F.col("__med").alias("median_new"),

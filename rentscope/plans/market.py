@@ -17,6 +17,7 @@ from ..functions.bands import band
 from ..functions.numeric import pct, round_half_up, safe_ratio
 from ..operators.joins import count_children, portfolio_sizes
 from ..operators.medians import grouped_median
+from ..operators.partitioning import materialize
 from ..operators.shares import share_of_total
 from ..operators.topk import top_k
 from ..operators.windows import adjacent_step
@@ -43,7 +44,8 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
     # count and mean come from the median's first pass; the source's inner join
     # of the two aggregates drops the NULL group, so drop it explicitly.
     j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"})
-    j = j.where(F.col(key).isNotNull())
+    # one row per group, read twice (rows and the share's total): written once
+    j = materialize(j.where(F.col(key).isNotNull()))
     if min_rows is not None:
         j = j.where(F.col("__n") >= min_rows)
     j = share_of_total(j, "__n", "__share", digits=share_digits)
