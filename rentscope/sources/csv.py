@@ -39,11 +39,29 @@ def assert_header(actual: Sequence[str], expected: Sequence[str] = LISTING_RAW_C
                              f"missing={missing[:5]} extra={extra[:5]}")
 
 
+def read_staging(spark: SparkSession, path: str, columns: Sequence[str], *, check_header: bool = True,
+                 multiline: bool = True) -> DataFrame:
+    """All-text staging read of a snapshot file set (S1-S3): every column a string,
+    quoted commas, doubled quotes and line breaks kept, gzip read transparently.
+    With ``check_header`` the header must equal ``columns`` exactly (S2)."""
+    if check_header:
+        assert_header(read_header(spark, path), columns)
+    return _reader(spark, columns, multiline).csv(path)
+
+
 def read_listings_raw(spark: SparkSession, path: str, check_header: bool = True) -> DataFrame:
     """All-text staging read of a listings snapshot."""
-    if check_header:
-        assert_header(read_header(spark, path))
-    return _reader(spark, LISTING_RAW_COLUMNS).csv(path)
+    return read_staging(spark, path, LISTING_RAW_COLUMNS, check_header=check_header)
+
+
+def write_text_csv(df: DataFrame, path: str, *, compression: str = "gzip") -> None:
+    """Write every column as text in the snapshot file format the staging read
+    expects: header line, RFC 4180 quoting (quotes doubled), values kept as they
+    are (Spark trims surrounding spaces on CSV write unless told not to)."""
+    (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite")
+       .option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .option("compression", compression).csv(path))
 
 
 def clean_listings(raw: DataFrame) -> DataFrame:
