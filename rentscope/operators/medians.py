@@ -242,11 +242,12 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
         return _builtin_grouped(df, keys, value, alias, stats)
     hot = (x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gn"))
             .where(F.col("__gn") > hot_group_rows).select(*keys))
+    # written once (<= rows / hot_group_rows keys): counted, then used by both joins below
+    ensure_checkpoint_dir(df.sparkSession)
+    hot = hot.checkpoint(eager=True)
     n_hot = hot.count()
     if n_hot == 0:
         return _builtin_grouped(df, keys, value, alias, stats)
-    ensure_checkpoint_dir(df.sparkSession)
-    hot = hot.checkpoint(eager=True)          # small (<= rows / hot_group_rows); used twice below
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     small = _builtin_grouped(_ns_semi(df, side, keys, "left_anti"), keys, value, alias, stats)
     big = _exact_grouped(_ns_semi(df, side, keys, "left_semi"), keys, value, alias, stats, **kw)
