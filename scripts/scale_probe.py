@@ -5,6 +5,7 @@
 2. Exact median of one hot group holding a third of all rows: the hybrid (hot group
    by selection, the rest built-in), selection for all groups, and the built-in
    ``median`` aggregate for all groups, checked equal.
+3. Snapshot changes and median movers over 12 snapshots of the same data (hot key kept).
 
 usage: python scripts/scale_probe.py [rows_for_median]
 """
@@ -64,6 +65,17 @@ def main():
                          .where(F.col("k").isin("hot", "k1", "k2")).collect()}
         res[f"median_{method}"] = round(time.perf_counter() - t0, 2)
     res["median_equal"] = found["auto"] == found["exact"] == found["builtin"]
+    # snapshot comparisons with the same hot key: 12 monthly snapshots of 30 M rows
+    from rentscope.operators import movers_by_period, snapshot_changes
+    snaps = data.withColumn("month", F.format_string("2026-%02d", (F.col("v") * 7).cast("long") % 12 + 1))
+    t0 = time.perf_counter()
+    ch = snapshot_changes(snaps, "k").collect()
+    res["snapshot_changes"] = round(time.perf_counter() - t0, 2)
+    res["snapshot_changes_ok"] = len(ch) == 11 and all(r["kept"] + r["added"] > 0 for r in ch)
+    t0 = time.perf_counter()
+    mv = movers_by_period(snaps, "k", "v", min_rows=50, k=3).collect()
+    res["movers_by_period"] = round(time.perf_counter() - t0, 2)
+    res["movers_rows"] = len(mv)
     res["calendar_rows"] = rows
     res["median_rows"] = n_med
     print(json.dumps(res))
