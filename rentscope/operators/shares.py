@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, round_half_up
@@ -81,4 +81,4 @@ def ratio_of_counts(num: DataFrame, den: DataFrame, alias: str = "ratio_pct",
     return out.withColumn(alias, round_half_up(val, digits) if digits is not None else val)
 
 
-__all__ = ["share_of_total", "mix", "top_n_share", "ratio_of_counts", "Window"]
+__all__ = ["share_of_total", "mix", "top_n_share", "ratio_of_counts"]

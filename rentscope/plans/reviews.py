@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import band
 from ..functions.numeric import round_half_up as R
 from ..operators import mean_words, top_k, word_top
 from . import market as M

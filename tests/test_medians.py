@@ -2,7 +2,6 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from rentscope.operators import global_median, grouped_median, median_ratio, multi_median
 
