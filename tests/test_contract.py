@@ -24,7 +24,8 @@ def test_keys_cover_oracles():
 @pytest.mark.parametrize("key", ["top_groups_supply", "median_by_group", "portfolio_concentration", "kpi_by_month",
                                  "word_top", "compare_groups", "metric_deltas", "rolling_cohort_max",
                                  "snapshot_diff", "group_movers", "stack_and_prune", "csv_roundtrip", "pending_months",
-                                 "latest_snapshot_pick", "previous_month", "month_of_year_mean", "median_multi"])
+                                 "latest_snapshot_pick", "previous_month", "month_of_year_mean", "median_multi",
+                                 "calendar_load", "calendar_min_nights", "reviews_load"])
 def test_oracle_match(spark, key):
     con = duckdb.connect()
     for t in TABLES:
