@@ -156,3 +156,14 @@ def test_dashboard_extras(listings, reviews, calendar):
     assert pk["peak_reviews"] >= pk["low_reviews"]
     hl = C.h9_low_high_month(calendar).first()
     assert hl["high_month"] == hl["low_month"] == "2026-08"
+
+
+def test_a10_keeps_null_group_and_m10_differs(listings):
+    """Trap 10: GROUP BY keeps the NULL area (A1's inner join drops it); trap 13: M10 is
+    A10 with the priced filter and without the minimum group size."""
+    a10 = {r["neighbourhood"]: r["listings"] for r in L.a10_revenue_leaders(listings, min_rows=None).collect()}
+    assert a10 == {"A": 6, "B": 4, "C": 1, None: 2, "D": 6}
+    m10 = {r["neighbourhood"]: r["listings"]
+           for r in L.a10_revenue_leaders(listings, min_rows=None, priced_only=True).collect()}
+    assert m10 == {"A": 4, "B": 3, "C": 1, None: 2, "D": 6}
+    assert L.a10_revenue_leaders(listings).count() == 0        # A10 keeps groups of >= 20 rows only

@@ -74,3 +74,10 @@ def test_extremes_ignore_null(spark):
     df = spark.createDataFrame([("a", None), ("b", 3), ("c", 1)], "m string, n long")
     r = extremes(df, "m", "n").first()
     assert (r["peak"], r["low"]) == ("b", "c")
+
+
+def test_null_ordering(spark):
+    """Trap 9: NULLs last on DESC, first on ASC (as the source's engine), stated explicitly."""
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 7), (4, None)], "id int, n int")
+    assert [r["id"] for r in top_k(df, [F.col("n").desc()], 4, ["id"]).collect()] == [3, 2, 1, 4]
+    assert [r["id"] for r in top_k(df, ["n"], 4, ["id"]).collect()] == [1, 4, 2, 3]
