@@ -209,7 +209,7 @@ def _ns_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "median",
                    *, method: str = "auto", stats: dict[str, str] | None = None,
-                   hot_group_rows: int = HOT_GROUP_ROWS, **kw) -> DataFrame:
+                   hot_group_rows: int = HOT_GROUP_ROWS, sizes: DataFrame | None = None, **kw) -> DataFrame:
     """Exact median of ``value`` per group (G6); mean of the two middle rows for even n.
 
     ``method="auto"`` (default): one count pass finds the hot groups (more than
@@ -222,6 +222,9 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
     ``method="builtin"``: ``F.median`` for every group - for groups known to be small.
     The built-in interpolates 0.5*lo + 0.5*hi, the selection averages (lo + hi) / 2:
     equal for all doubles except when lo + hi overflows or the halves are subnormal.
+    ``sizes`` (``keys`` + ``n``): group sizes from a cheaper plan the caller knows, e.g.
+    counted before a join (Catalyst does not push aggregates below joins). They only
+    route groups: an overcount sends a group to the selection, results do not change.
     Groups whose values are all NULL / NaN are absent from the result.
     ``stats`` maps any of n / sum / avg / min / max to an output column; they
     describe the same non-NULL values and come from the same passes.
@@ -240,8 +243,9 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
         if n > hot_group_rows:
             return _exact_grouped(df, keys, value, alias, stats, **kw)
         return _builtin_grouped(df, keys, value, alias, stats)
-    hot = (x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gn"))
-            .where(F.col("__gn") > hot_group_rows).select(*keys))
+    counted = sizes.select(*keys, F.col("n").alias("__gn")) if sizes is not None else \
+        x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gn"))
+    hot = counted.where(F.col("__gn") > hot_group_rows).select(*keys)
     # written once (<= rows / hot_group_rows keys): counted, then used by both joins below
     ensure_checkpoint_dir(df.sparkSession)
     hot = hot.checkpoint(eager=True)

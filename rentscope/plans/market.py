@@ -33,9 +33,12 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
                     out_key: str | None = None, count_alias: str = "listings",
                     share_alias: str = "pct_of_city_supply", avg_alias: str = "avg_price",
                     median_alias: str = "median_price", share_digits: int = 1,
-                    min_rows: int | None = None) -> DataFrame:
+                    min_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Groups by size with share, mean and exact median of priced rows (A1/D3/M7/H1).
 
+    ``sizes`` (``key``, ``n``): priced rows per group counted by a cheaper plan, used
+    only to route hot groups in the median.
+
     Share is taken over the groups that survive the inner join with the
     medians (the NULL group drops out) and before the limit.
     """
@@ -43,7 +46,7 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
     priced = df.where(F.col(value) > 0)
     # count and mean come from the median's first pass; the source's inner join
     # of the two aggregates drops the NULL group, so drop it explicitly.
-    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"})
+    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"}, sizes=sizes)
     # one row per group, read twice (rows and the share's total): written once
     j = materialize(j.where(F.col(key).isNotNull()))
     if min_rows is not None:

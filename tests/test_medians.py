@@ -2,6 +2,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from rentscope.operators import global_median, grouped_median, median_ratio, multi_median
 
@@ -113,3 +114,16 @@ def test_global_and_multi_every_method(spark, kw):
     assert (mm["n"], mm["ma"], mm["mb"]) == (4, 3.5, 20.0)
     by = {r["k"]: (r["n"], r["ma"], r["mb"]) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", **kw).collect()}
     assert by == {"x": (1, 1.0, 10.0), "y": (2, 3.5, 35.0), None: (1, 9.0, 5.0)}
+
+
+def test_caller_sizes_only_route(spark):
+    """Sizes from a cheaper plan only decide which groups take the selection path."""
+    rnd = random.Random(3)
+    data = [(rnd.choice("abcd"), float(rnd.randint(0, 99))) for _ in range(400)]
+    df = spark.createDataFrame(data, "k string, v double")
+    want = _rows(grouped_median(df, ["k"], "v", "m", method="builtin"))
+    exact_sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    overcount = exact_sizes.withColumn("n", F.col("n") * 1000)              # every group looks hot
+    for sizes in (exact_sizes, overcount):
+        got = _rows(grouped_median(df, ["k"], "v", "m", sizes=sizes, hot_group_rows=150, final_max_rows=5, buckets=3))
+        assert got == want
