@@ -115,9 +115,10 @@ def snapshot_changes(stacked: DataFrame, key: str, label: str = "month",
 
 def movers_by_period(stacked: DataFrame, key: str, value: str, *, label: str = "month",
                      prev_label: str = "prev_month", min_rows: int = 50, k: int = 3,
-                     digits: int = 2) -> DataFrame:
+                     digits: int = 2, sizes: DataFrame | None = None) -> DataFrame:
     """For every snapshot, the ``k`` groups whose exact median moved most against the
-    snapshot before it (J9 + O7 over all snapshots).
+    snapshot before it (J9 + O7 over all snapshots). ``sizes`` (``label``, ``key``, ``n``):
+    rows per (snapshot, group) from a cheaper plan, used only to route the median.
 
     All (snapshot, group) medians and counts come from one grouped median; each
     snapshot's row is joined with its predecessor's on the group key (inner: the
@@ -126,7 +127,8 @@ def movers_by_period(stacked: DataFrame, key: str, value: str, *, label: str = "
     """
     from ..functions.numeric import round_half_up, safe_ratio
     from .topk import top_k_per_group
-    s = grouped_median(stacked.where(F.col(key).isNotNull()), [label, key], value, "__med", stats={"n": "__n"})
+    s = grouped_median(stacked.where(F.col(key).isNotNull()), [label, key], value, "__med", stats={"n": "__n"},
+                       sizes=sizes)
     s = materialize(s)          # one row per (snapshot, group), read three times below
     seq = _with_previous(s.select(label).distinct(), label, prev_label)   # every snapshot with values
     s = s.where(F.col("__n") >= min_rows)

@@ -157,9 +157,11 @@ def having_top(df: DataFrame, key: str, value: Column | str, *, min_rows: int |
 
 def value_picks(df: DataFrame, key: str, value: str, *, median_filter: Column,
                 pick_filter: Column, order: Sequence[Column], tiebreak: Sequence[str],
-                k: int, select: Sequence[Column], median_alias: str = "nb_median_price") -> DataFrame:
-    """Rows below their group's exact median that pass ``pick_filter``."""
-    med = grouped_median(df.where(median_filter), [key], value, "__med")
+                k: int, select: Sequence[Column], median_alias: str = "nb_median_price",
+                sizes: DataFrame | None = None) -> DataFrame:
+    """Rows below their group's exact median that pass ``pick_filter``.
+    ``sizes``: rows per group under ``median_filter`` from a cheaper plan (routing only)."""
+    med = grouped_median(df.where(median_filter), [key], value, "__med", sizes=sizes)
     j = df.join(med, key, "inner").where(pick_filter & (F.col(value) < F.col("__med")))
     j = j.withColumn(median_alias, R("__med", 2))
     return top_k(j, order, k, tiebreak).select(*select)
