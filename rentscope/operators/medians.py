@@ -264,13 +264,15 @@ def global_median(df: DataFrame, value, alias: str = "median", **kw) -> DataFram
 
 
 def multi_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
-                 count_alias: str | None = "n", **kw) -> DataFrame:
+                 count_alias: str | None = "n", sizes: DataFrame | None = None, **kw) -> DataFrame:
     """Several medians at once (G8) after the joint not-NULL filter.
 
     ``columns`` maps output name -> input column. The columns are unpivoted to
     (metric, value) rows, so one exact-median pipeline over (keys, metric) serves
     all of them: one scan, one histogram shuffle and one refinement per call
     instead of one per column; the small result is pivoted back per group.
+    ``sizes`` (``keys`` + ``n``): rows per group after the joint filter, from a cheaper
+    plan; every metric of a group has that many values (routing only).
     """
     keys = list(keys)
     cond = None
@@ -279,7 +281,12 @@ def multi_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
     entries = F.array(*[F.struct(F.lit(i).alias("__m"), _value(c).alias("__x"))
                         for i, c in enumerate(columns.values())])
     long = df.where(cond).select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.__m", "__e.__x")
-    m = grouped_median(long, keys + ["__m"], "__x", "__med", stats={"n": "__cnt"}, **kw)
+    if sizes is not None and keys:
+        idx = F.array(*[F.lit(i) for i in range(len(columns))])
+        sizes = sizes.select(*keys, F.explode(idx).alias("__m"), "n")
+    elif sizes is not None:
+        sizes = None            # one global group per metric: the count pass is a single row anyway
+    m = grouped_median(long, keys + ["__m"], "__x", "__med", stats={"n": "__cnt"}, sizes=sizes, **kw)
     aggs = [F.max(F.when(F.col("__m") == i, F.col("__med"))).alias(name) for i, name in enumerate(columns)]
     if count_alias:
         aggs.insert(0, F.max(F.when(F.col("__m") == 0, F.col("__cnt"))).alias(count_alias))

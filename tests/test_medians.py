@@ -127,3 +127,12 @@ def test_caller_sizes_only_route(spark):
     for sizes in (exact_sizes, overcount):
         got = _rows(grouped_median(df, ["k"], "v", "m", sizes=sizes, hot_group_rows=150, final_max_rows=5, buckets=3))
         assert got == want
+
+
+def test_multi_median_caller_sizes(spark):
+    df = spark.createDataFrame([(k, float(i), float(i % 7)) for k in "xy" for i in range(60)], "k string, a double, b double")
+    want = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", method="builtin").collect()}
+    sizes = df.groupBy("k").agg((F.count(F.lit(1)) * 100).alias("n"))          # overcounted: all hot
+    got = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", sizes=sizes,
+                                                  hot_group_rows=10, final_max_rows=3, buckets=2).collect()}
+    assert got == want
