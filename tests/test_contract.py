@@ -18,7 +18,7 @@ def test_entry(spark):
 def test_keys_cover_oracles():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"random_sample", "ingest_incremental"}
+    assert set(q) - set(o) == {"random_sample"}
 
 
 @pytest.mark.parametrize("key", ["top_groups_supply", "median_by_group", "portfolio_concentration", "kpi_by_month",
