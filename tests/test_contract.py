@@ -25,7 +25,7 @@ def test_keys_cover_oracles():
                                  "word_top", "compare_groups", "metric_deltas", "rolling_cohort_max",
                                  "snapshot_diff", "group_movers", "stack_and_prune", "csv_roundtrip", "pending_months",
                                  "latest_snapshot_pick", "previous_month", "month_of_year_mean", "median_multi",
-                                 "calendar_load", "calendar_min_nights", "reviews_load"])
+                                 "calendar_load", "calendar_min_nights", "reviews_load", "metrics_document"])
 def test_oracle_match(spark, key):
     con = duckdb.connect()
     for t in TABLES:
