@@ -6,6 +6,7 @@
    by selection, the rest built-in), selection for all groups, and the built-in
    ``median`` aggregate for all groups, checked equal.
 3. Snapshot changes and median movers over 12 snapshots of the same data (hot key kept).
+4. Word and bigram top-k over 1 M documents where one word is a third of all tokens.
 
 usage: python scripts/scale_probe.py [rows_for_median]
 """
@@ -76,6 +77,21 @@ def main():
     mv = movers_by_period(snaps, "k", "v", min_rows=50, k=3).collect()
     res["movers_by_period"] = round(time.perf_counter() - t0, 2)
     res["movers_rows"] = len(mv)
+    # text: 1 M documents of 60 words; one word is a third of all tokens (a hot group for the word counts)
+    from rentscope.operators import bigram_top, word_top
+    n_docs = 1_000_000
+    words_expr = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.when(
+        i % 3 == 0, F.lit("hotword")).otherwise(F.concat(F.lit("w"), (F.abs(F.xxhash64(F.col("id"), i)) % 50_000)
+                                                         .cast("string"))))
+    docs = spark.range(n_docs).select((F.col("id") % 4).cast("string").alias("lang"),
+                                      F.concat_ws(" ", words_expr).alias("text"))
+    t0 = time.perf_counter()
+    wt = word_top(docs, "text", ["lang"], k=20, min_len=1, stop_words=()).collect()
+    res["word_top_1M_docs"] = round(time.perf_counter() - t0, 2)
+    res["word_top_hot_count_ok"] = all(r["count"] == n_docs // 4 * 20 for r in wt if r["word"] == "hotword")
+    t0 = time.perf_counter()
+    bigram_top(docs, "text", ["lang"], k=10).collect()
+    res["bigram_top_1M_docs"] = round(time.perf_counter() - t0, 2)
     res["calendar_rows"] = rows
     res["median_rows"] = n_med
     print(json.dumps(res))
