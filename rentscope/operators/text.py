@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from ..functions.text import NON_WORD, bigrams, tokens, word_count_spaces
+from ..functions.text import NON_WORD, bigrams, line_bigrams, tokens, word_count_spaces, word_line
 from .partitioning import spread_for_cpu
 from .topk import top_k_per_group
 
@@ -45,10 +45,14 @@ def word_top(df: DataFrame, text: str, group: Sequence[str], k: int = 100, **kw)
 def bigram_top(df: DataFrame, text: str, group: Sequence[str], k: int = 20, *,
                separator: str = NON_WORD, min_len: int = 1) -> DataFrame:
     """Top-k adjacent word pairs per group (T2); pairs never cross documents."""
-    src = df.select(*group, text).where(F.col(text).isNotNull())
-    toks = spread_for_cpu(src).select(*group, tokens(text, separator, min_len).alias("__w"))
-    toks = toks.select(*group, F.filter("__w", lambda x: F.length(x) > 0).alias("__w"))
-    pairs = toks.select(*group, F.explode(bigrams("__w")).alias("bigram"))
+    src = spread_for_cpu(df.select(*group, text).where(F.col(text).isNotNull()))
+    if separator == NON_WORD:
+        # letter-run words: pairs straight from the word line, inside generated code
+        pairs = src.select(*group, F.explode(line_bigrams(word_line(text, min_len))).alias("bigram"))
+    else:
+        toks = src.select(*group, tokens(text, separator, min_len).alias("__w"))
+        toks = toks.select(*group, F.filter("__w", lambda x: F.length(x) > 0).alias("__w"))
+        pairs = toks.select(*group, F.explode(bigrams("__w")).alias("bigram"))
     cnt = pairs.groupBy(*group, "bigram").agg(F.count(F.lit(1)).alias("count"))
     return top_k_per_group(cnt, group, [F.col("count").desc(), F.col("bigram").asc()], k)
 

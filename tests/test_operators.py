@@ -81,3 +81,14 @@ def test_null_ordering(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 7), (4, None)], "id int, n int")
     assert [r["id"] for r in top_k(df, [F.col("n").desc()], 4, ["id"]).collect()] == [3, 2, 1, 4]
     assert [r["id"] for r in top_k(df, ["n"], 4, ["id"]).collect()] == [1, 4, 2, 3]
+
+
+def test_line_bigrams_equal_token_bigrams(spark):
+    from rentscope.functions.text import bigrams, line_bigrams, tokens, word_line
+    texts = ["<p>Great stay, really GREAT!</p>", "a  b c", "", "   ", "Très bien: l'été à Paris", "x", "one two",
+             "it's a de-luxe room\nnear the sea", "<b>", "ab cd efg hijk lmnop"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 4):
+        toks = F.filter(tokens("t", min_len=n), lambda x: F.length(x) > 0)
+        got = df.select(line_bigrams(word_line("t", n)).alias("a"), bigrams(toks).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got), [(r["a"], r["b"]) for r in got if r["a"] != r["b"]]
