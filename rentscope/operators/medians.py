@@ -217,7 +217,7 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
     table is checkpointed and its size checked before it is broadcast). Other
     groups get Spark's one-pass ``median`` (partial aggregation, buffer bounded by
     the group size); hot groups get the histogram selection below. Without hot
-    groups this is one count job plus one aggregation.
+    groups this is one size pass over the data plus one aggregation.
     ``method="exact"``: histogram selection for every group.
     ``method="builtin"``: ``F.median`` for every group - for groups known to be small.
     The built-in interpolates 0.5*lo + 0.5*hi, the selection averages (lo + hi) / 2:
