@@ -245,13 +245,21 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
         return _builtin_grouped(df, keys, value, alias, stats)
     counted = sizes.select(*keys, F.col("n").alias("__gn")) if sizes is not None else \
         x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gn"))
-    hot = counted.where(F.col("__gn") > hot_group_rows).select(*keys)
-    # written once (<= rows / hot_group_rows keys): counted, then used by both joins below
+    is_hot = F.col("__gn") > hot_group_rows
+    # the hot keys (<= rows / hot_group_rows of them) plus at most one cold row, which
+    # only says whether any cold group exists; both come from the same counted table
+    # (one exchange, reused) and are written once, then counted and joined below
+    summary = (counted.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
+               .unionByName(counted.where(~is_hot).limit(1).select(*keys, F.lit(False).alias("__hot"))))
     ensure_checkpoint_dir(df.sparkSession)
-    hot = hot.checkpoint(eager=True)
+    summary = summary.checkpoint(eager=True)
+    hot = summary.where(F.col("__hot")).select(*keys)
     n_hot = hot.count()
     if n_hot == 0:
         return _builtin_grouped(df, keys, value, alias, stats)
+    if summary.where(~F.col("__hot")).count() == 0:
+        # every group is hot (e.g. a few brands over 100 TB): no split, no anti-join pass
+        return _exact_grouped(df, keys, value, alias, stats, **kw)
     side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     small = _builtin_grouped(_ns_semi(df, side, keys, "left_anti"), keys, value, alias, stats)
     big = _exact_grouped(_ns_semi(df, side, keys, "left_semi"), keys, value, alias, stats, **kw)
