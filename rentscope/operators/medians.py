@@ -197,7 +197,9 @@ def _exact_grouped(df: DataFrame, keys: list[str], value, alias: str, stats: dic
     gkeys = keys or [_ALL]
     st = {"n": F.max("__n"), "sum": F.max("__gsum"), "avg": F.max("__gsum") / F.max("__n"),
           "min": F.max("__gmin"), "max": F.max("__gmax")}
-    out = mv.groupBy(*gkeys).agg(F.avg(_V).alias(alias), *[st[k].alias(c) for k, c in stats.items()])
+    # equal middles are the median itself (avg would overflow for two values near the double maximum)
+    mid = F.when(F.min(_V) == F.max(_V), F.min(_V)).otherwise(F.avg(_V))
+    out = mv.groupBy(*gkeys).agg(mid.alias(alias), *[st[k].alias(c) for k, c in stats.items()])
     return out.drop(_ALL) if not keys else out
 
 

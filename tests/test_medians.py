@@ -136,3 +136,10 @@ def test_multi_median_caller_sizes(spark):
     got = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", sizes=sizes,
                                                   hot_group_rows=10, final_max_rows=3, buckets=2).collect()}
     assert got == want
+
+
+def test_equal_huge_middles_do_not_overflow(spark):
+    big = 8.98846567431158e+307                  # half the double maximum: big + big overflows
+    df = spark.createDataFrame([("a", big), ("a", big), ("b", big), ("b", big), ("b", 1.0)], "k string, v double")
+    for kw in ({"method": "exact"}, {"method": "builtin"}, {"hot_group_rows": 1}):
+        assert _rows(grouped_median(df, ["k"], "v", "m", **kw)) == {"a": big, "b": big}, kw
