@@ -56,3 +56,10 @@ def test_movers_by_period_brute_force(spark):
     for a, b in zip(got, want):
         assert a[:3] == b[:3] and a[5:7] == b[5:7]
         assert all(abs(x - y) < 1e-6 for x, y in zip(a[3:5] + a[7:], b[3:5] + b[7:]))
+
+
+def test_snapshot_changes_null_key_is_one_key(spark):
+    df = spark.createDataFrame([("2026-01", None), ("2026-01", 1), ("2026-02", None), ("2026-02", 2)],
+                               "month string, id long")
+    r = snapshot_changes(df, "id").first()
+    assert (r["month"], r["prev_month"], r["added"], r["removed"], r["kept"]) == ("2026-02", "2026-01", 1, 1, 1)
