@@ -88,6 +88,8 @@ class Pieces:
 
 def _groups(words: list[bytes]):
     """(word numbers, matrix of their marked bytes) of words of one length, in bounded batches."""
+    if not words:
+        return
     length = np.array([len(w) for w in words])
     order = np.argsort(length, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0, True])
