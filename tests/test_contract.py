@@ -3,6 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from rentscope.plans import bindings
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +17,8 @@ def test_entry(spark):
 
 
 def test_keys_cover_oracles():
-    q, o = E.queries(), E.oracle_sql()
+    assert set(E.oracle_sql()) <= set(E.queries())
+    q, o = bindings.queries(), bindings.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"random_sample"}
 
