@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, texts
+from .common import map_batches, small_batches, texts, written
 
 ALPHA, DELTA = 0.02, 0.05
 #: Upper ends (exclusive) of the word-count bands that are the strata; the last is open.
@@ -160,10 +160,13 @@ def rejected(cutoffs: dict[tuple[int, str], float]) -> Column:
 
 
 def op6_quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row a document: base columns, base_failed, kept. Null or empty text fails the base."""
-    cutoffs = calibrate(with_statistics(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), ["doc_id"]), labels, alpha, delta)
-    return (with_statistics(docs, ["doc_id"])
-            .withColumn("base_failed", base_failed())
+    """One row a document: base columns, base_failed, kept. Null or empty text fails the base.
+
+    The statistics are taken once and written; the labels meet them, not the texts.
+    """
+    stats = written(with_statistics(docs, ["doc_id"]), "statistics")
+    cutoffs = calibrate(stats, labels, alpha, delta)
+    return (stats.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
 
@@ -171,7 +174,7 @@ def op6_quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA,
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that pass, same columns (whatever their names)."""
     names = docs.columns
-    cutoffs = calibrate(with_statistics(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), ["doc_id"]), labels, alpha, delta)
+    cutoffs = calibrate(with_statistics(docs, ["doc_id"]), labels, alpha, delta)
     copy = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"))
     kept = with_statistics(copy, [f"c{i}" for i in range(len(names))]).filter(~base_failed() & ~rejected(cutoffs))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
