@@ -18,6 +18,8 @@ have is spread over as many tasks as wrote it.
 """
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -48,35 +50,72 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _encoder(path: str):
-    """ids of white-space separated words, as bytes; kept for the life of the worker.
-
-    The normalizer and the splitting pattern never look across white space, so the ids of a text
-    are those of its words in turn.
-    """
+def _encoder(path: str) -> dict:
+    """Tokenizer, which ids end a word, and the ids of known words; kept for the life of the worker."""
     if _WORKER.get("path") != path:
         from tokenizers import Tokenizer
-        _WORKER.update(path=path, tok=Tokenizer.from_file(path), ids={})
-    return _WORKER["tok"], _WORKER["ids"]
+        tok = Tokenizer.from_file(path)
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        ends[[i for s, i in tok.get_vocab().items() if s.endswith("</w>")]] = True
+        _WORKER.update(path=path, tok=tok, ends=ends, ids={})
+    return _WORKER
+
+
+def _learn(words: list[bytes], known: dict[bytes, bytes], tok, ends: np.ndarray) -> None:
+    """Adds the ids of new words. Words of letters only are encoded many at a time, as one text:
+    each is one word to the tokenizer too, so its ids end with the first that ends a word."""
+    plain, rest = [], []
+    for w in words:
+        s = w.decode("utf-8", "replace")
+        letters = s.isalpha() and (w.isascii() or s == s.lower() and unicodedata.is_normalized("NFC", s))
+        (plain if letters else rest).append((w, s))
+    for i in range(0, len(plain), 2048):
+        part = plain[i:i + 2048]
+        ids = np.array(tok.encode_batch_fast([" ".join(s for _, s in part)], add_special_tokens=False)[0].ids, "<u4")
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) != len(part):
+            rest += part
+            continue
+        raw, a = ids.tobytes(), 0
+        for (w, _), z in zip(part, (4 * stop).tolist(), strict=True):
+            known[w], a = raw[a:z], z
+    for i in range(0, len(rest), 2048):
+        part = rest[i:i + 2048]
+        for (w, _), e in zip(part, tok.encode_batch_fast([s for _, s in part], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+#: Marks that may follow a word. After an ASCII letter or digit they are a word of their own to
+#: the tokenizer, however many there are.
+_TAIL = b".,!?;:#*$%&|"
+_ALNUM = frozenset(range(0x30, 0x3A)) | frozenset(range(0x61, 0x7B))
 
 
 def encode(batch: list[bytes], path: str) -> list[bytes]:
-    """Little-endian uint32 ids of each text, END_ID appended."""
-    import os
+    """Little-endian uint32 ids of each text, END_ID appended.
+
+    The normalizer and the splitting pattern never look across white space, so the ids of a text
+    are those of its words in turn. Lower-casing ASCII is part of the normalizer and is done first
+    (unless the text may spell a special token), so fewer words are distinct.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok, known = _encoder(path)
+    worker = _encoder(path)
+    known = worker["ids"]
     if len(known) > CACHE_WORDS:
         known.clear()
-    out, end = [], np.array([END_ID], "<u4").tobytes()
-    for t in batch:
-        words = t.decode("utf-8", "replace").split()
-        new = [w for w in set(words) if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out.append(b"".join([*map(known.__getitem__, words), end]))
-    return out
+    split = [(t if b"<|" in t else t.lower()).split() for t in batch]
+    parts: dict[bytes, tuple[bytes, bytes]] = {}
+    for w in {w for words in split for w in words}:
+        if w not in known:
+            core = w.rstrip(_TAIL)
+            parts[w] = (core, w[len(core):]) if core and core[-1] in _ALNUM else (w, b"")
+    new = {x for p in parts.values() for x in p if x and x not in known}
+    _learn(sorted(new), known, worker["tok"], worker["ends"])
+    for w, (core, tail) in parts.items():
+        if tail:
+            known[w] = known[core] + known[tail]
+    end = np.array([END_ID], "<u4").tobytes()
+    return [b"".join([*map(known.__getitem__, words), end]) for words in split]
 
 
 def pieces(docs: DataFrame, columns: list[str], path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
