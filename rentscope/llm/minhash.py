@@ -9,12 +9,14 @@
 3. In each bucket every member is paired with the bucket's centre only (a star), and the pairs are
    confirmed on the full shingle sets. That bounds the pairs by the bucket rows, but a star can
    miss a link between two members. So a bucket whose other members do not lie in one component
-   afterwards gets more stars, with the members of most links as centres and twice as many centres
-   from round to round, until every pair of its members is in one component or was compared. No
-   cap is set, and no pair that shares a bucket is skipped.
+   afterwards gets more stars, with GROWTH times as many centres from round to round, until every
+   pair of its members is in one component or was compared. Centres are the members that share
+   the most buckets with others (an original before its copies), after the first round those
+   without a link before the rest: once they are through, a bucket has one component. A pair is left out only if its
+   sizes, or how many of its shingles no other open member has, rule a link out; no cap is set.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 
-At a similarity of 0.8 a pair shares no bucket with probability (1 - 0.8^6)^40 = 5e-6.
+At a similarity of 0.8 a pair shares no bucket with probability (1 - 0.8^8)^45 = 2.5e-4, at 0.85 with 7e-7.
 """
 from __future__ import annotations
 
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, small_batches, written
 from .shingles import U, mix, shingle_sets, stream
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 45, 8
+#: How many times more centres a bucket gets from round to round.
+GROWTH = 64
 PERCENT = 80
 
 _BORROW: dict[int, np.ndarray] = {}
@@ -91,8 +95,15 @@ def fingerprints(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                        f"doc_id {kind}, row long, n_shingles long, sid binary, bands array<long>")
 
 
+#: Up to this many wanted rows (24 bytes each) are broadcast to the tasks that read the texts; for
+#: more the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """sid and its sorted shingle hashes (binary); wanted: sid and row, the row that is read for it."""
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     rows = docs.select("text", row_key().alias("row")).join(wanted, "row").select("text", "sid")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,26 +116,33 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A centre with very many pairs is a skewed
-    join key, which adaptive execution splits; each row is compared on its own."""
+    """The pairs (a, b, aw, bw) whose sets are similar enough. A centre with very many pairs is a
+    skewed join key, which adaptive execution splits; each row is compared on its own."""
     small_batches(pairs.sparkSession)
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    names = ["a", "b", "aw", "bw"]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
             p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                continue
             at = np.searchsorted(q, p)
             common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
             if 100 * common >= percent * (len(p) + len(q) - common):
                 keep.append(i)
         i = pa.array(keep, pa.int64())
-        return pa.RecordBatch.from_arrays([b.column("a").take(i), b.column("b").take(i)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([b.column(c).take(i) for c in names], names=names)
+
+    return map_batches(both.select(*names, "x", "y"), run, "a binary, b binary, aw long, bw long")
 
-    return map_batches(both.select("a", "b", "x", "y"), run, "a binary, b binary")
+
+def labels(links: DataFrame) -> DataFrame:
+    """sid, root: the linked class of the highest weight, itself included. Classes of one root are
+    connected; a component may have several roots, which costs comparisons but no link."""
+    both = links.select(F.col("a").alias("sid"), F.struct(F.col("aw").alias("w"), F.col("a").alias("at")).alias("own"), F.struct(F.col("bw").alias("w"), F.col("b").alias("at")).alias("other"))
+    both = both.union(links.select("b", F.struct(F.col("bw").alias("w"), F.col("b").alias("at")), F.struct(F.col("aw").alias("w"), F.col("a").alias("at"))))
+    return both.groupBy("sid").agg(F.max(F.greatest("own", "other")).alias("r")).select("sid", F.col("r.at").alias("root"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -159,39 +177,71 @@ def link(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS
     classes = written(prints.filter("n_shingles > 0").groupBy("sid")
                       .agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     every = classes.select("sid", "n", F.explode("bands").alias("bucket"))
-    shared = written(every.groupBy("bucket").agg(F.min(F.struct("sid", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("bucket", "c"), "centres")
-    rest = written(every.join(shared, "bucket").select("bucket", "sid", "n", F.col("sid").alias("root"), F.col("c.sid").alias("centre"),
-                                                       F.col("c.n").alias("centre_n"), F.col("c.sid").alias("centre_root")), "members")
-    wanted = written(rest.select("sid").distinct(), "wanted")
-    sets = written(full_sets(docs, written(wanted.join(classes.select("sid", "row"), "sid"), "wanted-rows"), n), "sets")
-    edges = roots = tested = None
+    shared = written(every.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
+    members = written(every.join(shared, "bucket"), "members")
+    # the class that meets the most others is the likeliest to be what they are copies of
+    weights = written(members.groupBy("sid").agg(F.sum(F.col("k") - 1).alias("w")), "weights")
+    sets = written(full_sets(docs, written(weights.join(classes.select("sid", "row"), "sid").select("sid", "row"), "wanted"), n), "sets")
+    open_ = written(members.join(weights, "sid").select("bucket", "sid", "n", _largest(F.col("n"), F.col("n"), percent).alias("cap"), "w", F.col("sid").alias("root"), F.lit(False).alias("lone")), "members")
+    links = None
     groups = 1
     while True:
-        # a centre is compared with every member of its bucket that is not yet in its component;
-        # sets of too different sizes cannot be similar enough
-        near = F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n")
-        pairs = rest.filter("root <> centre_root").filter(near).select(F.greatest("sid", "centre").alias("a"), F.least("sid", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+        group = F.pmod(F.xxhash64("sid", F.lit(groups)), F.lit(groups))
+        centres = open_.groupBy("bucket", group.alias("g")).agg(F.max(F.struct("lone", "w", *[c for c in open_.columns if c not in ("bucket", "lone", "w")])).alias("c"))
+        centres = written(centres.select("bucket", "c"), "centres")
+        # a centre is compared with every member of its bucket that is not yet known to be in its
+        # component, unless their sizes or unshared shingles rule a link out
+        reach = "root <> c.root AND n <= c.cap AND c.n <= cap"
+        if links is not None:       # a pair that shares several open buckets is made in the first
+            reach += " AND bucket = array_min(array_intersect(buckets, c.buckets))"
+        ends = F.struct("sid", "w"), F.struct(F.col("c.sid").alias("sid"), F.col("c.w").alias("w"))
+        pairs = open_.join(centres, "bucket").filter(reach).select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).distinct()
+        pairs = written(pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.w").alias("aw"), F.col("b.w").alias("bw")), "pairs")
         new = written(confirm(pairs, sets, percent), "links")
-        edges = new if edges is None else edges.union(new)
-        roots = components(new if roots is None else new.union(roots.select(F.col("sid").alias("a"), F.col("root").alias("b"))))
-        # members that were not centres yet, of buckets in which they lie in several components
-        others = rest.join(rest.select("bucket", F.col("centre").alias("sid")).distinct(), ["bucket", "sid"], "left_anti").select("bucket", "sid", "n").distinct()
-        degree = edges.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("degree"))
-        others = written(others.join(written(roots.join(degree, "sid", "left"), "roots"), "sid", "left")
-                         .select("bucket", "sid", "n", F.coalesce("root", "sid").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "others")
-        open_buckets = others.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-        others = written(others.join(written(open_buckets, "open"), "bucket"), "unresolved")
-        if others.isEmpty():
-            return prints, roots
-        centres = (others.groupBy("bucket", F.pmod(F.xxhash64("sid", F.lit(groups)), F.lit(groups)).alias("g"))
-                   .agg(F.max(F.struct("degree", "sid", "n", "root")).alias("c")).select("bucket", "c"))
-        rest = written(others.select("bucket", "sid", "n", "root").join(written(centres, "centres"), "bucket").select(
-            "bucket", "sid", "n", "root", F.col("c.sid").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.root").alias("centre_root")), "members")
-        groups *= 2
+        first = links is None
+        links = new if first else links.union(new)
+        # left: members that were no centres yet, of buckets in which they have several roots
+        used = centres.select("bucket", F.col("c.sid").alias("sid"))
+        left = (open_.select("bucket", "sid", "n", "cap", "w").join(used, ["bucket", "sid"], "left_anti").join(written(labels(links), "labels"), "sid", "left")
+                .select("bucket", "sid", "n", "cap", "w", F.coalesce("root", "sid").alias("root"), F.col("root").isNull().alias("lone")))
+        open_ = _unresolved(written(left, "left"))
+        if first:
+            alone = written(unshared(sets, open_.select("sid").distinct()), "unshared")
+            tight = open_.join(alone, "sid", "left").select(
+                "bucket", "sid", "n", _largest(F.col("n"), F.col("n") - F.coalesce("u", F.lit(0)), percent).alias("cap"), "w", "root", "lone")
+            open_ = _unresolved(written(tight, "left"))
+        if open_.isEmpty():
+            return prints, components(links.select("a", "b"))
+        lists = written(open_.groupBy("sid").agg(F.collect_list("bucket").alias("buckets")), "lists")      # a list a class, one bucket a band at most
+        open_ = written(open_.join(lists, "sid"), "members")
+        groups *= GROWTH
+
+
+def _largest(n: Column, shared: Column, percent: int) -> Column:
+    """The largest size of a set to which a set of n shingles can be linked, if at most ``shared``
+    of its shingles are in other sets: (100 + percent) * common >= percent * (sum of both sizes)."""
+    return F.floor((100 + percent) * shared / percent).cast("long") - n
+
+
+def _unresolved(members: DataFrame) -> DataFrame:
+    """Members of buckets that may still hold a link between two components: those for which some
+    member of the bucket has a size within reach, where they lie in several components."""
+    reach = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.min("root").alias("x"), F.max("root").alias("y"))
+    reach = written(reach.filter("x <> y").select("bucket", "least", "most"), "reach")
+    return written(members.join(reach, "bucket").filter("cap >= least AND n <= most").drop("least", "most"), "members")
+
+
+def unshared(sets: DataFrame, sids: DataFrame) -> DataFrame:
+    """sid, u: how many of its shingles no other of the sids has. Those cannot be common to a pair,
+    which tells near misses (copies with too many edits of their own) apart without comparing them."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        each = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]), pa.int64())
+        return pa.RecordBatch.from_arrays([b.column("sid").take(at), pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], names=["sid", "shingle"])
+
+    rows = map_batches(sets.join(sids, "sid").select("sid", "shingles"), run, "sid binary, shingle long")
+    return (rows.groupBy("shingle").agg(F.min("sid").alias("sid"), F.count("*").alias("k")).filter("k = 1")
+            .groupBy("sid").agg(F.count("*").alias("u")))
 
 
 def clusters(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
