@@ -32,7 +32,7 @@ def _prefix_cast(c: Column, pattern: str, typ: str, zero) -> Column:
         .otherwise(p.try_cast(typ))
 
 
-def to_int(c, typ: str = "int") -> Column:
+def to_int(c, typ: str = "long") -> Column:
     """Lenient integer cast (N2): numeric prefix, '3.0' -> 3, 'abc' -> 0, '' -> NULL."""
     return _prefix_cast(blank_to_null(c), _INT_PREFIX, typ, 0)
 
@@ -70,4 +70,5 @@ def leading_number(c) -> Column:
 
 def iso_date(c) -> Column:
     """ISO date text -> DATE, anything unparsable or blank -> NULL."""
-    return blank_to_null(c).try_cast("date")
+    c = blank_to_null(c)
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("date"))

@@ -51,20 +51,9 @@ def _coarse_bucket(v: Column, per_unit: float) -> Column:
     return F.when(v == F.lit(_INF), F.lit(1 << 62)).when(v == F.lit(-_INF), F.lit(-(1 << 62))).otherwise(finite)
 
 
-def _fine_bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
-    """Equal-width sub-bucket of v in [lo, hi] (lo < hi), monotone in v.
-
-    Width hi - lo is used when finite (it is > 0, also for subnormal intervals);
-    when it overflows the halved bounds are used; an infinite bound cannot be
-    split by width, so the interval stays one bucket (the final sort resolves it).
-    """
-    inf, half = F.lit(_INF), F.lit(0.5)
-    width = hi - lo
-    frac = (F.when(width < inf, (v - lo) / width)
-             .when((lo > -inf) & (hi < inf), (v * half - lo * half) / (hi * half - lo * half))
-             .otherwise(F.lit(0.0)))
-    b = F.floor(frac * F.lit(float(buckets))).cast("long")
-    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1))
+def _quantile_bucket(v: Column) -> Column:
+    """Bucket of v among the cuts ``__q``, monotone in v; equal to a cut is a bucket of its own."""
+    return F.size(F.filter("__q", lambda q: q < v)) + F.size(F.filter("__q", lambda q: q <= v))
 
 
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,16 +101,18 @@ def _join_targets(x: DataFrame, iv: DataFrame, gkeys: list[str], n_rows: int) ->
     return _ns_join(x, F.broadcast(iv) if n_rows <= BROADCAST_MAX_ROWS else iv, gkeys)
 
 
-def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
-                  buckets: int = 4096, coarse_per_unit: float = 64.0,
+def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
+                  coarse_per_unit: float = 64.0,
                   final_max_rows: int = FINAL_MAX_ROWS) -> DataFrame:
     """One row per (group, middle rank) with the exact value at that rank.
 
     Columns: ``keys`` (or ``__all`` when no keys), the group statistics
     ``__n, __gsum, __gmin, __gmax`` (taken from the first histogram for free),
     ``__k`` rank, ``__v`` value.
-    Runs one histogram pass, then refinement passes only while some open
-    interval holds more than ``final_max_rows`` rows (at most ``levels`` passes).
+    Runs one histogram pass, then refinement passes while some open interval holds more
+    than ``final_max_rows`` rows. A pass cuts every open interval at ``cuts`` quantiles of its own
+    rows, whatever their magnitudes, and a value that is a cut has a bucket of its own; so each
+    pass divides the rows by about ``cuts`` or closes the interval, and the last sort is bounded.
     """
     keys = list(keys)
     gkeys = keys or [_ALL]
@@ -145,19 +136,19 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, levels: int = 4,
           .withColumn("__below", F.lit(0).cast("long")))
     t, n_t, max_open = _materialise(_pick_targets(h, gkeys, gkeys, _STATS))
 
-    # Further passes: equal-width sub-buckets inside each open interval.
-    level = 1
-    while max_open > final_max_rows and level < levels:
+    # Further passes: quantile sub-buckets inside each open interval.
+    while max_open > final_max_rows:
         open_iv = (t.where(F.col("__lo") < F.col("__hi"))
                     .groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below")
                     .agg(F.array_sort(F.collect_set("__k")).alias("__ks")))
         cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
-        h = (cand.groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below", "__ks",
-                          _fine_bucket(v, F.col("__lo"), F.col("__hi"), buckets).alias("__b"))
+        at = F.percentile_approx(v, [i / (cuts + 1) for i in range(1, cuts + 1)], 8 * (cuts + 1))
+        bounds = cand.groupBy(*gkeys, "__lo", "__hi").agg(at.alias("__q"))
+        cand = _ns_join(cand, bounds, gkeys + ["__lo", "__hi"])
+        h = (cand.groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below", "__ks", _quantile_bucket(v).alias("__b"))
                  .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh")))
         refined = _pick_targets(h, gkeys, gkeys + ["__lo", "__hi"], _STATS)
         t, n_t, max_open = _materialise(t.where(F.col("__lo") == F.col("__hi")).unionByName(refined))
-        level += 1
 
     # Intervals of one distinct value answer their ranks directly.
     closed = t.where(F.col("__lo") == F.col("__hi")).select(*gkeys, *_STATS, "__k", F.col("__lo").alias(_V))

@@ -32,9 +32,10 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int
     return df.withColumn(rank_alias, F.row_number().over(w)).where(F.col(rank_alias) <= k)
 
 
-def random_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n random rows (O4): top n by a seeded random key, no full sort."""
-    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+def random_sample(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
+    """n pseudo-random rows (O4): top n by the md5 of seed and key, no full sort. The rows depend
+    on the data alone, not on its partitions, so a rerun picks the same ones."""
+    return df.withColumn("__r", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("__r", key).limit(n).drop("__r")
 
 
 def extremes(df: DataFrame, label: str, value: str, order_key: str | None = None,

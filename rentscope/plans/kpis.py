@@ -106,7 +106,7 @@ def metrics_table(listings: DataFrame, month: str) -> DataFrame:
     parts += _long(L.a4_rating_bands(listings), "rating_band", "rating_band", ["listings", "avg_price"])        # M5
     parts += _long(L.a5_availability_bands(listings, priced_only=True), "availability_band", "availability_band",
                    ["listings", "implied_occupancy_pct"])                                            # M6
-    parts += _long(L.a1_top_areas(listings, 15, share_digits=2), "top_areas", "neighbourhood",
+    parts += _long(L.a1_top_areas(listings, 15, share_digits=2, keep_null_area=True), "top_areas", "neighbourhood",
                    ["listings", "pct_of_city_supply", "avg_price", "median_price"])                  # M7
     parts += _long(L.a8_host_concentration(listings, keep_null_host=True), "host_size", "host_size_band",
                    ["hosts", "listings", "pct_of_supply"])                                           # M8

@@ -89,10 +89,12 @@ def q8_spot_check(listings: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
 
 
 # ---------------------------------------------------------------- market questions
-def a1_top_areas(listings: DataFrame, k: int | None = 15, share_digits: int = 1) -> DataFrame:
-    """A1 (k=15, share to 1 place); D3 (k=None); M7 (share_digits=2)."""
+def a1_top_areas(listings: DataFrame, k: int | None = 15, share_digits: int = 1,
+                 keep_null_area: bool = False) -> DataFrame:
+    """A1 (k=15, share to 1 place); D3 (k=None); M7 (share_digits=2, keep_null_area=True:
+    the NULL area is a row and counts in the share's total)."""
     return M.supply_by_group(listings, "neighbourhood_cleansed", "price", limit=k, out_key="neighbourhood",
-                             share_digits=share_digits)
+                             share_digits=share_digits, keep_null=keep_null_area)
 
 
 def a2_entire_premium(listings: DataFrame, ratio_of_rounded: bool = False) -> DataFrame:
@@ -189,17 +191,20 @@ def d19_revenue_by_room(listings: DataFrame) -> DataFrame:
     """Median upper-bound 30-day revenue price x (30 - availability_30) by room type."""
     df = listings.where((F.col("price") > 0) & F.col("availability_30").isNotNull()) \
         .withColumn("rev", F.col("price") * (F.lit(30) - F.col("availability_30")))
-    m = grouped_median(df, ["room_type"], "rev", "__m")
-    n = df.groupBy("room_type").agg(F.count(F.lit(1)).alias("listings"))
-    return m.join(n, "room_type").select("room_type", R("__m", 2).alias("median_est_revenue"), "listings")
+    m = grouped_median(df, ["room_type"], "rev", "__m", stats={"n": "listings"})      # the NULL room type is a group
+    return m.select("room_type", R("__m", 2).alias("median_est_revenue"), "listings")
 
 
 def d22_forward_availability(listings: DataFrame, keys=(), min_rows: int | None = None,
                              k: int | None = None) -> DataFrame:
-    """D22 (city) / D23 (``keys=['neighbourhood_cleansed'], min_rows=30, k=15``): medians of 30/60/90."""
+    """D22 (city) / D23 (``keys=['neighbourhood_cleansed'], min_rows=30, k=15``): median free days
+    of the next 30/60/90 as a percentage of the window; rows with a NULL key are left out."""
     from ..operators import multi_median
-    out = multi_median(listings, list(keys), {"med_30": "availability_30", "med_60": "availability_60",
-                                              "med_90": "availability_90"}, count_alias="listings")
+    for key in keys:
+        listings = listings.where(F.col(key).isNotNull())
+    days = (30, 60, 90)
+    out = multi_median(listings, list(keys), {f"__{d}": f"availability_{d}" for d in days}, count_alias="listings")
+    out = out.select(*keys, "listings", *[R(F.col(f"__{d}") * 100.0 / d, 1).alias(f"med_avail_{d}") for d in days])
     if min_rows is not None:
         out = out.where(F.col("listings") >= min_rows)
     if k is not None:
@@ -239,7 +244,7 @@ def d21_revenue_exclusions(listings: DataFrame) -> DataFrame:
     """How many rows D19/D20 leave out, and why."""
     c = F.col
     return count_conditions(listings, {"no_price": c("price").isNull() | (c("price") <= 0),
-                                       "no_availability_30": c("availability_30").isNull(),
+                                       "no_availability_30": (c("price") > 0) & c("availability_30").isNull(),
                                        "no_area": c("neighbourhood_cleansed").isNull()}, "listings")
 
 

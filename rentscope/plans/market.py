@@ -33,14 +33,15 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
                     out_key: str | None = None, count_alias: str = "listings",
                     share_alias: str = "pct_of_city_supply", avg_alias: str = "avg_price",
                     median_alias: str = "median_price", share_digits: int = 1,
-                    min_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+                    min_rows: int | None = None, sizes: DataFrame | None = None,
+                    keep_null: bool = False) -> DataFrame:
     """Groups by size with share, mean and exact median of priced rows (A1/D3/M7/H1).
 
     ``sizes`` (``key``, ``n``): priced rows per group counted by a cheaper plan, used
     only to route hot groups in the median.
 
-    Share is taken over the groups that survive the inner join with the
-    medians (the NULL group drops out) and before the limit.
+    Share is taken over all groups before the limit. The NULL group is left out
+    of rows and share (A1/D3), unless ``keep_null`` (M7).
     """
     out_key = out_key or key
     priced = df.where(F.col(value) > 0)
@@ -48,7 +49,7 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
     # of the two aggregates drops the NULL group, so drop it explicitly.
     j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"}, sizes=sizes)
     # one row per group, read twice (rows and the share's total): written once
-    j = materialize(j.where(F.col(key).isNotNull()))
+    j = materialize(j if keep_null else j.where(F.col(key).isNotNull()))
     if min_rows is not None:
         j = j.where(F.col("__n") >= min_rows)
     j = share_of_total(j, "__n", "__share", digits=share_digits)
@@ -97,7 +98,8 @@ def portfolio_bands(df: DataFrame, owner: str, value: str, *, bounds=(1, 5),
 
     The source joins every row to its owner's portfolio; here the per-owner
     count and value sum are enough, so no detail row is joined back.
-    ``keep_null_owner`` makes the NULL owner one group (the monthly document).
+    ``keep_null_owner`` makes the NULL owner one group of the counts (the monthly
+    document); its rows have no owner to join to and stay out of the mean value.
     """
     base = df.where(F.col(value) > 0) if priced else df
     if not keep_null_owner:
@@ -106,7 +108,7 @@ def portfolio_bands(df: DataFrame, owner: str, value: str, *, bounds=(1, 5),
     b = band(F.col("portfolio_size"), bounds, labels, else_label)
     g = per.groupBy(b.alias(names[0])).agg(
         F.count(F.lit(1)).alias(names[1]), F.sum("portfolio_size").alias(names[2]),
-        F.sum("value_sum").alias("__vs"), F.sum("value_n").alias("__vn"))
+        *[F.sum(F.when(F.col(owner).isNotNull(), F.col(c))).alias(a) for c, a in (("value_sum", "__vs"), ("value_n", "__vn"))])
     g = share_of_total(g, names[2], names[3], digits=1)
     return g.select(names[0], names[1], names[2], names[3],
                     R(safe_ratio("__vs", "__vn"), 2).alias(names[4]))
@@ -169,8 +171,9 @@ def value_picks(df: DataFrame, key: str, value: str, *, median_filter: Column,
 
 def entity_ratio_mean(df: DataFrame, entity: str, flag: Column, *, alias: str,
                       count_alias: str, digits: int = 1) -> DataFrame:
-    """Mean over entities of each entity's flagged share, in %."""
-    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__t"), F.count_if(flag).alias("__f"))
+    """Mean over entities of each entity's flagged share, in % (C1). An entity whose flags are
+    all NULL has no share: it is counted, but not averaged."""
+    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__t"), F.sum(flag.cast("int")).alias("__f"))
     return per.agg(R(F.avg(F.col("__f") / F.col("__t")) * F.lit(100.0), digits).alias(alias),
                    F.count(F.lit(1)).alias(count_alias))
 

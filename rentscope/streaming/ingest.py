@@ -4,9 +4,10 @@ New snapshot files dropped into an incoming folder are picked up by a file
 stream; ``trigger(availableNow=True)`` processes what is there and stops, and
 the checkpoint remembers which files were done, so a rerun only sees new files
 (S11). Each micro-batch is cleaned and written with dynamic partition
-overwrite of its months: a replayed batch (after an executor or driver loss
-between write and commit) rewrites the same partitions instead of appending
-twice. One snapshot = one folder dropped at once.
+overwrite of its (month, batch) partitions: a replayed batch (after an executor or
+driver loss between write and commit) rewrites the same partitions instead of
+appending twice, and a later file of a month adds to it. A short or long row, another
+header, or a file without a month in its name or folder fails the batch.
 """
 from __future__ import annotations
 
@@ -32,13 +33,17 @@ def ingest_snapshots(spark: SparkSession, incoming: str, table_path: str, checkp
     """
     stream = (spark.readStream.schema(all_string(columns)).option("header", True)
               .option("multiLine", multiline).option("escape", '"')
-              .option("enforceSchema", not check_header).csv(incoming))
-    stream = stream.withColumn("month", F.regexp_extract(F.col("_metadata.file_path"), month_pattern, 1))
+              .option("mode", "FAILFAST").option("enforceSchema", not check_header).csv(incoming))
+    # the file's own name and its folder, not a month somewhere up the path
+    place = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    month = F.regexp_extract(place, month_pattern, 1)
+    stream = stream.withColumn("month", F.when(month != "", month).otherwise(
+        F.raise_error(F.concat(F.lit("no month in the file or folder name: "), F.col("_metadata.file_path")))))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = transform(batch)
+        out = transform(batch).withColumn("batch", F.lit(epoch_id))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("month").parquet(table_path))
+            .partitionBy("month", "batch").parquet(table_path))
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -167,3 +167,22 @@ def test_a10_keeps_null_group_and_m10_differs(listings):
            for r in L.a10_revenue_leaders(listings, min_rows=None, priced_only=True).collect()}
     assert m10 == {"A": 4, "B": 3, "C": 1, None: 2, "D": 6}
     assert L.a10_revenue_leaders(listings).count() == 0        # A10 keeps groups of >= 20 rows only
+
+
+def test_null_groups_follow_the_definitions(spark):
+    """D19 keeps the NULL room type, M7 the NULL area; D21 counts missing availability of priced rows only;
+    D22/D23 are percentages of the window without the NULL area; M8's mean leaves the NULL owner out."""
+    rows = [(1, "A", None, 10.0, 10, 1), (2, "A", "x", 10.0, 0, 1), (3, None, "x", 20.0, 15, None), (4, "B", "x", None, None, 2), (5, "B", "x", 30.0, None, None)]
+    df = spark.createDataFrame(rows, "id long, neighbourhood_cleansed string, room_type string, price double, availability_30 int, host_id long")
+    df = df.withColumn("availability_60", F.col("availability_30") * 2).withColumn("availability_90", F.col("availability_30") * 3)
+    assert {(r["room_type"], r["listings"]) for r in L.d19_revenue_by_room(df).collect()} == {(None, 1), ("x", 2)}
+    assert {(r["neighbourhood"], r["pct_of_city_supply"]) for r in L.a1_top_areas(df, share_digits=2, keep_null_area=True).collect()} == {
+        ("A", 50.0), (None, 25.0), ("B", 25.0)}
+    assert L.d21_revenue_exclusions(df).first()["no_availability_30"] == 1
+    city = L.d22_forward_availability(df).first()
+    assert (city["listings"], city["med_avail_30"], city["med_avail_90"]) == (3, 33.3, 33.3)
+    assert [(r["neighbourhood_cleansed"], r["med_avail_30"]) for r in L.d22_forward_availability(df, ["neighbourhood_cleansed"]).collect()] == [("A", 16.7)]
+    bands = {r["host_size_band"]: r for r in L.a8_host_concentration(df, keep_null_host=True).collect()}
+    assert bands["2–5 listings"]["hosts"] == 2 and bands["2–5 listings"]["avg_listing_price"] == 10.0
+    flags = spark.createDataFrame([(1, 0), (1, 1), (2, None)], "listing_id int, available int")
+    assert C.M.entity_ratio_mean(flags, "listing_id", F.col("available") == 0, alias="p", count_alias="n").first() == (50.0, 2)

@@ -11,9 +11,9 @@ def _rows(df, key="k", val="m"):
     return {r[key]: r[val] for r in df.collect()}
 
 
-@pytest.mark.parametrize("kw", [{}, {"method": "exact"}, {"method": "exact", "final_max_rows": 0, "levels": 5, "buckets": 3},
-                                {"method": "exact", "final_max_rows": 1, "levels": 2, "buckets": 2}, {"method": "builtin"},
-                                {"hot_group_rows": 2}, {"hot_group_rows": 1, "final_max_rows": 1, "buckets": 2},
+@pytest.mark.parametrize("kw", [{}, {"method": "exact"}, {"method": "exact", "final_max_rows": 0, "cuts": 3},
+                                {"method": "exact", "final_max_rows": 1, "cuts": 2}, {"method": "builtin"},
+                                {"hot_group_rows": 2}, {"hot_group_rows": 1, "final_max_rows": 1, "cuts": 2},
                                 {"hot_group_rows": 1, "method": "auto"}])
 def test_odd_even_single_null_key(spark, kw):
     data = [("odd", 3.0), ("odd", 1.0), ("odd", 2.0), ("even", 1.0), ("even", 4.0), ("even", 2.0), ("even", 10.0),
@@ -34,8 +34,8 @@ def test_random_against_python(spark):
     for k, v in data:
         exp.setdefault(k, []).append(v)
     exp = {k: statistics.median(vs) for k, vs in exp.items()}
-    for kw in ({}, {"method": "exact"}, {"method": "exact", "final_max_rows": 10, "levels": 6, "buckets": 4},
-               {"hot_group_rows": 1500, "final_max_rows": 10, "levels": 6, "buckets": 4}):
+    for kw in ({}, {"method": "exact"}, {"method": "exact", "final_max_rows": 10, "cuts": 4},
+               {"hot_group_rows": 1500, "final_max_rows": 10, "cuts": 4}):
         got = _rows(grouped_median(df, ["k"], "v", "m", **kw))
         assert got.keys() == exp.keys()
         for k in exp:
@@ -65,11 +65,10 @@ _values = st.one_of(st.floats(allow_nan=False, width=64), st.integers(-5, 5).map
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", None]), _values), min_size=1, max_size=60),
-       final_max_rows=st.sampled_from([0, 1, 5, 2_000_000]), buckets=st.sampled_from([2, 3, 16]))
-def test_property_exact(spark, rows, final_max_rows, buckets):
+       final_max_rows=st.sampled_from([0, 1, 5, 2_000_000]), cuts=st.sampled_from([2, 3, 16]))
+def test_property_exact(spark, rows, final_max_rows, cuts):
     df = spark.createDataFrame(rows, "k string, v double")
-    got = _rows(grouped_median(df, ["k"], "v", "m", method="exact", final_max_rows=final_max_rows, buckets=buckets,
-                               levels=6))
+    got = _rows(grouped_median(df, ["k"], "v", "m", method="exact", final_max_rows=final_max_rows, cuts=cuts))
     groups = {}
     for k, v in rows:
         groups.setdefault(k, []).append(v)
@@ -91,7 +90,7 @@ _plain = st.one_of(st.floats(allow_nan=False, allow_subnormal=False, min_value=-
 def test_property_hybrid(spark, rows, hot):
     """Hybrid: groups above ``hot`` rows by selection, the rest by the built-in; same values."""
     df = spark.createDataFrame(rows, "k string, v double")
-    got = _rows(grouped_median(df, ["k"], "v", "m", hot_group_rows=hot, final_max_rows=2, buckets=2, levels=6))
+    got = _rows(grouped_median(df, ["k"], "v", "m", hot_group_rows=hot, final_max_rows=2, cuts=2))
     groups = {}
     for k, v in rows:
         groups.setdefault(k, []).append(v)
@@ -104,7 +103,7 @@ def test_property_hybrid(spark, rows, hot):
         assert got[k] == exp or (got[k] != got[k] and exp != exp), (k, s, got[k])
 
 
-@pytest.mark.parametrize("kw", [{"hot_group_rows": 1}, {"hot_group_rows": 1, "final_max_rows": 0, "buckets": 2},
+@pytest.mark.parametrize("kw", [{"hot_group_rows": 1}, {"hot_group_rows": 1, "final_max_rows": 0, "cuts": 2},
                                 {"method": "exact"}, {"method": "builtin"}])
 def test_global_and_multi_every_method(spark, kw):
     df = spark.createDataFrame([(1.0, 10.0, "x"), (2.0, None, "x"), (3.0, 30.0, "y"), (4.0, 40.0, "y"),
@@ -125,7 +124,7 @@ def test_caller_sizes_only_route(spark):
     exact_sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     overcount = exact_sizes.withColumn("n", F.col("n") * 1000)              # every group looks hot
     for sizes in (exact_sizes, overcount):
-        got = _rows(grouped_median(df, ["k"], "v", "m", sizes=sizes, hot_group_rows=150, final_max_rows=5, buckets=3))
+        got = _rows(grouped_median(df, ["k"], "v", "m", sizes=sizes, hot_group_rows=150, final_max_rows=5, cuts=3))
         assert got == want
 
 
@@ -134,7 +133,7 @@ def test_multi_median_caller_sizes(spark):
     want = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", method="builtin").collect()}
     sizes = df.groupBy("k").agg((F.count(F.lit(1)) * 100).alias("n"))          # overcounted: all hot
     got = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", sizes=sizes,
-                                                  hot_group_rows=10, final_max_rows=3, buckets=2).collect()}
+                                                  hot_group_rows=10, final_max_rows=3, cuts=2).collect()}
     assert got == want
 
 
@@ -143,3 +142,12 @@ def test_equal_huge_middles_do_not_overflow(spark):
     df = spark.createDataFrame([("a", big), ("a", big), ("b", big), ("b", big), ("b", 1.0)], "k string, v double")
     for kw in ({"method": "exact"}, {"method": "builtin"}, {"hot_group_rows": 1}):
         assert _rows(grouped_median(df, ["k"], "v", "m", **kw)) == {"a": big, "b": big}, kw
+
+
+def test_magnitudes_far_apart_are_split(spark):
+    """e^-30 down to e^-630: no equal-width or logarithmic bucket tells most of them apart, quantiles do."""
+    import math
+    values = [math.exp(-30 - 600 * i / 5000) for i in range(5001)]
+    df = spark.createDataFrame([(1, x) for x in values] + [(2, 1.0)] * 300 + [(2, 2.0)], "k int, x double")
+    got = {r["k"]: r["m"] for r in grouped_median(df, ["k"], "x", "m", method="exact", final_max_rows=50).collect()}
+    assert got == {1: sorted(values)[2500], 2: 1.0}
