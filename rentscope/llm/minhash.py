@@ -13,7 +13,8 @@
    pair of its members is in one component or was compared. Centres are the members that share
    the most buckets with others (an original before its copies), after the first round those
    without a link before the rest: once they are through, a bucket has one component. A pair is left out only if its
-   sizes, or how many of its shingles no other open member has, rule a link out; no cap is set.
+   sizes, how many of its shingles no other open member has, or the differing bits of both parity
+   sketches (never more than the shingles that only one of both has) rule a link out; no cap is set.
 4. Components come from alternating large-star and small-star steps on the confirmed links.
 
 At a similarity of 0.8 a pair shares no bucket with probability (1 - 0.8^8)^45 = 2.5e-4, at 0.85 with 7e-7.
@@ -32,6 +33,9 @@ BANDS, ROWS = 45, 8
 #: How many times more centres a bucket gets from round to round.
 GROWTH = 64
 PERCENT = 80
+#: Words of 64 bits in a set's parity sketch.
+SKETCH_WORDS = 16
+SKETCH = [f"p{i}" for i in range(SKETCH_WORDS)]
 
 _BORROW: dict[int, np.ndarray] = {}
 
@@ -69,6 +73,13 @@ def digest(shingles: np.ndarray) -> bytes:
     return int(one).to_bytes(8, "big") + int(two ^ U(len(shingles))).to_bytes(8, "big")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS words; a bit is the parity of how many shingles hash to it. Two sketches differ
+    in at most as many bits as there are shingles that only one of the sets has."""
+    bits = np.bincount((shingles & U(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def row_key() -> Column:
     """A row by its id and text; repeated rows share it."""
     return F.xxhash64("doc_id", "text")
@@ -193,6 +204,8 @@ def link(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS
         # component, unless their sizes or unshared shingles rule a link out
         reach = "root <> c.root AND n <= c.cap AND c.n <= cap"
         if links is not None:       # a pair that shares several open buckets is made in the first
+            differ = " + ".join(f"bit_count({p} ^ c.{p})" for p in SKETCH)
+            reach += f" AND {100 + percent} * ({differ}) <= {100 - percent} * (n + c.n)"
             reach += " AND bucket = array_min(array_intersect(buckets, c.buckets))"
         ends = F.struct("sid", "w"), F.struct(F.col("c.sid").alias("sid"), F.col("c.w").alias("w"))
         pairs = open_.join(centres, "bucket").filter(reach).select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).distinct()
@@ -202,13 +215,15 @@ def link(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS
         links = new if first else links.union(new)
         # left: members that were no centres yet, of buckets in which they have several roots
         used = centres.select("bucket", F.col("c.sid").alias("sid"))
-        left = (open_.select("bucket", "sid", "n", "cap", "w").join(used, ["bucket", "sid"], "left_anti").join(written(labels(links), "labels"), "sid", "left")
-                .select("bucket", "sid", "n", "cap", "w", F.coalesce("root", "sid").alias("root"), F.col("root").isNull().alias("lone")))
+        keep = ["bucket", "sid", "n", "cap", "w", *([] if first else SKETCH)]
+        left = (open_.select(*keep).join(used, ["bucket", "sid"], "left_anti").join(written(labels(links), "labels"), "sid", "left")
+                .select(*keep, F.coalesce("root", "sid").alias("root"), F.col("root").isNull().alias("lone")))
         open_ = _unresolved(written(left, "left"))
         if first:
-            alone = written(unshared(sets, open_.select("sid").distinct()), "unshared")
-            tight = open_.join(alone, "sid", "left").select(
-                "bucket", "sid", "n", _largest(F.col("n"), F.col("n") - F.coalesce("u", F.lit(0)), percent).alias("cap"), "w", "root", "lone")
+            sids = written(open_.select("sid").distinct(), "open")
+            alone = written(unshared(sets, sids), "unshared")
+            tight = open_.join(alone, "sid", "left").join(written(sketches(sets, sids), "sketches"), "sid", "left").select(
+                "bucket", "sid", "n", _largest(F.col("n"), F.col("n") - F.coalesce("u", F.lit(0)), percent).alias("cap"), "w", *SKETCH, "root", "lone")
             open_ = _unresolved(written(tight, "left"))
         if open_.isEmpty():
             return prints, components(links.select("a", "b"))
@@ -244,6 +259,15 @@ def unshared(sets: DataFrame, sids: DataFrame) -> DataFrame:
             .groupBy("sid").agg(F.count("*").alias("u")))
 
 
+def sketches(sets: DataFrame, sids: DataFrame) -> DataFrame:
+    """sid and its parity sketch."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        each = np.array([sketch(np.frombuffer(x, U)) for x in b.column("shingles").to_pylist()], np.int64).reshape(-1, SKETCH_WORDS)
+        return pa.RecordBatch.from_arrays([b.column("sid"), *(pa.array(each[:, i]) for i in range(SKETCH_WORDS))], names=["sid", *SKETCH])
+
+    return map_batches(sets.join(sids, "sid").select("sid", "shingles"), run, "sid binary, " + ", ".join(f"{p} long" for p in SKETCH))
+
+
 def clusters(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, row, n_shingles, sid, component_id of every row of docs.
 

@@ -152,6 +152,13 @@ def test_op10_brute_force(spark):
         now = list(now)
         now[4 * i % 120] = f"c{i}"
         texts.append(" ".join(now))
+    near = family(rng, 60, 0)[0].split()
+    for edits in (2, 4, 5, 6, 7) * 16:  # near misses of one original, with edits in common
+        w = list(near)
+        for _ in range(edits):
+            at = rng.randrange(120)
+            w[at] = f"common{at % 5}{rng.randrange(3)}"
+        texts.append(" ".join(w[rng.randrange(4):]))
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sid", F.lit("own")).withColumn("bands", F.lit(0)).repartition(3)
     got = minhash.op10_minhash_dedup(docs)
@@ -191,6 +198,17 @@ def test_signature_keeps_similarity():
         assert abs(np.mean(hits)) < 0.06, size
 
 
+def test_sketch_never_rules_out_a_link():
+    """Sketches differ in at most as many bits as shingles are in one set only."""
+    rng = np.random.default_rng(4)
+    for size, edits in ((1, 1), (30, 3), (150, 15), (150, 40), (5000, 700)):
+        every = shingles.stream(size + edits, int(rng.integers(1000)))
+        a, b = every[:size], every[edits:]
+        differ = int(np.bitwise_count((minhash.sketch(a) ^ minhash.sketch(b)).view(shingles.U)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+        assert size > 150 or differ >= 0.8 * len(np.setxor1d(a, b)), "tight for texts of some hundred words"
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
