@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,19 @@ def pivot_wide(df: DataFrame, index: Sequence[str], column: str, value: str,
     return out
 
 
+def side_by_side(df: DataFrame, index: Sequence[str], column: str | Column, value: Column, alias: str, count_alias: str) -> DataFrame:
+    """One line per index with every ``column=value`` found in the data, in order of the column (U4, T4).
+
+    Unlike a pivot it needs no list of values, so a new period or group appears by itself. For
+    aggregated input: one row per index and column, a line holds as many parts as there are columns.
+    Rows with a NULL column or value are passed over.
+    """
+    key = F.col(column) if isinstance(column, str) else column
+    rows = df.select(*index, F.struct(key.alias("k"), F.concat(key, F.lit("="), value).alias("part")).alias("e"), (key.isNotNull() & value.isNotNull()).alias("has")).where("has")
+    lines = rows.groupBy(*index).agg(F.count(F.lit(1)).alias(count_alias), F.sort_array(F.collect_list("e")).alias("e"))
+    return lines.select(*index, count_alias, F.array_join("e.part", " ").alias(alias))
+
+
 def unpivot_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str],
                  variable: str = "metric", value: str = "value",
                  labels: Mapping[str, str] | None = None) -> DataFrame:

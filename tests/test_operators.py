@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from rentscope.functions import band, round_half_up, word_count_spaces
-from rentscope.operators import (extremes, mix, pivot_wide, share_of_total, snapshot_diff, stack_snapshots, top_k,
+from rentscope.operators import (extremes, mix, pivot_wide, share_of_total, side_by_side, snapshot_diff, stack_snapshots, top_k,
                                  top_n_share, unpivot_long)
 
 
@@ -92,3 +92,11 @@ def test_line_bigrams_equal_token_bigrams(spark):
         toks = F.filter(tokens("t", min_len=n), lambda x: F.length(x) > 0)
         got = df.select(line_bigrams(word_line("t", n)).alias("a"), bigrams(toks).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in got), [(r["a"], r["b"]) for r in got if r["a"] != r["b"]]
+
+
+def test_side_by_side_takes_its_columns_from_the_data(spark):
+    df = spark.createDataFrame([("a", "2002", "x"), ("a", "1991", "y"), ("b", "2031", "z"), ("b", "2030", None), ("c", None, "w")],
+                               "k string, yr string, v string")
+    got = side_by_side(df, ["k"], "yr", F.col("v"), "line", "n").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [("a", 2, "1991=y 2002=x"), ("b", 1, "2031=z")]
+    assert side_by_side(df.limit(0), ["k"], "yr", F.col("v"), "line", "n").isEmpty()
