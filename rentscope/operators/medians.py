@@ -2,7 +2,9 @@
 
 ``F.median`` keeps every distinct value of a group in one aggregation buffer,
 so a group holding a third of a 100 TB table would land in one task. The
-operator here selects the middle rank(s) by narrowing histograms instead:
+operator here selects the middle rank(s) by narrowing histograms instead, by the
+same steps for every group and at every size. The (key, value) rows are written once
+to the shared folder first, so a join or filter behind them runs once:
 
 1. One pass counts rows per (group, coarse bucket). The coarse bucket is a
    data-independent monotone function of the value, so this is a plain partial
@@ -11,14 +13,12 @@ operator here selects the middle rank(s) by narrowing histograms instead:
    ``n``, the target ranks ``(n+1) div 2`` and ``(n+2) div 2`` (1-based, the
    "mean of the two middles" rule) and the bucket that holds each rank.
 2. While a chosen interval still holds more than ``final_max_rows`` rows, a
-   further pass re-buckets only the rows inside it into ``buckets`` equal-width
-   sub-buckets (still partial aggregations), narrowing it again.
-   The per-group target table (<= 2 rows per group) is checkpointed after each
-   pass, so the data scan behind it is not recomputed, and it is broadcast only
-   when its counted size is under ``BROADCAST_MAX_ROWS``.
+   further pass cuts it at ``cuts`` quantiles of the rows inside it (still partial
+   aggregations), narrowing it again.
+   The per-group target table (<= 2 rows per group) is written after each pass, so the
+   scan behind it is not repeated; Catalyst picks its join by the size of its files.
 3. A target whose interval holds a single distinct value is answered without a
-   sort. Only the remaining rows - about n / (coarse buckets x buckets) for a
-   hot group - get a ``row_number`` to pick the exact rank.
+   sort. Only the remaining rows, at most ``final_max_rows`` an interval, get a ``row_number`` to pick the exact rank.
 
 Because buckets are contiguous value ranges, a bucket is identified by the
 [min, max] of the values it holds, and the rows "below" it are counted exactly.
@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .partitioning import written
 
 _ALL = "__all"
 _V = "__v"
@@ -80,25 +80,15 @@ def _pick_targets(h: DataFrame, gkeys: list[str], part: list[str], carry: Sequen
 
 _STATS = ["__n", "__gsum", "__gmin", "__gmax"]
 
-# Size bounds of the driver-side decisions below (rows of the small target table).
-BROADCAST_MAX_ROWS = 1_000_000     # a target row is ~100 bytes -> <= ~100 MB broadcast
-FINAL_MAX_ROWS = 2_000_000         # largest interval handed to the final exact sort
+# Largest interval handed to the final exact sort; a larger one is refined again.
+FINAL_MAX_ROWS = 2_000_000
 
 
-def _materialise(t: DataFrame) -> tuple[DataFrame, int, int]:
-    """Checkpoint the small target table (cuts lineage: the data scan behind it is
-    not repeated by every later reference) and read its size bounds."""
-    ensure_checkpoint_dir(t.sparkSession)
-    t = t.checkpoint(eager=True)
-    row = t.agg(F.count(F.lit(1)).alias("n"),
-                F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__cnt"))).alias("m")).first()
-    return t, int(row["n"] or 0), int(row["m"] or 0)
-
-
-def _join_targets(x: DataFrame, iv: DataFrame, gkeys: list[str], n_rows: int) -> DataFrame:
-    # Broadcast only with a proven bound (counted above); beyond it a shuffle join,
-    # where AQE splits a hot group's partition (skew join) instead of one task.
-    return _ns_join(x, F.broadcast(iv) if n_rows <= BROADCAST_MAX_ROWS else iv, gkeys)
+def _targets(t: DataFrame) -> tuple[DataFrame, int]:
+    """The small target table, written (no later use repeats the scan behind it), and the
+    rows of its largest open interval."""
+    t = written(t, "median-targets")
+    return t, int(t.where(F.col("__lo") < F.col("__hi")).agg(F.max("__cnt")).first()[0] or 0)
 
 
 def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
@@ -119,7 +109,7 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
     x = df.select(*[F.col(k) for k in keys], _value(value).alias(_V))
     if not keys:
         x = x.withColumn(_ALL, F.lit(0))
-    x = x.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
+    x = written(x.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))), "median-values")
     v = F.col(_V)
 
     # Pass 1: coarse histogram over all rows; group size and target ranks.
@@ -134,21 +124,21 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
               F.floor((F.col("__n") + 1) / 2).cast("long"),
               F.floor((F.col("__n") + 2) / 2).cast("long"))))
           .withColumn("__below", F.lit(0).cast("long")))
-    t, n_t, max_open = _materialise(_pick_targets(h, gkeys, gkeys, _STATS))
+    t, max_open = _targets(_pick_targets(h, gkeys, gkeys, _STATS))
 
     # Further passes: quantile sub-buckets inside each open interval.
     while max_open > final_max_rows:
         open_iv = (t.where(F.col("__lo") < F.col("__hi"))
                     .groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below")
                     .agg(F.array_sort(F.collect_set("__k")).alias("__ks")))
-        cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
+        cand = _ns_join(x, open_iv, gkeys).where(v.between(F.col("__lo"), F.col("__hi")))
         at = F.percentile_approx(v, [i / (cuts + 1) for i in range(1, cuts + 1)], 8 * (cuts + 1))
         bounds = cand.groupBy(*gkeys, "__lo", "__hi").agg(at.alias("__q"))
         cand = _ns_join(cand, bounds, gkeys + ["__lo", "__hi"])
         h = (cand.groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below", "__ks", _quantile_bucket(v).alias("__b"))
                  .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh")))
         refined = _pick_targets(h, gkeys, gkeys + ["__lo", "__hi"], _STATS)
-        t, n_t, max_open = _materialise(t.where(F.col("__lo") == F.col("__hi")).unionByName(refined))
+        t, max_open = _targets(t.where(F.col("__lo") == F.col("__hi")).unionByName(refined))
 
     # Intervals of one distinct value answer their ranks directly.
     closed = t.where(F.col("__lo") == F.col("__hi")).select(*gkeys, *_STATS, "__k", F.col("__lo").alias(_V))
@@ -158,105 +148,30 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
     open_iv = (t.where(F.col("__lo") < F.col("__hi"))
                 .groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below")
                 .agg(F.collect_set("__k").alias("__ks")))
-    cand = _join_targets(x, open_iv, gkeys, n_t).where(v.between(F.col("__lo"), F.col("__hi")))
+    cand = _ns_join(x, open_iv, gkeys).where(v.between(F.col("__lo"), F.col("__hi")))
     rn = F.row_number().over(Window.partitionBy(*gkeys, "__lo", "__hi").orderBy(v))
     cand = cand.withColumn("__k", F.col("__below") + rn)
     picked = cand.where(F.array_contains("__ks", F.col("__k"))).select(*gkeys, *_STATS, "__k", _V)
     return closed.unionByName(picked)
 
 
-# Groups above this many rows are "hot": the built-in median would hold up to that
-# many distinct values of one group in one task's buffer, so they take the
-# histogram selection instead. Hot groups number at most rows / HOT_GROUP_ROWS.
-HOT_GROUP_ROWS = 1_000_000
-
-
-def _valid(value) -> Column:
-    return _value(value).isNotNull() & ~F.isnan(_value(value))
-
-
-def _builtin_grouped(df: DataFrame, keys: list[str], value, alias: str, stats: dict[str, str]) -> DataFrame:
-    d = df.where(_valid(value))
-    g = d.groupBy(*keys) if keys else d
-    fns = {"n": F.count(F.lit(1)), "sum": F.sum(_value(value)), "avg": F.avg(_value(value)),
-           "min": F.min(_value(value)), "max": F.max(_value(value))}
-    return g.agg(F.median(_value(value)).alias(alias), *[fns[k].alias(c) for k, c in stats.items()])
-
-
-def _exact_grouped(df: DataFrame, keys: list[str], value, alias: str, stats: dict[str, str], **kw) -> DataFrame:
-    mv = median_values(df, keys, value, **kw)
-    gkeys = keys or [_ALL]
-    st = {"n": F.max("__n"), "sum": F.max("__gsum"), "avg": F.max("__gsum") / F.max("__n"),
-          "min": F.max("__gmin"), "max": F.max("__gmax")}
-    # equal middles are the median itself (avg would overflow for two values near the double maximum)
-    mid = F.when(F.min(_V) == F.max(_V), F.min(_V)).otherwise(F.avg(_V))
-    out = mv.groupBy(*gkeys).agg(mid.alias(alias), *[st[k].alias(c) for k, c in stats.items()])
-    return out.drop(_ALL) if not keys else out
-
-
-def _ns_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe left semi / anti join on ``keys`` (NULL keys match, as in GROUP BY)."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
-    return left.join(r, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys], how)
-
-
 def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "median",
-                   *, method: str = "auto", stats: dict[str, str] | None = None,
-                   hot_group_rows: int = HOT_GROUP_ROWS, sizes: DataFrame | None = None, **kw) -> DataFrame:
+                   *, stats: dict[str, str] | None = None, **kw) -> DataFrame:
     """Exact median of ``value`` per group (G6); mean of the two middle rows for even n.
 
-    ``method="auto"`` (default): one count pass finds the hot groups (more than
-    ``hot_group_rows`` values; at most rows / ``hot_group_rows`` of them, so the
-    table is checkpointed and its size checked before it is broadcast). Other
-    groups get Spark's one-pass ``median`` (partial aggregation, buffer bounded by
-    the group size); hot groups get the histogram selection below. Without hot
-    groups this is one size pass over the data plus one aggregation.
-    ``method="exact"``: histogram selection for every group.
-    ``method="builtin"``: ``F.median`` for every group - for groups known to be small.
-    The built-in interpolates 0.5*lo + 0.5*hi, the selection averages (lo + hi) / 2:
-    equal for all doubles except when lo + hi overflows or the halves are subnormal.
-    ``sizes`` (``keys`` + ``n``): group sizes from a cheaper plan the caller knows, e.g.
-    counted before a join (Catalyst does not push aggregates below joins). They only
-    route groups: an overcount sends a group to the selection, results do not change.
-    Groups whose values are all NULL / NaN are absent from the result.
+    Groups whose values are all NULL / NaN are absent from the result; NULL keys are one group.
     ``stats`` maps any of n / sum / avg / min / max to an output column; they
-    describe the same non-NULL values and come from the same passes.
+    describe the same non-NULL values and come from the first pass.
     """
     keys = list(keys)
     stats = stats or {}
-    if method == "builtin":
-        return _builtin_grouped(df, keys, value, alias, stats)
-    if method == "exact":
-        return _exact_grouped(df, keys, value, alias, stats, **kw)
-    if method != "auto":
-        raise ValueError(f"unknown median method {method!r}")
-    x = df.where(_valid(value))
-    if not keys:
-        n = x.agg(F.count(F.lit(1))).first()[0]
-        if n > hot_group_rows:
-            return _exact_grouped(df, keys, value, alias, stats, **kw)
-        return _builtin_grouped(df, keys, value, alias, stats)
-    counted = sizes.select(*keys, F.col("n").alias("__gn")) if sizes is not None else \
-        x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gn"))
-    is_hot = F.col("__gn") > hot_group_rows
-    # the hot keys (<= rows / hot_group_rows of them) plus at most one cold row, which
-    # only says whether any cold group exists; both come from the same counted table
-    # (one exchange, reused) and are written once, then counted and joined below
-    summary = (counted.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
-               .unionByName(counted.where(~is_hot).limit(1).select(*keys, F.lit(False).alias("__hot"))))
-    ensure_checkpoint_dir(df.sparkSession)
-    summary = summary.checkpoint(eager=True)
-    hot = summary.where(F.col("__hot")).select(*keys)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _builtin_grouped(df, keys, value, alias, stats)
-    if summary.where(~F.col("__hot")).count() == 0:
-        # every group is hot (e.g. a few brands over 100 TB): no split, no anti-join pass
-        return _exact_grouped(df, keys, value, alias, stats, **kw)
-    side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
-    small = _builtin_grouped(_ns_semi(df, side, keys, "left_anti"), keys, value, alias, stats)
-    big = _exact_grouped(_ns_semi(df, side, keys, "left_semi"), keys, value, alias, stats, **kw)
-    return small.unionByName(big)
+    mv = median_values(df, keys, value, **kw)
+    st = {"n": F.max("__n"), "sum": F.max("__gsum"), "avg": F.max("__gsum") / F.max("__n"),
+          "min": F.max("__gmin"), "max": F.max("__gmax")}
+    # equal middles are the median itself (avg would overflow for two values near the double maximum)
+    mid = F.when(F.min(_V) == F.max(_V), F.min(_V)).otherwise(F.avg(_V))
+    aggs = [mid.alias(alias), *[st[k].alias(c) for k, c in stats.items()]]
+    return mv.groupBy(*keys).agg(*aggs) if keys else mv.agg(*aggs)
 
 
 def global_median(df: DataFrame, value, alias: str = "median", **kw) -> DataFrame:
@@ -265,15 +180,13 @@ def global_median(df: DataFrame, value, alias: str = "median", **kw) -> DataFram
 
 
 def multi_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
-                 count_alias: str | None = "n", sizes: DataFrame | None = None, **kw) -> DataFrame:
+                 count_alias: str | None = "n", **kw) -> DataFrame:
     """Several medians at once (G8) after the joint not-NULL filter.
 
     ``columns`` maps output name -> input column. The columns are unpivoted to
     (metric, value) rows, so one exact-median pipeline over (keys, metric) serves
     all of them: one scan, one histogram shuffle and one refinement per call
     instead of one per column; the small result is pivoted back per group.
-    ``sizes`` (``keys`` + ``n``): rows per group after the joint filter, from a cheaper
-    plan; every metric of a group has that many values (routing only).
     """
     keys = list(keys)
     cond = None
@@ -282,12 +195,7 @@ def multi_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str],
     entries = F.array(*[F.struct(F.lit(i).alias("__m"), _value(c).alias("__x"))
                         for i, c in enumerate(columns.values())])
     long = df.where(cond).select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.__m", "__e.__x")
-    if sizes is not None and keys:
-        idx = F.array(*[F.lit(i) for i in range(len(columns))])
-        sizes = sizes.select(*keys, F.explode(idx).alias("__m"), "n")
-    elif sizes is not None:
-        sizes = None            # one global group per metric: the count pass is a single row anyway
-    m = grouped_median(long, keys + ["__m"], "__x", "__med", stats={"n": "__cnt"}, sizes=sizes, **kw)
+    m = grouped_median(long, keys + ["__m"], "__x", "__med", stats={"n": "__cnt"}, **kw)
     aggs = [F.max(F.when(F.col("__m") == i, F.col("__med"))).alias(name) for i, name in enumerate(columns)]
     if count_alias:
         aggs.insert(0, F.max(F.when(F.col("__m") == 0, F.col("__cnt"))).alias(count_alias))

@@ -1,6 +1,8 @@
 """Partitioning guards."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -30,3 +32,13 @@ def materialize(df: DataFrame) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write rows that are read more than once as Parquet in the shared folder and read them
+    back: what is behind them runs once, and Catalyst knows their size."""
+    from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

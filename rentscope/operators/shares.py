@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, round_half_up
+from .partitioning import materialize
 
 
 def share_of_total(df: DataFrame, n_col: str, alias: str = "pct", *,
@@ -14,8 +15,8 @@ def share_of_total(df: DataFrame, n_col: str, alias: str = "pct", *,
                    denominator=None) -> DataFrame:
     """``100 * n / sum(n)`` over all rows of ``df`` (or within ``within`` groups).
 
-    The grand total is a scalar subquery (one partial aggregate, its exchange is
-    reused), not ``sum() over ()``, which would pull every row into one task.
+    The grand total is a scalar subquery over the rows of ``df``, which are written once
+    (read twice), not ``sum() over ()``, which would pull every row into one task.
     Per-group totals are a small aggregate joined back on the group key.
     ``denominator`` overrides the total with any scalar column (e.g. all rows of
     the source table when the grouped rows drop NULL keys, as pandas does).
@@ -25,6 +26,7 @@ def share_of_total(df: DataFrame, n_col: str, alias: str = "pct", *,
         val = pct(F.col(n_col), denominator)
         out = df.withColumn(alias, val)
     elif not within:
+        df = materialize(df)
         total = df.agg(F.sum(n_col).alias("__t")).scalar()
         out = df.withColumn(alias, pct(F.col(n_col), total))
     else:
@@ -47,6 +49,7 @@ def mix(df: DataFrame, key: str, n_alias: str = "n", pct_alias: str = "pct", *,
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias(n_alias))
     if drop_null_key:
         # the total comes from the grouped rows (NULL group included), not a second scan
+        g = materialize(g)
         total = g.agg(F.sum(n_alias)).scalar()
         return share_of_total(g.where(F.col(key).isNotNull()), n_alias, pct_alias,
                               digits=digits, denominator=total)
@@ -61,6 +64,7 @@ def top_n_share(df: DataFrame, key: str, n: int, alias: str = "top_share_pct", *
     ``row_number <= n`` filter is planned as a partial window group limit.
     """
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    g = materialize(g)
     total = g.agg(F.sum("__n")).scalar()          # from the aggregate, not a second scan
     if drop_null_key:
         g = g.where(F.col(key).isNotNull())

@@ -17,7 +17,6 @@ from ..functions.bands import band
 from ..functions.numeric import pct, round_half_up, safe_ratio
 from ..operators.joins import count_children, portfolio_sizes
 from ..operators.medians import grouped_median
-from ..operators.partitioning import materialize
 from ..operators.shares import share_of_total
 from ..operators.topk import top_k
 from ..operators.windows import adjacent_step
@@ -33,13 +32,10 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
                     out_key: str | None = None, count_alias: str = "listings",
                     share_alias: str = "pct_of_city_supply", avg_alias: str = "avg_price",
                     median_alias: str = "median_price", share_digits: int = 1,
-                    min_rows: int | None = None, sizes: DataFrame | None = None,
+                    min_rows: int | None = None,
                     keep_null: bool = False) -> DataFrame:
     """Groups by size with share, mean and exact median of priced rows (A1/D3/M7/H1).
 
-    ``sizes`` (``key``, ``n``): priced rows per group counted by a cheaper plan, used
-    only to route hot groups in the median.
-
     Share is taken over all groups before the limit. The NULL group is left out
     of rows and share (A1/D3), unless ``keep_null`` (M7).
     """
@@ -47,9 +43,9 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
     priced = df.where(F.col(value) > 0)
     # count and mean come from the median's first pass; the source's inner join
     # of the two aggregates drops the NULL group, so drop it explicitly.
-    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"}, sizes=sizes)
-    # one row per group, read twice (rows and the share's total): written once
-    j = materialize(j if keep_null else j.where(F.col(key).isNotNull()))
+    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"})
+    if not keep_null:
+        j = j.where(F.col(key).isNotNull())
     if min_rows is not None:
         j = j.where(F.col("__n") >= min_rows)
     j = share_of_total(j, "__n", "__share", digits=share_digits)
@@ -159,11 +155,9 @@ def having_top(df: DataFrame, key: str, value: Column | str, *, min_rows: int |
 
 def value_picks(df: DataFrame, key: str, value: str, *, median_filter: Column,
                 pick_filter: Column, order: Sequence[Column], tiebreak: Sequence[str],
-                k: int, select: Sequence[Column], median_alias: str = "nb_median_price",
-                sizes: DataFrame | None = None) -> DataFrame:
-    """Rows below their group's exact median that pass ``pick_filter``.
-    ``sizes``: rows per group under ``median_filter`` from a cheaper plan (routing only)."""
-    med = grouped_median(df.where(median_filter), [key], value, "__med", sizes=sizes)
+                k: int, select: Sequence[Column], median_alias: str = "nb_median_price") -> DataFrame:
+    """Rows below their group's exact median that pass ``pick_filter``."""
+    med = grouped_median(df.where(median_filter), [key], value, "__med")
     j = df.join(med, key, "inner").where(pick_filter & (F.col(value) < F.col("__med")))
     j = j.withColumn(median_alias, R("__med", 2))
     return top_k(j, order, k, tiebreak).select(*select)

@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (never a machine-local dir on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "rentscope", *parts)
+    """A path under the shared checkpoint folder, deleted when the application ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "rentscope", *parts)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

@@ -59,13 +59,14 @@ def main():
     data = spark.range(n_med).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 10_000).cast("string")))
         .alias("k"), (F.abs(F.xxhash64("id")) % 10_000_000 / 100.0 + F.rand(1)).alias("v"))
-    found = {}
-    for method in ("auto", "exact", "builtin"):     # auto: hot key by selection, the 10,000 others built-in
-        t0 = time.perf_counter()
-        found[method] = {r["k"]: r["m"] for r in grouped_median(data, ["k"], "v", "m", method=method)
-                         .where(F.col("k").isin("hot", "k1", "k2")).collect()}
-        res[f"median_{method}"] = round(time.perf_counter() - t0, 2)
-    res["median_equal"] = found["auto"] == found["exact"] == found["builtin"]
+    t0 = time.perf_counter()
+    own = {r["k"]: r["m"] for r in grouped_median(data, ["k"], "v", "m").where(F.col("k").isin("hot", "k1", "k2")).collect()}
+    res["median"] = round(time.perf_counter() - t0, 2)
+    t0 = time.perf_counter()
+    built = data.groupBy("k").agg(F.median("v").alias("m")).where(F.col("k").isin("hot", "k1", "k2"))
+    built = {r["k"]: r["m"] for r in built.collect()}
+    res["median_builtin"] = round(time.perf_counter() - t0, 2)
+    res["median_equal"] = own == built
     # snapshot comparisons with the same hot key: 12 monthly snapshots of 30 M rows
     from rentscope.operators import movers_by_period, snapshot_changes
     snaps = data.withColumn("month", F.format_string("2026-%02d", (F.col("v") * 7).cast("long") % 12 + 1))

@@ -11,10 +11,7 @@ def _rows(df, key="k", val="m"):
     return {r[key]: r[val] for r in df.collect()}
 
 
-@pytest.mark.parametrize("kw", [{}, {"method": "exact"}, {"method": "exact", "final_max_rows": 0, "cuts": 3},
-                                {"method": "exact", "final_max_rows": 1, "cuts": 2}, {"method": "builtin"},
-                                {"hot_group_rows": 2}, {"hot_group_rows": 1, "final_max_rows": 1, "cuts": 2},
-                                {"hot_group_rows": 1, "method": "auto"}])
+@pytest.mark.parametrize("kw", [{}, {"final_max_rows": 0, "cuts": 3}, {"final_max_rows": 1, "cuts": 2}])
 def test_odd_even_single_null_key(spark, kw):
     data = [("odd", 3.0), ("odd", 1.0), ("odd", 2.0), ("even", 1.0), ("even", 4.0), ("even", 2.0), ("even", 10.0),
             ("one", 7.5), (None, 5.0), (None, 6.0), ("nulls", None), ("dup", 2.0), ("dup", 2.0), ("dup", 2.0),
@@ -34,8 +31,7 @@ def test_random_against_python(spark):
     for k, v in data:
         exp.setdefault(k, []).append(v)
     exp = {k: statistics.median(vs) for k, vs in exp.items()}
-    for kw in ({}, {"method": "exact"}, {"method": "exact", "final_max_rows": 10, "cuts": 4},
-               {"hot_group_rows": 1500, "final_max_rows": 10, "cuts": 4}):
+    for kw in ({}, {"final_max_rows": 10, "cuts": 4}):
         got = _rows(grouped_median(df, ["k"], "v", "m", **kw))
         assert got.keys() == exp.keys()
         for k in exp:
@@ -68,7 +64,7 @@ _values = st.one_of(st.floats(allow_nan=False, width=64), st.integers(-5, 5).map
        final_max_rows=st.sampled_from([0, 1, 5, 2_000_000]), cuts=st.sampled_from([2, 3, 16]))
 def test_property_exact(spark, rows, final_max_rows, cuts):
     df = spark.createDataFrame(rows, "k string, v double")
-    got = _rows(grouped_median(df, ["k"], "v", "m", method="exact", final_max_rows=final_max_rows, cuts=cuts))
+    got = _rows(grouped_median(df, ["k"], "v", "m", final_max_rows=final_max_rows, cuts=cuts))
     groups = {}
     for k, v in rows:
         groups.setdefault(k, []).append(v)
@@ -80,32 +76,8 @@ def test_property_exact(spark, rows, final_max_rows, cuts):
         assert got[k] == exp or (got[k] != got[k] and exp != exp), (k, s, got[k])
 
 
-_plain = st.one_of(st.floats(allow_nan=False, allow_subnormal=False, min_value=-1e300, max_value=1e300),
-                   st.integers(-5, 5).map(float), st.sampled_from([float("inf"), float("-inf")]))
-
-
-@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", None]), _plain), min_size=1, max_size=60),
-       hot=st.sampled_from([0, 3, 10, 1_000_000]))
-def test_property_hybrid(spark, rows, hot):
-    """Hybrid: groups above ``hot`` rows by selection, the rest by the built-in; same values."""
-    df = spark.createDataFrame(rows, "k string, v double")
-    got = _rows(grouped_median(df, ["k"], "v", "m", hot_group_rows=hot, final_max_rows=2, cuts=2))
-    groups = {}
-    for k, v in rows:
-        groups.setdefault(k, []).append(v)
-    assert got.keys() == groups.keys()
-    for k, vs in groups.items():
-        s = sorted(vs)
-        n = len(s)
-        lo, hi = s[(n + 1) // 2 - 1], s[(n + 2) // 2 - 1]
-        exp = lo if lo == hi else (lo + hi) / 2
-        assert got[k] == exp or (got[k] != got[k] and exp != exp), (k, s, got[k])
-
-
-@pytest.mark.parametrize("kw", [{"hot_group_rows": 1}, {"hot_group_rows": 1, "final_max_rows": 0, "cuts": 2},
-                                {"method": "exact"}, {"method": "builtin"}])
-def test_global_and_multi_every_method(spark, kw):
+@pytest.mark.parametrize("kw", [{}, {"final_max_rows": 0, "cuts": 2}])
+def test_global_and_multi_refined(spark, kw):
     df = spark.createDataFrame([(1.0, 10.0, "x"), (2.0, None, "x"), (3.0, 30.0, "y"), (4.0, 40.0, "y"),
                                 (9.0, 5.0, None)], "a double, b double, k string")
     assert global_median(df, "a", "m", **kw).first()["m"] == 3.0
@@ -115,33 +87,27 @@ def test_global_and_multi_every_method(spark, kw):
     assert by == {"x": (1, 1.0, 10.0), "y": (2, 3.5, 35.0), None: (1, 9.0, 5.0)}
 
 
-def test_caller_sizes_only_route(spark):
-    """Sizes from a cheaper plan only decide which groups take the selection path."""
+def test_equals_the_builtin_and_reads_its_input_once(spark):
+    """A hot key and small ones give what Spark's own median gives; the input runs once."""
     rnd = random.Random(3)
-    data = [(rnd.choice("abcd"), float(rnd.randint(0, 99))) for _ in range(400)]
+    data = [("hot" if i % 3 else rnd.choice("abcd"), float(rnd.randint(0, 99))) for i in range(900)]
     df = spark.createDataFrame(data, "k string, v double")
-    want = _rows(grouped_median(df, ["k"], "v", "m", method="builtin"))
-    exact_sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    overcount = exact_sizes.withColumn("n", F.col("n") * 1000)              # every group looks hot
-    for sizes in (exact_sizes, overcount):
-        got = _rows(grouped_median(df, ["k"], "v", "m", sizes=sizes, hot_group_rows=150, final_max_rows=5, cuts=3))
-        assert got == want
+    reads = spark.sparkContext.accumulator(0)
 
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
 
-def test_multi_median_caller_sizes(spark):
-    df = spark.createDataFrame([(k, float(i), float(i % 7)) for k in "xy" for i in range(60)], "k string, a double, b double")
-    want = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", method="builtin").collect()}
-    sizes = df.groupBy("k").agg((F.count(F.lit(1)) * 100).alias("n"))          # overcounted: all hot
-    got = {r["k"]: tuple(r) for r in multi_median(df, ["k"], {"ma": "a", "mb": "b"}, "n", sizes=sizes,
-                                                  hot_group_rows=10, final_max_rows=3, cuts=2).collect()}
-    assert got == want
+    want = _rows(df.groupBy("k").agg(F.median("v").alias("m")))
+    assert _rows(grouped_median(df.mapInArrow(count, df.schema), ["k"], "v", "m", final_max_rows=5, cuts=3)) == want
+    assert reads.value == len(data)
 
 
 def test_equal_huge_middles_do_not_overflow(spark):
     big = 8.98846567431158e+307                  # half the double maximum: big + big overflows
     df = spark.createDataFrame([("a", big), ("a", big), ("b", big), ("b", big), ("b", 1.0)], "k string, v double")
-    for kw in ({"method": "exact"}, {"method": "builtin"}, {"hot_group_rows": 1}):
-        assert _rows(grouped_median(df, ["k"], "v", "m", **kw)) == {"a": big, "b": big}, kw
+    assert _rows(grouped_median(df, ["k"], "v", "m")) == {"a": big, "b": big}
 
 
 def test_magnitudes_far_apart_are_split(spark):
@@ -149,5 +115,5 @@ def test_magnitudes_far_apart_are_split(spark):
     import math
     values = [math.exp(-30 - 600 * i / 5000) for i in range(5001)]
     df = spark.createDataFrame([(1, x) for x in values] + [(2, 1.0)] * 300 + [(2, 2.0)], "k int, x double")
-    got = {r["k"]: r["m"] for r in grouped_median(df, ["k"], "x", "m", method="exact", final_max_rows=50).collect()}
+    got = {r["k"]: r["m"] for r in grouped_median(df, ["k"], "x", "m", final_max_rows=50).collect()}
     assert got == {1: sorted(values)[2500], 2: 1.0}
