@@ -1,20 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule is a statistic of a text and a list of cutoffs from lenient to strict; a document is
-rejected by a rule when its statistic is at or over the cutoff. The cutoffs are chosen per stratum
-(bands of the word count) on labelled documents: for each (stratum, rule) the cutoffs are tested in
-their order, and one is accepted while the exact (Clopper-Pearson) upper bound of its
-false-rejection rate among the good documents stays at or under ``alpha / number of rules``.
-Because a rule's rejections are nested, testing in this order until the first failure needs no
-correction inside a rule (fixed-sequence testing); across rules and strata the confidence is
-Bonferroni-corrected, ``delta / (rules * strata)``. With probability 1 - delta the rules together
-therefore reject at most a share ``alpha`` of the good documents of every stratum. A stratum with
-too few labels certifies nothing, and its rules reject nothing.
+Every rule is a statistic of a text, and a document is rejected by a rule when its statistic is at
+or over the cutoff. The cutoffs are chosen per stratum (bands of the word count) on labelled
+documents: all rules are tightened together along one fixed sequence of cutoffs, and a step is
+accepted while the exact (Clopper-Pearson) upper bound of the share of good documents that any rule
+rejects there stays at or under ``alpha``. As the rejections of a stratum are nested, testing in
+this order until the first failure needs no correction inside it (fixed-sequence testing); across
+strata the confidence is Bonferroni-corrected, ``delta / strata``. With probability 1 - delta the
+rules together therefore reject at most a share ``alpha`` of the good documents of every stratum. A
+stratum with too few labels (under 203 good ones at the defaults, even if none is rejected)
+certifies nothing, and its rules reject nothing.
 """
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Hashable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,15 +33,16 @@ _SYMBOLS = b"#*$%&|<>"
 #: Deleted before counting code points in words: white space and UTF-8 continuation bytes.
 _NO_POINT = bytes([0x20, *range(9, 14), *range(0x80, 0xC0)])
 
-#: Statistic (share of words) and cutoffs from lenient to strict; fixed before any label is seen.
+#: Cutoffs of all rules from lenient to strict; fixed before any label is seen.
 GRID = tuple(round(1.0 - 0.05 * i, 2) for i in range(1, 19))
-RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols", GRID),
-    "repeats": ("n_repeat_words", GRID),
-    "dup_lines": ("n_dup_lines", GRID),
-    "pipes": ("n_pipe_words", GRID),
-    "shouting": ("n_bang_words", GRID),
-    "twins": ("n_twin_words", GRID),
+#: Rule and its statistic (as a share of the words).
+RULES: dict[str, str] = {
+    "symbols": "n_symbols",
+    "repeats": "n_repeat_words",
+    "dup_lines": "n_dup_lines",
+    "pipes": "n_pipe_words",
+    "shouting": "n_bang_words",
+    "twins": "n_twin_words",
 }
 
 
@@ -100,6 +102,11 @@ def ratio(stat: str) -> Column:
     return F.when(F.col("n_words") > 0, F.col(stat) / F.col("n_words")).otherwise(F.lit(0.0))
 
 
+def worst() -> Column:
+    """The largest statistic of a document: some rule rejects it where this is at or over the cutoff."""
+    return F.greatest(*[ratio(stat) for stat in RULES.values()])
+
+
 def upper_bound(k: int, n: int, confidence: float) -> float:
     """Exact one-sided Clopper-Pearson upper bound of a rate with k of n events."""
     if n == 0 or k >= n:
@@ -122,40 +129,36 @@ def upper_bound(k: int, n: int, confidence: float) -> float:
     return hi
 
 
-def choose(counts: dict[tuple[int, str], tuple[int, list[int]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """(stratum, rule) -> strictest accepted cutoff, from (good documents, those at or over each cutoff)."""
-    tests = (len(BANDS) + 1) * len(RULES)
-    out: dict[tuple[int, str], float] = {}
-    for (s, rule), (n, over) in counts.items():
-        for cutoff, k in zip(RULES[rule][1], over, strict=True):
+def choose(counts: dict[Hashable, tuple[int, list[int]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[Hashable, float]:
+    """Stratum -> strictest accepted cutoff, from (good documents, those rejected at each step of GRID)."""
+    out: dict[Hashable, float] = {}
+    for s, (n, over) in counts.items():
+        for cutoff, k in zip(GRID, over, strict=True):
             # beyond twice the allowed share the bound cannot hold; the sum would only get long
-            if k > 2 * alpha * n or upper_bound(k, n, 1 - delta / tests) > alpha / len(RULES):
+            if k > 2 * alpha * n or upper_bound(k, n, 1 - delta / (len(BANDS) + 1)) > alpha:
                 break
-            out[s, rule] = cutoff
+            out[s] = cutoff
     return out
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
+def calibrate(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[int, float]:
     """Cutoffs from the labelled good documents that pass the base rules.
 
-    Only (bands x rules x cutoffs) counts reach the driver. Several labels of one document count
+    Only (bands x cutoffs) counts reach the driver. Several labels of one document count
     once, by the lowest quality; null labels and ids are left out.
     """
     good = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
             .agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id"))
     held = stats.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    over = [F.sum(F.when(ratio(stat) >= c, 1).otherwise(0)).alias(f"{rule}_{i}")
-            for rule, (stat, cutoffs) in RULES.items() for i, c in enumerate(cutoffs)]
+    over = [F.sum(F.when(worst() >= c, 1).otherwise(0)).alias(f"over_{i}") for i, c in enumerate(GRID)]
     rows = held.groupBy(stratum().alias("s")).agg(F.count("*").alias("n"), *over).collect()
-    counts = {(r["s"], rule): (r["n"], [r[f"{rule}_{i}"] for i in range(len(cutoffs))])
-              for r in rows for rule, (_, cutoffs) in RULES.items()}
-    return choose(counts, alpha, delta)
+    return choose({r["s"]: (r["n"], [r[f"over_{i}"] for i in range(len(GRID))]) for r in rows}, alpha, delta)
 
 
-def rejected(cutoffs: dict[tuple[int, str], float]) -> Column:
+def rejected(cutoffs: dict[int, float]) -> Column:
     c = F.lit(False)
-    for (s, rule), cutoff in sorted(cutoffs.items()):
-        c = c | ((stratum() == s) & (ratio(RULES[rule][0]) >= cutoff))
+    for s, cutoff in sorted(cutoffs.items()):
+        c = c | ((stratum() == s) & (worst() >= cutoff))
     return c
 
 

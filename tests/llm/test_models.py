@@ -140,6 +140,20 @@ def test_op6_risk(spark):
     assert rules.choose(counts) == {(0, "symbols"): rules.GRID[9]}
 
 
+def test_op6_certifies_on_the_large_table(spark):
+    """All bands of sf0.1 certify a cutoff that catches bad documents and keeps its promise on the good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    cutoffs = rules.calibrate(rules.with_statistics(docs, ["doc_id"]), labels)
+    assert cutoffs == {0: 0.2, 1: 0.1, 2: 0.1}
+    got = rules.op6_quality_rules(docs, labels).filter("NOT base_failed").join(labels, "doc_id").withColumn("s", rules.stratum())
+    by = {(r["s"], r["quality"]): r for r in got.groupBy("s", "quality").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")).collect()}
+    for s in range(3):
+        assert rules.upper_bound(by[s, 1]["gone"], by[s, 1]["n"], 1 - rules.DELTA / 3) <= rules.ALPHA
+        assert by[s, 0]["gone"] == by[s, 0]["n"]
+    # without a false rejection 203 good documents certify the strictest cutoff, 202 none
+    assert rules.choose({0: (203, [0] * len(rules.GRID)), 1: (202, [0] * len(rules.GRID))}) == {0: rules.GRID[-1]}
+
+
 def auc(y, s):
     order = np.argsort(s, kind="stable")
     rank = np.empty(len(s))
