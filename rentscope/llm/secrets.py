@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Three base patterns find candidate credentials. Their hashes are counted over the whole corpus by
-distinct owners and repositories (for documents: the source is the owner, a document text the
-repository): a value that belongs to at most ``max_owners`` owners is owner-specific and looks
-live, one that more owners carry is a widely copied example. Values that look live are then
+distinct repositories and owners (for documents: a distinct text is a repository, its source the
+owner; verbatim copies of a text are one repository with one owner): a value in at most
+``max_repositories`` repositories of at most ``max_owners`` owners is owner-specific and looks live,
+one that more of either carry is a widely copied example. Values that look live are then
 also searched bare, without the keyword that gave them away: those occurrences are the added
 spans (kind ``live``); base spans stay whatever the verdict.
 """
@@ -30,6 +31,11 @@ BARE = re.compile(rb"[A-Za-z0-9+/_.=-]{12,}")
 DIGIT, LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
 #: A value seen under more owners than this is an example.
 MAX_OWNERS = 2
+#: A value in more distinct texts than this is an example, even of a single owner: a credential of
+#: one owner turns up in a few of its texts, a pasted example in any number.
+MAX_REPOSITORIES = 10
+#: What makes surroundings: a letter, digit or non-ASCII character.
+AROUND = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -52,6 +58,12 @@ def _touching(spans: list[tuple[int, int, int, bytes]]) -> tuple[list[int], list
     return starts, ends
 
 
+def stands_alone(text: bytes, spans: list[tuple[int, int, int, bytes]]) -> bool:
+    """Whether nothing but base spans (and punctuation) is in the text."""
+    starts, ends = _touching(spans)
+    return not any(AROUND.search(text, a, z) for a, z in zip([0, *ends], [*starts, len(text)], strict=True))
+
+
 def bare_values(text: bytes, spans: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
     """(start, end, value) of bare candidate values that touch no base span."""
     starts, ends = _touching(spans)
@@ -79,18 +91,19 @@ def _hash(value: bytes) -> str:
     return hashlib.sha256(value).hexdigest()
 
 
-_FOUND = ("text_sha256 string, found array<struct<kind:string,start:bigint,end:bigint,hash:string>>")
+_FOUND = ("text_sha256 string, alone boolean, found array<struct<kind:string,start:bigint,end:bigint,hash:string>>")
 _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string())]))
 
 
 def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of docs with text_sha256 and found: base spans and bare candidates (kind bare)."""
+    """``columns`` of docs with text_sha256, alone (see stands_alone) and found: base spans and bare
+    candidates (kind bare)."""
     small_batches(docs.sparkSession)
     base = docs.select(*list(dict.fromkeys([*columns, "text"])))
     schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in columns), _FOUND])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        digests, found = [], []
+        digests, alone, found = [], [], []
         for t in texts(b):
             spans = base_spans(t)
             bare = bare_values(t, spans)
@@ -98,23 +111,28 @@ def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
             rows = [(KINDS[s[1]], s[3]) for s in spans] + [("bare", s[2]) for s in bare]
             found.append([{"kind": k, "start": at[2 * i], "end": at[2 * i + 1], "hash": _hash(v)} for i, (k, v) in enumerate(rows)])
             digests.append(_hash(t) if rows else None)
-        return pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(digests, pa.string()), pa.array(found, _FOUND_ARROW)],
-                                          names=[*columns, "text_sha256", "found"])
+            alone.append(stands_alone(t, spans) if spans else False)
+        return pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(digests, pa.string()), pa.array(alone, pa.bool_()), pa.array(found, _FOUND_ARROW)],
+                                          names=[*columns, "text_sha256", "alone", "found"])
 
     return map_batches(base, run, schema)
 
 
-def ownership(found: DataFrame, owner: str, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, owner: str, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """hash, n_owners, n_repositories, live of every base value.
 
-    (hash, owner, repository) is made distinct before it is counted, so a value copied into a
-    third of all documents shrinks to its owners and texts first. A null owner is one owner.
+    A text is one repository however often it is copied, and its owner is the first by name, so a
+    text copied under many owners makes no example of its credentials. Only a text that stands
+    alone is a repository of each of its owners: nothing in it but the value could tell a copy.
+    (hash, repository) is made distinct before it is counted, so a value copied into a third of all
+    documents shrinks to its texts and owners first. A null owner is one owner.
     """
-    seen = (found.select(F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("owner"), "text_sha256", F.explode("found").alias("f"))
-            .filter("f.kind <> 'bare'").select("f.hash", "owner", "text_sha256").distinct())
-    per_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("r"))
+    seen = (found.select(F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("owner"), "text_sha256", "alone", F.explode("found").alias("f"))
+            .filter("f.kind <> 'bare'").select("f.hash", "owner", "text_sha256", F.when(F.col("alone"), F.col("owner")).alias("own")))
+    per_text = seen.groupBy("hash", "text_sha256", "own").agg(F.min("owner").alias("owner"))
+    per_owner = per_text.groupBy("hash", "owner").agg(F.count("*").alias("r"))
     return (per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"))
-            .withColumn("live", F.col("n_owners") <= max_owners))
+            .withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)))
 
 
 def live_spans(found: DataFrame, owners: DataFrame) -> DataFrame:

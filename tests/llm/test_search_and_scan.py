@@ -103,6 +103,24 @@ def test_op2_ownership(spark):
     assert rows(secrets.redact(c), *c.columns) == rows(c, *c.columns)
 
 
+def test_op2_texts_and_owners(spark):
+    """An example in many texts of one source is no live value; a secret in one text is, whoever copies the text."""
+    pasted, leaked, few = "Pasted12Pasted34", "Leaked12Leaked34", "Fewtxt12Fewtxt34"
+    data = [(i, f"page {i} says password={pasted} to all", "en", "hot", 1) for i in range(secrets.MAX_REPOSITORIES + 1)]
+    data += [(100 + i, f"page {i} says password={few} to us", "en", "hot", 1) for i in range(secrets.MAX_REPOSITORIES)]
+    data += [(200 + i, f"our notes: password={leaked} for now", "en", f"s{i}", 1) for i in range(6)]
+    data += [(300, f"log {pasted} here", "en", "z", 1), (301, f"log {few} here", "en", "z", 1), (302, f"log {leaked} here", "en", "z", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    owners = {r["hash"]: r[1:] for r in secrets.ownership(secrets.scan(docs, ["source"]), "source").select("hash", "n_owners", "n_repositories", "live").collect()}
+    assert owners == {secrets._hash(v.encode()): want for v, want in (
+        (pasted, (1, secrets.MAX_REPOSITORIES + 1, False)), (few, (1, secrets.MAX_REPOSITORIES, True)), (leaked, (1, 1, True)))}
+    got = {r["doc_id"]: r for r in secrets.op2_secrets(docs).collect()}
+    assert (got[0]["n_live"], got[0]["n_example"]) == (0, 1) and (got[200]["n_live"], got[205]["n_example"]) == (1, 0)
+    assert [got[i]["spans"] for i in (300, 301, 302)] == ["", "live:4:20", "live:4:20"]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert [out[i] for i in (300, 301, 302)] == [f"log {pasted} here", "log [SECRET] here", "log [SECRET] here"]
+
+
 def test_op3_sql(spark):
     same_as_sql(spark, entry.op3_warc(spark, SF), entry.oracle_sql()["op3_warc"])
 
