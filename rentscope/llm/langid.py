@@ -1,12 +1,14 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has a unigram model over the pieces of a fixed public vocabulary. The models are
-estimated from expected piece counts over all segmentations of a bounded sample of labelled texts,
-and a text is scored under each by the forward algorithm, which sums all its segmentations. The
+estimated from expected piece counts over all segmentations of all labelled texts outside the
+held-out fold, so every language with such a text has a model, however rare it is. Counts belong to
+words: tasks count the words of their texts, and each distinct word of a language is weighed once.
+A text is scored under each by the forward algorithm, which sums all its segmentations. The
 posterior of the best language is the score.
 
-Words are scored once per Python worker, which keeps a bounded number of them; nothing is
-shuffled, so a hot language or source costs nothing extra. Languages are handled in blocks of
+Words are scored once per Python worker, which keeps a bounded number of them; only word counts
+are shuffled, never texts, so a hot language or source costs nothing extra. Languages are handled in blocks of
 bounded size, chained as narrow stages.
 """
 from __future__ import annotations
@@ -25,13 +27,11 @@ from .common import in_fold, small_batches, texts
 from .lattice import Pieces, expected_counts, log_marginals, vocabulary_path
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled texts that the models are fitted on (about; chosen by a hash of the id).
-SAMPLE_TEXTS = 20_000
 #: Languages scored together: the models of a block are broadcast (32,000 numbers each).
 BLOCK_LANGUAGES = 64
 #: Background counts that smooth each language's pieces.
 SMOOTHING = 500.0
-#: Words whose scores a worker keeps.
+#: Words whose scores a worker keeps, and words counted or weighed by a task before it hands on.
 CACHE_WORDS = 500_000
 UNKNOWN = "und"
 
@@ -64,24 +64,18 @@ def has_letter(words: list[bytes]) -> bool:
     return any(_ASCII_LETTER.search(w) or not w.isascii() and any(c.isalpha() for c in w.decode("utf-8", "replace")) for w in words)
 
 
-def fit(docs: DataFrame, path: str, sample: int = SAMPLE_TEXTS) -> dict[str, np.ndarray]:
-    """Language -> natural-log piece probabilities, from rows outside the held-out fold with a
-    language and a text. The driver receives one number per language and piece."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, n over all rows outside the held-out fold with a language and a text."""
     small_batches(docs.sparkSession)
     labelled = docs.filter(~in_fold("doc_id", FOLDS, HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1)))
-    start = _pieces(path).start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logp = _pieces(path), np.log(np.maximum(start, 1e-300))[:, None]
         seen: dict[str, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, words in seen.items():
-                total = expected_counts(pieces, list(words), np.array(list(words.values()), float)[:, None], logp)[:, 0]
-                at = np.flatnonzero(total > 1e-6)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], names=["lang", "piece", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()),
+                                                  pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
             seen.clear()
 
         for b in batches:
@@ -91,9 +85,40 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE_TEXTS) -> dict[str, np.
                 yield from out()
         yield from out()
 
+    return (labelled.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, word binary, n long")
+            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+
+def fit(docs: DataFrame, path: str) -> dict[str, np.ndarray]:
+    """Language -> natural-log piece probabilities, from rows outside the held-out fold with a
+    language and a text. The driver receives one number per language and piece."""
+    start = _pieces(path).start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, logp = _pieces(path), np.log(np.maximum(start, 1e-300))[:, None]
+        held: dict[str, tuple[list[bytes], list[int]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (words, n) in held.items():
+                total = expected_counts(pieces, words, np.array(n, float)[:, None], logp)[:, 0]
+                at = np.flatnonzero(total > 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], names=["lang", "piece", "n"])
+            held.clear()
+
+        for b in batches:
+            for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+                words, counts = held.setdefault(lang, ([], []))
+                words.append(word)
+                counts.append(n)
+            size += b.num_rows
+            if size > CACHE_WORDS:
+                yield from out()
+                size = 0
+        yield from out()
+
     counts: dict[str, np.ndarray] = {}
-    rows = (labelled.filter(share).select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, piece long, n double")
-            .groupBy("lang", "piece").agg(F.sum("n").alias("n")))
+    rows = word_counts(docs).mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     for r in rows.toLocalIterator():
         counts.setdefault(r["lang"], np.zeros(len(start)))[r["piece"]] = r["n"]
     if not counts:
@@ -150,9 +175,9 @@ def predict(docs: DataFrame, models: dict[str, np.ndarray], path: str, columns:
                       F.when(F.col("_lang").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("_best") - F.col("_all")))).alias("score"))
 
 
-def op7_language_id(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_TEXTS) -> DataFrame:
+def op7_language_id(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score. A null doc_id is held out."""
     path = path or vocabulary_path()
-    models = fit(docs, path, sample)
+    models = fit(docs, path)
     return (predict(docs, models, path, ["doc_id"]).withColumn("held_out", in_fold("doc_id", FOLDS, HELD_OUT))
             .select("doc_id", "held_out", "lang_pred", "score"))

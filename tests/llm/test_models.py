@@ -206,3 +206,15 @@ def test_op7_blocks_and_odd(spark):
     assert langid.op7_language_id(docs.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und' OR score <> 0").isEmpty()
     assert langid.op7_language_id(empty(docs)).isEmpty()
     assert langid.op7_language_id(clashing(docs)).count() == docs.count()
+
+
+def test_op7_rare_language(spark):
+    """A language with a handful of texts in a large table is learned and predicted."""
+    common = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("the and of that").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(1_000_000 + i, " ".join(f"{'zuv nol mesh krip'.split()[(i + j) % 4]}{'ta ra ish'.split()[j % 3]}" for j in range(40)), "qx") for i in range(10)],
+                                 common.schema)
+    got = langid.op7_language_id(common.unionByName(rare))
+    by = {tuple(r)[:3]: r["count"] for r in got.groupBy(F.col("doc_id") >= 1_000_000, "held_out", "lang_pred").count().collect()}
+    out = sum(crc(1_000_000 + i) % 5 == 0 for i in range(10))
+    assert 0 < out < 10 and {k: n for k, n in by.items() if k[0]} == {(True, False, "qx"): 10 - out, (True, True, "qx"): out}
+    assert all(k[2] == "en" for k in by if not k[0]) and sum(by.values()) == 400_010
