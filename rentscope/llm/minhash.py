@@ -269,18 +269,19 @@ def sketches(sets: DataFrame, sids: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, row, n_shingles, sid, component_id of every row of docs.
+    """doc_id, row, n_shingles, sid, component_id, root of every row of docs.
 
     component_id: smallest doc_id reachable (null ids are passed over). A row without words is its
-    own component. Repeated rows are one class.
+    own component (root null). Repeated rows are one class. Where different texts repeat a doc_id,
+    unlinked components may have the same component_id; their roots differ.
     """
     prints, roots = link(docs, n, percent, bands, rows)
     ids = prints.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     rooted = written(ids.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = written(rooted.join(written(least, "least"), "root").select("sid", "component_id"), "class-components")
+    of = written(rooted.join(written(least, "least"), "root").select("sid", "component_id", "root"), "class-components")
     prints = prints.drop("bands")
-    own = prints.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    own = prints.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("binary")})
     return prints.filter("n_shingles > 0").join(of, "sid").select(*own.columns).union(own)
 
 
@@ -291,10 +292,10 @@ def op10_minhash_dedup(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each component (the one with the smallest id; of repeated rows one), and
-    every document without words; same columns."""
+    every document without words; same columns. Different texts that repeat a doc_id are documents
+    of their own."""
     rows = clusters(docs, n, percent).filter("n_shingles > 0")
-    component = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("-"), F.hex("sid")))
-    best = rows.groupBy(component.alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "row")).alias("b"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "row")).alias("b"))
     winners = written(best.select(F.col("b.row").alias("_row")), "winners")
     names = docs.columns
     copy = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], row_key().alias("_row"),

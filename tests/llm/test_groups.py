@@ -227,6 +227,14 @@ def test_components(spark):
     assert got == {i: find(i) for i in ends if find(i) != i}
 
 
+def test_dedup_repeated_id_with_different_texts(spark):
+    """Unlinked texts under one doc_id are two documents; their copies still go."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    data = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (2, one, "en", "b", 1), (3, two, "en", "b", 1), (None, two, "en", "c", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows(minhash.deduplicate(docs), "doc_id", "text") == [(1, one), (1, two)]
+
+
 def test_pipeline(spark):
     """run() against the stages' brute-force counterparts, on the smallest tables."""
     got = corpus_pipeline.run(spark, SF).collect()
