@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collapse, decontaminate, langid, lm_score, minhash, packing, quality_pu, rules, secrets, warc
+from . import collapse, decontaminate, langid, lm_score, merkle, minhash, packing, quality_pu, rules, secrets, warc, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,14 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op10_minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11_embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13_merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -59,8 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_secrets, op3_warc, op4_quality_classifier, op5_lm_score, op6_quality_rules, op7_language_id,
-        op8_chat_collapse, op9_best_fit_packing, op10_minhash_dedup, pipeline)}
+        op8_chat_collapse, op9_best_fit_packing, op10_minhash_dedup, op11_embedding_whitening, op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op8_chat_collapse": collapse.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op8_chat_collapse": collapse.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
