@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collapse, decontaminate, langid, lm_score, merkle, minhash, packing, quality_pu, rules, secrets, warc, whitening
+from . import collapse, decontaminate, langid, lm_score, merkle, minhash, packing, quality_pu, rules, secrets, suffixes, warc, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op11_embedding_whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op12_suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op13_merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_secrets, op3_warc, op4_quality_classifier, op5_lm_score, op6_quality_rules, op7_language_id,
-        op8_chat_collapse, op9_best_fit_packing, op10_minhash_dedup, op11_embedding_whitening, op13_merkle_manifest, pipeline)}
+        op8_chat_collapse, op9_best_fit_packing, op10_minhash_dedup, op11_embedding_whitening, op12_suffix_dedup,
+        op13_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op8_chat_collapse": collapse.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op8_chat_collapse": collapse.ORACLE, "op12_suffix_dedup": suffixes.ORACLE,
+            "op13_merkle_manifest": merkle.ORACLE}
