@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,6 @@ from .common import core_conf, small_batches, written
 from .shingles import mix, stream
 
 LENGTH, GRAM = 100, 32
-#: Bytes hashed at a time; a longer text is cut into slices that share LENGTH - 1 bytes.
-SLICE = 1 << 21
-#: Runs gathered before a task sends them, and suffixes sorted at a time (of whole anchors).
-BLOCK_RUNS, SORT_SUFFIXES = 1_000_000, 500_000
-#: Different runs of an anchor in a block, and in all, beyond which it is spread.
-BLOCK_HOT, HOT = 64, 4096
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = stream(256, 7)
@@ -46,6 +41,18 @@ _POWERS = [np.ones(1, U), np.ones(1, U)]
 _OPEN = np.dtype([("key", "<u8"), ("start", "<i4"), ("n", "<i4"), ("off", "<i4"), ("hot", "<i4")])
 
 
+class Limits(NamedTuple):
+    """Sizes that decide on memory and route, never on results."""
+    #: Bytes hashed at a time; a longer text is cut into slices that share LENGTH - 1 bytes.
+    slice: int = 1 << 20
+    #: Runs gathered before a task sends them, and suffixes sorted at a time (of whole anchors).
+    block_runs: int = 600_000
+    sort_suffixes: int = 500_000
+    #: Different runs of an anchor in a block, and in all, beyond which it is spread.
+    block_hot: int = 64
+    hot: int = 4096
+
+
 # ------------------------------------------------------------------ prefix hashes
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, n or more of each."""
@@ -143,16 +150,16 @@ def groups(h: Hashes, at: np.ndarray, segment: np.ndarray, limit: int = LENGTH)
 
 
 # ------------------------------------------------------------------ runs of windows
-def slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def slices(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(data, text number and start in the text of each piece with the piece's end in data): texts of
-    LENGTH bytes or more, about SLICE bytes at a time."""
+    LENGTH bytes or more, about ``size`` bytes at a time."""
     parts: list[bytes] = []
     rows: list[tuple[int, int]] = []
     total = 0
     for k, t in enumerate(texts):
-        for a in range(0, max(0, len(t) - LENGTH + 1), SLICE):
-            piece = t[a:a + SLICE + LENGTH - 1] if a or len(t) > SLICE else t
-            if parts and total + len(piece) > SLICE:
+        for a in range(0, max(0, len(t) - LENGTH + 1), size):
+            piece = t[a:a + size + LENGTH - 1] if len(t) > size else t
+            if parts and total + len(piece) > size:
                 yield _slice(parts, rows)
                 parts, rows, total = [], [], 0
             parts.append(piece)
@@ -214,7 +221,7 @@ _DECIDED = "at long, th long, repeats binary, open binary"
 _REPEATS, _PLAIN, _SPREAD, _MARK = range(4)
 
 
-def _send(cols: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(cols: dict[str, np.ndarray], buckets: int, block_hot: int) -> Iterator[pa.RecordBatch]:
     """The runs of a block by bucket; those that repeat within the block go as such."""
     order, group, repeat = firsts([cols["key"], cols["cls"]], cols["at"], cols["start"])
     c = {k: v[order] for k, v in cols.items()}
@@ -222,7 +229,7 @@ def _send(cols: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]
     twin = np.r_[False, (group[1:] == group[:-1]) & (c["at"][1:] == c["at"][:-1]) & (c["start"][1:] == c["start"][:-1]) & (c["th"][1:] == c["th"][:-1])]
     classes = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     _, which, many = np.unique(c["key"][classes], return_inverse=True, return_counts=True)
-    spread = (many[which] >= BLOCK_HOT)[group]
+    spread = (many[which] >= block_hot)[group]
     kind = np.where(repeat, _REPEATS, np.where(spread, _SPREAD, _PLAIN))
     bucket = np.where(kind == _REPEATS, mix(c["th"].view(U)), np.where(kind == _SPREAD, mix(c["cls"]), c["key"])) % U(buckets)
     keep = ~twin
@@ -243,7 +250,7 @@ def _texts(col: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in col.cast(pa.binary()).to_pylist()]
 
 
-def sent_runs(docs: DataFrame, buckets: int) -> DataFrame:
+def sent_runs(docs: DataFrame, buckets: int, limits: Limits = Limits()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
@@ -253,18 +260,18 @@ def sent_runs(docs: DataFrame, buckets: int) -> DataFrame:
 
         for b in batches:
             at, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("at", "th"))
-            for data, rows, ends in slices(_texts(b.column("text"))):
+            for data, rows, ends in slices(_texts(b.column("text")), limits.slice):
                 with np.errstate(over="ignore"):
                     piece, start, n, off, key, cls = runs(data, ends)
                 doc = rows[piece, 0]
                 place = start - np.r_[0, ends[:-1]][piece] + rows[piece, 1]
                 held.append({"key": key, "cls": cls, "at": at[doc], "th": th[doc], "start": place, "n": n, "off": off})
                 size += len(key)
-                if size >= BLOCK_RUNS:
-                    yield from _send(joined(), buckets)
+                if size >= limits.block_runs:
+                    yield from _send(joined(), buckets, limits.block_hot)
                     held, size = [], 0
         if size:
-            yield from _send(joined(), buckets)
+            yield from _send(joined(), buckets, limits.block_hot)
     return docs.select("at", "th", "text").mapInArrow(run, _SENT)
 
 
@@ -273,8 +280,8 @@ def _by_document(at: np.ndarray, th: np.ndarray, repeats: np.ndarray, opens: np.
     order = np.lexsort([is_open, th, at])
     at, th, is_open = at[order], th[order], is_open[order]
     begins = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (th[1:] != th[:-1])]) if len(at) else np.empty(0, np.int64)
-    ends = np.r_[begins[1:], len(at)].astype(np.int64)
-    middle = begins + np.array([int((~is_open[a:b]).sum()) for a, b in zip(begins, ends, strict=True)], np.int64)
+    ends = np.r_[begins[1:], len(at)].astype(np.int64)[:len(begins)]
+    middle = begins + np.add.reduceat((~is_open).astype(np.int64), begins) if len(at) else begins
     spans, runs_ = repeats[order], opens[order]
     return pa.RecordBatch.from_arrays(
         [pa.array(at[begins], pa.int64()), pa.array(th[begins], pa.int64()),
@@ -282,7 +289,7 @@ def _by_document(at: np.ndarray, th: np.ndarray, repeats: np.ndarray, opens: np.
          pa.array([runs_[m:b].tobytes() for m, b in zip(middle, ends, strict=True)], pa.binary())], names=["at", "th", "repeats", "open"])
 
 
-def decided(sent: DataFrame) -> DataFrame:
+def decided(sent: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per bucket and document: spans that repeat, runs that are open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {k: [] for k in range(4)}
@@ -298,13 +305,13 @@ def decided(sent: DataFrame) -> DataFrame:
         order, group, repeat = firsts([by_content, one["key"], one["cls"]], one["at"], one["start"])
         one = {f: v[order] for f, v in one.items()}
         by_content = by_content[order]
-        leads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
-        if len(leads):
-            names = one["key"][leads] ^ by_content[leads].astype(U)       # an anchor is in one part of a bucket only, but for chance
-            _, which, many = np.unique(names, return_inverse=True, return_counts=True)
-            marked = np.isin(one["key"][leads], c[_MARK]["key"])
-            hot = ((many[which] > HOT) | marked | (by_content[leads] == 1))[group]
-            open_ = (((many[which] > 1)[group]) | hot) & ~repeat
+        if len(group):
+            leads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            key, spread = one["key"][leads], by_content[leads] == 1
+            anchor = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (spread[1:] != spread[:-1])]) - 1
+            many = np.bincount(anchor)[anchor]
+            hot = ((many > limits.hot) | spread | np.isin(key, c[_MARK]["key"]))[group]
+            open_ = ((many > 1)[group] | hot) & ~repeat
         else:
             hot = open_ = np.zeros(0, bool)
         out = np.flatnonzero(repeat | open_)
@@ -332,7 +339,8 @@ def contents(pending: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             windows: dict[bytes, list[tuple]] = {}
-            for at, th, text, opens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for at, th, size, packed, opens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = unpack(packed, size)
                 for key, start, n, off, hot in np.frombuffer(opens, _OPEN).tolist():
                     if not hot:
                         rows.append((key - (1 << 64) if key >> 63 else key, off, n, at, th, start, text[start:start + n + LENGTH - 1]))
@@ -347,7 +355,7 @@ def contents(pending: DataFrame) -> DataFrame:
             for k in range(0, len(rows), 10_000):
                 part = list(zip(*rows[k:k + 10_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part, kinds, strict=True)], names=["key", "off", "n", "at", "th", "start", "content"])
-    return pending.select("at", "th", F.col("text").cast("binary").alias("text"), "open").mapInArrow(run, _CONTENT)
+    return pending.select("at", "th", "size", "packed", "open").mapInArrow(run, _CONTENT)
 
 
 def _sorted_repeats(cols: list[list]) -> pa.RecordBatch:
@@ -375,7 +383,7 @@ def _sorted_repeats(cols: list[list]) -> pa.RecordBatch:
     return _by_document(at_, th_, spans, np.zeros(len(p), _OPEN), np.zeros(len(p), bool))
 
 
-def sorted_repeats(rows: DataFrame) -> DataFrame:
+def sorted_repeats(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The windows of the open runs that repeat, from the suffix sort of whole anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(7)]
@@ -383,7 +391,7 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if size >= SORT_SUFFIXES and r[0] != held[0][-1]:
+                    if size >= limits.sort_suffixes and r[0] != held[0][-1]:
                         yield _sorted_repeats(held)
                         held, size = [[] for _ in range(7)], 0
                     for c, v in zip(held, r, strict=True):
@@ -409,36 +417,50 @@ def cut(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
     return len(text) - len(kept), len(begin), kept
 
 
-_KEPT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CODEC = "zstd"
+
+
+def unpack(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, decompressed_size=size, codec=_CODEC, asbytes=True) if size else b""
+
+
+def _packed(own: DataFrame, key_type: str) -> DataFrame:
+    """The texts as they travel: compressed, each by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = _texts(b.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("at"), b.column("th"), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array([pa.compress(t, codec=_CODEC, asbytes=True) if t else b"" for t in texts], pa.binary())], names=["doc_id", "at", "th", "size", "packed"])
+    return own.select("doc_id", "at", "th", "text").mapInArrow(run, f"doc_id {key_type}, at long, th long, size long, packed binary")
 
 
 def _results(rows: DataFrame, key_type: str, keep_text: bool, last: bool) -> DataFrame:
     """A result a row; with ``last`` false, rows that have open runs keep what is needed to go on."""
-    names = ["doc_id", "at", "th", "text", "repeats", "open", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["doc_id", "at", "th", "size", "packed", "repeats", "open", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, th = (b.column(c) for c in ("doc_id", "at", "th"))
             out: list[tuple] = []
-            for text, spans, opens in zip(_texts(b.column("text")), b.column("repeats").to_pylist(), b.column("open").to_pylist(), strict=True):
+            for size, packed, spans, opens in zip(*(b.column(c).to_pylist() for c in ("size", "packed", "repeats", "open")), strict=True):
                 waits = b"".join(opens or [])
                 if waits and not last:
-                    out.append((text, b"".join(spans), waits, None, None, None, None, None))
+                    out.append((packed, b"".join(spans), waits, None, None, None, None))
                     continue
-                removed, count, kept = cut(text, spans or [])
-                out.append((None, None, None, len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            kinds = [pa.binary()] * 3 + [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([ids, at, th, *(pa.array(list(v), t) for v, t in zip(cols, kinds, strict=True))], names=names)
-    return rows.select("doc_id", "at", "th", "text", "repeats", "open").mapInArrow(
-        run, f"doc_id {key_type}, at long, th long, text binary, repeats binary, open binary, {_KEPT}")
+                removed, count, kept = cut(unpack(packed, size), spans or [])
+                out.append((None, None, None, removed, count, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            kinds = [pa.binary()] * 3 + [pa.int64()] * 2 + [pa.string(), pa.binary()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names[:4]] + [pa.array(list(v), t) for v, t in zip(cols, kinds, strict=True)], names=names)
+    return rows.select("doc_id", "at", "th", "size", "packed", "repeats", "open").mapInArrow(
+        run, f"doc_id {key_type}, at long, th long, size long, packed binary, repeats binary, open binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _per_document(found: DataFrame) -> DataFrame:
     return found.groupBy("at", "th").agg(*[F.collect_list(c).alias(c) for c in ("repeats", "open")])
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row.
 
     A null text is empty, and a text under LENGTH bytes keeps all. Rows are ordered by doc_id alone,
@@ -449,17 +471,20 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.xxhash64("text").alias("th"), "text")
+    # a row is known by its id, and by its text too if any id repeats
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"),
+                      (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("th"), "text")
     buckets = core_conf(spark)
-    sent = sent_runs(own, buckets).repartitionById(buckets, "bucket").drop("bucket")
-    first = own.join(_per_document(decided(sent)), ["at", "th"], "left")
+    sent = sent_runs(own, buckets, limits).repartitionById(buckets, "bucket").drop("bucket")
+    first = _packed(own, kind).join(_per_document(decided(sent, limits)), ["at", "th"], "left")
     results = written(_results(first, kind, keep_text, False), "suffix-first")
     pending = results.filter("open IS NOT NULL")
-    more = _per_document(sorted_repeats(contents(pending)).select("at", "th", "repeats", F.lit(None).cast("binary").alias("open"))).select("at", "th", F.col("repeats").alias("late"))
-    rest = (pending.select("doc_id", "at", "th", "text", F.col("repeats").alias("early")).join(more, ["at", "th"], "left")
+    more = _per_document(sorted_repeats(contents(pending), limits)).select("at", "th", F.col("repeats").alias("late"))
+    rest = (pending.select("doc_id", "at", "th", "size", "packed", F.col("repeats").alias("early")).join(more, ["at", "th"], "left")
             .withColumn("repeats", F.concat(F.array("early"), F.coalesce("late", F.array().cast("array<binary>"))))
             .withColumn("open", F.lit(None).cast("array<binary>")))
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    columns = ["doc_id", F.col("size").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept"]
     return results.filter("open IS NULL").select(*columns).union(_results(rest, kind, keep_text, True).select(*columns))
 
 
