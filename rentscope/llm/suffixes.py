@@ -16,8 +16,8 @@ have a partner, and all of those:
    compared byte by byte (``groups``); all but the earliest of a group repeat.
 
 An anchor with very many different runs (the end of a line that a third of all documents share) is
-spread: its open windows meet by their own hash instead, after a task has kept the earliest of equal
-ones. Nothing is left out on either way, so the limits decide on the route alone.
+spread: its open windows meet one by one by their 128-bit digests instead, after a task has kept the
+earliest of equal ones. Nothing is left out on either way, so the limits decide on the route alone.
 """
 from __future__ import annotations
 
@@ -46,10 +46,10 @@ class Limits(NamedTuple):
     #: Bytes hashed at a time; a longer text is cut into slices that share LENGTH - 1 bytes.
     slice: int = 1 << 20
     #: Runs gathered before a task sends them, and suffixes sorted at a time (of whole anchors).
-    block_runs: int = 600_000
-    sort_suffixes: int = 500_000
+    block_runs: int = 400_000
+    sort_suffixes: int = 300_000
     #: Different runs of an anchor in a block, and in all, beyond which it is spread.
-    block_hot: int = 64
+    block_hot: int = 256
     hot: int = 4096
 
 
@@ -221,6 +221,15 @@ _DECIDED = "at long, th long, repeats binary, open binary"
 _REPEATS, _PLAIN, _SPREAD, _MARK = range(4)
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, ...: the high bytes of like numbers compress."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _send(cols: dict[str, np.ndarray], buckets: int, block_hot: int) -> Iterator[pa.RecordBatch]:
     """The runs of a block by bucket; those that repeat within the block go as such."""
     order, group, repeat = firsts([cols["key"], cols["cls"]], cols["at"], cols["start"])
@@ -243,7 +252,7 @@ def _send(cols: dict[str, np.ndarray], buckets: int, block_hot: int) -> Iterator
     ends = np.r_[begins[1:], len(bucket)]
     yield pa.RecordBatch.from_arrays(
         [pa.array(bucket[begins], pa.int32()), pa.array(kind[begins], pa.int32())]
-        + [pa.array([v[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()) for v in c.values()], names=["bucket", "kind", *c])
+        + [pa.array([_planes(v[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()) for v in c.values()], names=["bucket", "kind", *c])
 
 
 def _texts(col: pa.Array) -> list[bytes]:
@@ -295,7 +304,7 @@ def decided(sent: DataFrame, limits: Limits = Limits()) -> DataFrame:
         held: dict[int, list[dict]] = {k: [] for k in range(4)}
         for b in batches:
             for k, *cols in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held[k].append({c: np.frombuffer(v, t) for (c, t), v in zip(_RUN.items(), cols, strict=True)})
+                held[k].append({c: _from_planes(v, t) for (c, t), v in zip(_RUN.items(), cols, strict=True)})
         empty = {c: np.empty(0, t) for c, t in _RUN.items()}
         c = {k: {f: np.concatenate([x[f] for x in [empty, *v]]) for f in _RUN} for k, v in held.items()}
         del held
@@ -330,75 +339,107 @@ def decided(sent: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 # ------------------------------------------------------------------ open runs
 _CONTENT = "key long, off int, n int, at long, th long, start int, content binary"
-
-
-def contents(pending: DataFrame) -> DataFrame:
-    """The bytes of the open runs: by anchor, or window by window for spread anchors. n = 0: a window
-    known to repeat."""
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_NAMES = ["key", "off", "n", "at", "th", "start", "content"]
+#: n of a window that is known to repeat, and of one that comes as its digest (key and content).
+_KNOWN, _DIGEST = 0, -1
+
+
+def _digests(windows: list[bytes], at: list[int], th: list[int], start: list[int]) -> pa.RecordBatch:
+    """Windows of spread anchors: of equal ones the earliest as digest, the others as known."""
+    d = np.frombuffer(b"".join(windows), "<u8").reshape(-1, 2)
+    cols = [np.array(c, np.int64) for c in (at, th, start)]
+    order, group, repeat = firsts([d[:, 0], d[:, 1]], cols[0], cols[2])
+    at_, th_, start_ = (c[order] for c in cols)
+    twin = np.r_[False, (group[1:] == group[:-1]) & (at_[1:] == at_[:-1]) & (th_[1:] == th_[:-1]) & (start_[1:] == start_[:-1])]
+    at_, th_, start_, repeat, order = at_[~twin], th_[~twin], start_[~twin], repeat[~twin], order[~twin]
+    key = np.where(repeat, mix(at_.view(U)), d[order, 0]).view(np.int64)
+    second = d[order, 1].tobytes()
+    content = [b"" if r else second[8 * k:8 * k + 8] for k, r in enumerate(repeat.tolist())]
+    n = np.where(repeat, _KNOWN, _DIGEST)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((key, np.full(len(key), -1), n, at_, th_, start_, content), _KINDS, strict=True)], names=_NAMES)
+
+
+def contents(pending: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The bytes of the open runs by anchor, and the windows of spread anchors by digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: tuple[list, ...] = ([], [], [], [])
         for b in batches:
             rows: list[tuple] = []
-            windows: dict[bytes, list[tuple]] = {}
             for at, th, size, packed, opens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = unpack(packed, size)
                 for key, start, n, off, hot in np.frombuffer(opens, _OPEN).tolist():
                     if not hot:
                         rows.append((key - (1 << 64) if key >> 63 else key, off, n, at, th, start, text[start:start + n + LENGTH - 1]))
                         continue
-                    for p in range(start, start + n):
-                        windows.setdefault(text[p:p + LENGTH], []).append((at, p, th))
-            for window, places in windows.items():
-                key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                lead = min(places)
-                rows += [(key, -1, 1, at, th, p, window) if (at, p) == lead[:2] else (th, -1, 0, at, th, p, b"") for at, p, th in set(places)]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    windows[0].extend(hashlib.blake2b(text[p:p + LENGTH], digest_size=16).digest() for p in range(start, start + n))
+                    windows[1].extend([at] * n)
+                    windows[2].extend([th] * n)
+                    windows[3].extend(range(start, start + n))
+                if len(windows[0]) >= limits.sort_suffixes:
+                    yield _digests(*windows)
+                    windows = ([], [], [], [])
             for k in range(0, len(rows), 10_000):
                 part = list(zip(*rows[k:k + 10_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part, kinds, strict=True)], names=["key", "off", "n", "at", "th", "start", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part, _KINDS, strict=True)], names=_NAMES)
+        if windows[0]:
+            yield _digests(*windows)
     return pending.select("at", "th", "size", "packed", "open").mapInArrow(run, _CONTENT)
 
 
-def _sorted_repeats(cols: list[list]) -> pa.RecordBatch:
+def _sorted_repeats(rows: pa.Table) -> pa.RecordBatch:
     """The windows of the given runs that repeat, by document."""
-    key, off, n, at, th, start = (np.array(c, np.int64) for c in cols[:6])
-    size = np.array([len(x) for x in cols[6]], np.int64)
-    base = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    q = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    known = np.flatnonzero(n == 0)
+    key, off, n, at, th, start = (rows.column(c).to_numpy().astype(np.int64) for c in _NAMES[:6])
+    content = rows.column("content").to_pylist()
+    whole = np.flatnonzero(n > 0)
+    size = np.array([len(content[k]) for k in whole], np.int64)
+    base = np.zeros(len(n), np.int64)
+    base[whole] = np.cumsum(size) - size
+    count = np.maximum(n, 0)
+    row = np.repeat(np.arange(len(n)), count)
+    q = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     by = np.lexsort([off[row] - q, key[row]])
     row, q = row[by], q[by]
     rel = off[row] - q
     segment = np.cumsum(np.r_[False, (key[row][1:] != key[row][:-1]) | (rel[1:] != rel[:-1])]) if len(row) else row
     alone = np.bincount(segment)[segment] == 1 if len(row) else np.zeros(0, bool)
     row, q, segment = row[~alone], q[~alone], segment[~alone]
-    h = Hashes(np.frombuffer(b"".join(cols[6]), np.uint8))
+    h = Hashes(np.frombuffer(b"".join(content[k] for k in whole), np.uint8))
     order, group = groups(h, base[row] + q, segment)
     row, q = row[order], q[order]
     place = start[row] + q
     by, _, repeat = firsts([group], at[row], place)
     hit = by[repeat]
-    at_, th_, p = np.r_[at[known], at[row[hit]]], np.r_[th[known], th[row[hit]]], np.r_[start[known], place[hit]].astype("<i4")
+    digest = np.flatnonzero(n == _DIGEST)
+    second = np.frombuffer(b"".join(content[k] for k in digest), "<u8")
+    by, _, repeat = firsts([key[digest], second], at[digest], start[digest])
+    known = np.r_[np.flatnonzero(n == _KNOWN), digest[by[repeat]]]
+    p = np.r_[start[known], place[hit]].astype("<i4")
     spans = np.stack([p, p + np.int32(LENGTH)], axis=1).astype("<i4")
-    return _by_document(at_, th_, spans, np.zeros(len(p), _OPEN), np.zeros(len(p), bool))
+    return _by_document(np.r_[at[known], at[row[hit]]], np.r_[th[known], th[row[hit]]], spans, np.zeros(len(p), _OPEN), np.zeros(len(p), bool))
 
 
 def sorted_repeats(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The windows of the open runs that repeat, from the suffix sort of whole anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(7)]
+        held: list[pa.RecordBatch] = []
         size = 0
         with np.errstate(over="ignore"):
             for b in batches:
-                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if size >= limits.sort_suffixes and r[0] != held[0][-1]:
-                        yield _sorted_repeats(held)
-                        held, size = [[] for _ in range(7)], 0
-                    for c, v in zip(held, r, strict=True):
-                        c.append(v)
-                    size += r[2]
-            if held[0]:
-                yield _sorted_repeats(held)
+                held.append(b)
+                size += int(np.abs(b.column("n").to_numpy()).sum())
+                if size < limits.sort_suffixes:
+                    continue
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                at = int(np.searchsorted(key, key[-1]))         # the last anchor may go on
+                if at:
+                    yield _sorted_repeats(table.slice(0, at))
+                    table = table.slice(at)
+                held = table.to_batches()
+                size = int(np.abs(table.column("n").to_numpy()).sum())
+            if held:
+                yield _sorted_repeats(pa.Table.from_batches(held))
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, _DECIDED)
 
 
@@ -480,7 +521,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, limits: Limits = Lim
     first = _packed(own, kind).join(_per_document(decided(sent, limits)), ["at", "th"], "left")
     results = written(_results(first, kind, keep_text, False), "suffix-first")
     pending = results.filter("open IS NOT NULL")
-    more = _per_document(sorted_repeats(contents(pending), limits)).select("at", "th", F.col("repeats").alias("late"))
+    more = _per_document(sorted_repeats(contents(pending, limits), limits)).select("at", "th", F.col("repeats").alias("late"))
     rest = (pending.select("doc_id", "at", "th", "size", "packed", F.col("repeats").alias("early")).join(more, ["at", "th"], "left")
             .withColumn("repeats", F.concat(F.array("early"), F.coalesce("late", F.array().cast("array<binary>"))))
             .withColumn("open", F.lit(None).cast("array<binary>")))
