@@ -44,12 +44,12 @@ _OPEN = np.dtype([("key", "<u8"), ("start", "<i4"), ("n", "<i4"), ("off", "<i4")
 class Limits(NamedTuple):
     """Sizes that decide on memory and route, never on results."""
     #: Bytes hashed at a time; a longer text is cut into slices that share LENGTH - 1 bytes.
-    slice: int = 1 << 20
+    slice: int = 1 << 18
     #: Runs gathered before a task sends them, and suffixes sorted at a time (of whole anchors).
-    block_runs: int = 400_000
-    sort_suffixes: int = 300_000
+    block_runs: int = 150_000
+    sort_suffixes: int = 200_000
     #: Different runs of an anchor in a block, and in all, beyond which it is spread.
-    block_hot: int = 256
+    block_hot: int = 64
     hot: int = 4096
 
 
@@ -516,7 +516,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, limits: Limits = Lim
     unique = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"),
                       (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("th"), "text")
-    buckets = core_conf(spark)
+    buckets = 4 * core_conf(spark)          # small ones: a bucket is held in memory
     sent = sent_runs(own, buckets, limits).repartitionById(buckets, "bucket").drop("bucket")
     first = _packed(own, kind).join(_per_document(decided(sent, limits)), ["at", "th"], "left")
     results = written(_results(first, kind, keep_text, False), "suffix-first")
