@@ -3,3 +3,4 @@ from .csv import (HeaderMismatch, assert_header, clean_listings, read_calendar,
                   read_registry, read_reviews, read_staging, write_text_csv)
 from .schemas import LISTING_RAW_COLUMNS, LISTING_SLIM_COLUMNS, all_string
 from .tables import read_snapshot, read_table, write_mart, write_snapshot
+from .versions import drop_superseded, read_live, read_manifest, read_versions, write_version

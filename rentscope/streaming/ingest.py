@@ -3,11 +3,15 @@
 New snapshot files dropped into an incoming folder are picked up by a file
 stream; ``trigger(availableNow=True)`` processes what is there and stops, and
 the checkpoint remembers which files were done, so a rerun only sees new files
-(S11). Each micro-batch is cleaned and written with dynamic partition
-overwrite of its (month, batch) partitions: a replayed batch (after an executor or
-driver loss between write and commit) rewrites the same partitions instead of
-appending twice, and a later file of a month adds to it. A short or long row, another
-header, or a file without a month in its name or folder fails the batch.
+(S11). A short or long row, another header, or a file without a month in its name or folder
+fails the batch.
+
+With a ``key`` the table is versioned (``sources.versions``): a month that is sent again, under
+whatever file name, is merged by key with the newest file winning (or replaced as a whole), every file is
+listed in the manifest with its digest, and a reader sees each month before or after, never
+between. Without a key rows of different files can not be told apart: each micro-batch is written
+with dynamic partition overwrite of its (month, batch) partitions, so a later file of a month
+adds to it, and a replayed batch rewrites the same partitions instead of appending twice.
 """
 from __future__ import annotations
 
@@ -19,14 +23,23 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.schemas import all_string
+from ..sources.versions import read_live, read_manifest, write_version
+
+#: Columns that a transform keeps if its input has them: the month, the file and its time.
+CARRIED = ("month", "__file", "__time")
 
 
 def ingest_snapshots(spark: SparkSession, incoming: str, table_path: str, checkpoint: str,
                      columns: Sequence[str], transform: Callable[[DataFrame], DataFrame], *,
                      month_pattern: str = r"(\d{4}-\d{2})", check_header: bool = True,
-                     multiline: bool = True) -> None:
+                     multiline: bool = True, key: Sequence[str] | None = None,
+                     resend: str = "merge") -> None:
     """Process every not-yet-seen file under ``incoming`` (a path or glob) and stop.
 
+    ``key`` makes the table versioned: read it with ``sources.read_live``; ``resend`` says whether a
+    month that comes again is merged by key or replaced (see ``sources.write_version``).
+    ``transform`` works row by row and keeps the ``CARRIED`` columns.
+
     ``check_header=True`` reads with ``enforceSchema=false``: a file whose header
     names differ from ``columns`` fails the batch instead of being mis-read (S2).
     The month comes from the file path (``month_pattern``'s first group).
@@ -39,13 +52,26 @@ def ingest_snapshots(spark: SparkSession, incoming: str, table_path: str, checkp
     month = F.regexp_extract(place, month_pattern, 1)
     stream = stream.withColumn("month", F.when(month != "", month).otherwise(
         F.raise_error(F.concat(F.lit("no month in the file or folder name: "), F.col("_metadata.file_path")))))
+    if key is not None:
+        stream = stream.withColumns({"__file": F.col("_metadata.file_path"), "__time": F.col("_metadata.file_modification_time")})
+
+    def write_keyed(batch: DataFrame, epoch_id: int) -> None:
+        out = transform(batch)
+        missing = [c for c in CARRIED if c not in out.columns]
+        if missing:
+            raise ValueError(f"the transform drops {missing}")
+        # the files are parsed once; digests, the newest file by key and the merge read the stage
+        stage = scratch_path(spark, "staging", uuid.uuid4().hex)
+        out.write.parquet(stage)
+        source = spark.read.text(f"{checkpoint}/metadata").first()[0]       # the stream's own id
+        write_version(spark.read.parquet(stage), table_path, list(key), source=source, batch=epoch_id, resend=resend)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         out = transform(batch).withColumn("batch", F.lit(epoch_id))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("month", "batch").parquet(table_path))
 
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    q = (stream.writeStream.foreachBatch(write_batch if key is None else write_keyed).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -60,34 +86,62 @@ def _clean_orders(df: DataFrame) -> DataFrame:
                      blank_to_null("o_orderstatus").alias("o_orderstatus"),
                      to_double("o_totalprice").alias("o_totalprice"),
                      iso_date(F.substring("o_orderdate", 1, 10)).alias("o_orderdate"),
-                     blank_to_null("o_orderpriority").alias("o_orderpriority"), "month")
+                     blank_to_null("o_orderpriority").alias("o_orderpriority"), *[c for c in CARRIED if c in df.columns])
 
 
-def demo_ingest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Driver binding of I1 over the whole orders table: every order year becomes a
-    snapshot CSV folder. The first run ingests all years but the newest, then the
-    newest snapshot arrives and a second run picks up only it; a third run finds
-    nothing new. Result: rows and customers per ingested month partition.
-
-    Works under the shared checkpoint folder, a fresh sub-folder per call.
-    """
+def _ingest_orders(spark: SparkSession, sf_dir: str) -> str:
+    """Every order year as a snapshot CSV folder, in five runs: all years but the newest, the oldest one
+    as a faulty copy (double prices, every tenth order missing); the newest year; nothing new; the
+    corrected oldest year under new file names; the newest year once more, unchanged. The path of the
+    table, in a fresh folder under the shared checkpoint folder."""
     root = scratch_path(spark, "ingest", uuid.uuid4().hex)
     incoming, table, ckpt = f"{root}/incoming", f"{root}/table", f"{root}/_checkpoint"
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderdate").isNotNull())
     y = F.date_format("o_orderdate", "yyyy")
-    newest = orders.agg(F.max(y)).first()[0]
+    ends = orders.agg(F.min(y), F.max(y)).first()
+    if ends[0] is None:
+        return table
+    oldest, newest = F.lit(ends[0]), F.lit(ends[1])
+    faulty = (y == oldest) & (y < newest)
 
-    def drop_snapshots(cond) -> None:
+    def drop_snapshots(rows: DataFrame) -> None:
         # one write: a folder per year (snapshot=orders-YYYY-01/part-*.csv)
-        snap = orders.where(cond).select(F.concat(F.lit("orders-"), y, F.lit("-01")).alias("snapshot"),
-                                         *[F.col(c).cast("string").alias(c) for c in _ORDER_COLUMNS])
+        snap = rows.select(F.concat(F.lit("orders-"), y, F.lit("-01")).alias("snapshot"),
+                           *[F.col(c).cast("string").alias(c) for c in _ORDER_COLUMNS])
         (snap.write.mode("append").option("header", True).option("escape", '"')
              .partitionBy("snapshot").csv(incoming))
+        ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders, key=["o_orderkey"])
 
-    drop_snapshots(y < F.lit(newest))
-    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders)
-    drop_snapshots(y == F.lit(newest))
-    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders)
-    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders)   # nothing new
-    t = spark.read.parquet(table)
-    return t.groupBy("month").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"))
+    drop_snapshots(orders.where((y < newest) & ~(faulty & (F.col("o_orderkey") % 10 == 0)))
+                   .withColumn("o_totalprice", F.when(faulty, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))))
+    drop_snapshots(orders.where(y == newest))
+    ingest_snapshots(spark, f"{incoming}/snapshot=*", table, ckpt, _ORDER_COLUMNS, _clean_orders, key=["o_orderkey"])   # nothing new
+    if ends[0] < ends[1]:
+        drop_snapshots(orders.where(y == oldest))
+    drop_snapshots(orders.where(y == newest).coalesce(1))
+    return table
+
+
+_DEMO_SCHEMA = "month string, orders long, customers long, total double"
+
+
+def demo_ingest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Driver binding of I1 over the whole orders table (see ``_ingest_orders``): rows, customers and
+    the sum of prices per month of the live table."""
+    table = _ingest_orders(spark, sf_dir)
+    if read_manifest(spark, table).isEmpty():
+        return spark.createDataFrame([], _DEMO_SCHEMA)
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    return read_live(spark, table).groupBy("month").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.sum(price).cast("double").alias("total"))
+
+
+def demo_ingest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same runs as their manifest has them: per month how often it came in, how often it was written,
+    and the rows of its live copy."""
+    table = _ingest_orders(spark, sf_dir)
+    manifest = read_manifest(spark, table)
+    per = manifest.groupBy("month").agg(F.count_distinct("version").alias("came"), F.count_distinct(F.when(F.col("wrote"), F.col("version"))).alias("written"))
+    live = (read_live(spark, table).groupBy("month").agg(F.count(F.lit(1)).alias("orders")) if not manifest.isEmpty()
+            else spark.createDataFrame([], "month string, orders long"))
+    return per.join(live, "month")
