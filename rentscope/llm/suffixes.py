@@ -240,7 +240,7 @@ def _send(cols: dict[str, np.ndarray], buckets: int, block_hot: int) -> Iterator
     _, which, many = np.unique(c["key"][classes], return_inverse=True, return_counts=True)
     spread = (many[which] >= block_hot)[group]
     kind = np.where(repeat, _REPEATS, np.where(spread, _SPREAD, _PLAIN))
-    bucket = np.where(kind == _REPEATS, mix(c["th"].view(U)), np.where(kind == _SPREAD, mix(c["cls"]), c["key"])) % U(buckets)
+    bucket = np.where(kind == _REPEATS, mix(c["at"].view(U) ^ c["th"].view(U)), np.where(kind == _SPREAD, mix(c["cls"]), c["key"])) % U(buckets)
     keep = ~twin
     marks = np.unique(c["key"][spread])
     c = {k: np.r_[v[keep], marks.astype(v.dtype) if k == "key" else np.zeros(len(marks), v.dtype)] for k, v in c.items()}
@@ -353,7 +353,7 @@ def _digests(windows: list[bytes], at: list[int], th: list[int], start: list[int
     at_, th_, start_ = (c[order] for c in cols)
     twin = np.r_[False, (group[1:] == group[:-1]) & (at_[1:] == at_[:-1]) & (th_[1:] == th_[:-1]) & (start_[1:] == start_[:-1])]
     at_, th_, start_, repeat, order = at_[~twin], th_[~twin], start_[~twin], repeat[~twin], order[~twin]
-    key = np.where(repeat, mix(at_.view(U)), d[order, 0]).view(np.int64)
+    key = np.where(repeat, mix(at_.view(U) ^ th_.view(U)), d[order, 0]).view(np.int64)
     second = d[order, 1].tobytes()
     content = [b"" if r else second[8 * k:8 * k + 8] for k, r in enumerate(repeat.tolist())]
     n = np.where(repeat, _KNOWN, _DIGEST)
