@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, round_half_up as R
-from ..operators import (global_median, group_movers, metric_deltas, share_of_total, snapshot_diff, unpivot_long)
+from ..operators import group_movers, metric_deltas, share_of_total, snapshot_diff, unpivot_long
 from . import market as M
+from .document import document
 from .listings import ENTIRE, PRIVATE
 
 KPI_NAMES = {"period": "month", "rows": "listings", "a_median": "entire_med", "b_median": "private_med",
@@ -84,46 +85,12 @@ def area_trajectories(stacked: DataFrame, months: list[str], k: int = 8) -> Data
     return pivot_wide(m, ["neighbourhood_cleansed"], "month", "med", {mo: mo for mo in months})
 
 
-def _long(df: DataFrame, metric: str, key: str | None, cols) -> list[DataFrame]:
-    k = F.col(key).cast("string") if key else F.lit("")
-    return [df.select(F.lit(f"{metric}.{c}").alias("metric"), F.coalesce(k, F.lit("NULL")).alias("key"),
-                      F.col(c).cast("double").alias("value")) for c in cols]
+def metrics_tables(stacked: DataFrame, period: str = "month") -> DataFrame:
+    """The document (M1-M13) of every month of a stacked table, see ``plans.document``."""
+    return document(stacked, period)
 
 
 def metrics_table(listings: DataFrame, month: str) -> DataFrame:
-    """The monthly metrics document (M1-M13) as one long table
-    (month, metric, key, value), ready for ``write.partitionBy('month')``."""
-    from ..operators import count_in_top_k
-    from . import listings as L
-    q0, q1 = L.q0_size(listings), L.q1_nulls(listings)
-    parts = []
-    parts += _long(q0.select("listings"), "size", None, ["listings"])                              # M1
-    parts += _long(q1, "quality", None, [c for c in q1.columns])                                     # M1
-    parts += _long(L.q2_room_mix(listings), "room_mix", "room_type", ["n", "pct"])                  # M2
-    parts += _long(L.a2_entire_premium(listings, ratio_of_rounded=True), "premium", None,
-                   ["entire_home_median", "private_room_median", "entire_home_premium_ratio"])      # M3
-    parts += _long(L.a3_host_type(listings), "host_type", "host_type", ["listings", "avg_price", "avg_rating"])  # M4
-    parts += _long(L.a4_rating_bands(listings), "rating_band", "rating_band", ["listings", "avg_price"])        # M5
-    parts += _long(L.a5_availability_bands(listings, priced_only=True), "availability_band", "availability_band",
-                   ["listings", "implied_occupancy_pct"])                                            # M6
-    parts += _long(L.a1_top_areas(listings, 15, share_digits=2, keep_null_area=True), "top_areas", "neighbourhood",
-                   ["listings", "pct_of_city_supply", "avg_price", "median_price"])                  # M7
-    parts += _long(L.a8_host_concentration(listings, keep_null_host=True), "host_size", "host_size_band",
-                   ["hosts", "listings", "pct_of_supply"])                                           # M8
-    parts += _long(L.a9_bedroom_curve(listings, "cast"), "bedrooms", "bedrooms",
-                   ["avg_price", "marginal_cost_of_extra_bedroom"])                                  # M9
-    parts += _long(L.a10_revenue_leaders(listings, min_rows=None, priced_only=True), "revenue", "neighbourhood",
-                   ["avg_est_annual_revenue"])                                                       # M10
-    parts += _long(count_in_top_k(listings, [F.col("number_of_reviews").desc_nulls_last()], 20,
-                                  F.col("room_type") == "Private room", "private_in_top20", ["id"]),
-                   "top_reviewed", None, ["private_in_top20"])                                      # M11
-    parts += _long(L.a7_latest_review_months(listings), "latest_review", "review_month",
-                   ["listings_with_latest_review"])                                                  # M12
-    parts += _long(L.a11_value_picks(listings, k=8).agg(F.count(F.lit(1)).alias("picks")), "value_picks", None,
-                   ["picks"])                                                                        # M13
-    gm = global_median(listings.where(F.col("price") > 0), "price", "value")
-    parts.append(gm.select(F.lit("median_price").alias("metric"), F.lit("").alias("key"), R("value", 2).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(month).alias("month"), "metric", "key", "value")
+    """S14 of one month's listings: (month, metric, key, rank, value, text), ready for
+    ``write.partitionBy('month')``."""
+    return document(listings.withColumn("month", F.lit(month)), "month")
