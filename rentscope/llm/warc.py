@@ -3,7 +3,7 @@
 Every page becomes one record (response, or revisit of an earlier equal payload) of one archive.
 The index (archive, offset, length, URL, digest) follows from the records' byte lengths alone, so
 it is written before the archives and without their payloads; the archives are then written by
-Spark's text writer, one file an archive, in index order. Reading selects index rows, sorts their
+Spark's text writer, one file an archive, in index order; payloads travel compressed. Reading selects index rows, sorts their
 ranges per archive, coalesces neighbours into range reads of bounded size, and cuts the records
 out of what was read.
 """
@@ -75,6 +75,27 @@ def _head() -> Column:
         _line("Content-Length", body.cast("string")), F.lit(_EOL), http)
 
 
+def _travel(placed: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """(archive, value) in archive order, an archive a partition: payloads are compressed on the way."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            payloads = b.column("payload").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c) for c in ("archive", *order, "head")] + [pa.array([len(x) for x in payloads], pa.int64()),
+                 pa.array([pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in payloads], pa.binary())], names=["archive", *order, "head", "size", "packed"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("head", "size", "packed")), strict=True)
+            values = [f"{h}{pa.decompress(x, size, codec='zstd', asbytes=True).decode() if size else ''}{_EOL}" for h, size, x in rows]
+            yield pa.RecordBatch.from_arrays([b.column("archive"), pa.array(values, pa.string())], names=["archive", "value"])
+
+    small_batches(placed.sparkSession)
+    keys = "".join(f", {c} {placed.schema[c].dataType.simpleString()}" for c in order)
+    packed = placed.select("archive", *order, "head", "payload").mapInArrow(pack, f"archive int{keys}, head string, size long, packed binary")
+    return packed.repartitionById(n, "archive").sortWithinPartitions("archive", *order).mapInArrow(unpack, "archive int, value string")
+
+
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write index and archives under ``folder``; returns the index as read back
     (archive, offset, length, url, page_id, payload_digest)."""
@@ -89,12 +110,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     placed = recs.select(
         F.pmod(F.xxhash64(*order), F.lit(n)).cast("int").alias("archive"),
         *order, F.col("head"), kept.alias("payload"), size.cast("long").alias("length"))
-    placed = placed.repartition(n, "archive").sortWithinPartitions("archive", *order)
+    slim = placed.select("archive", *order, "length").repartitionById(n, "archive")
     w = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = placed.select("archive", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"), "length", "url", "page_id", "payload_digest")
+    index = slim.select("archive", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"), "length", "url", "page_id", "payload_digest")
     index.write.parquet(f"{folder}/index")
-    (placed.select("archive", F.concat("head", "payload", F.lit(_EOL)).alias("value"))
-     .write.partitionBy("archive").option("lineSep", _EOL).text(f"{folder}/archives"))
+    (_travel(placed, n, order).write.partitionBy("archive").option("lineSep", _EOL).text(f"{folder}/archives"))
     return spark.read.parquet(f"{folder}/index")
 
 
