@@ -75,14 +75,19 @@ def _head() -> Column:
         _line("Content-Length", body.cast("string")), F.lit(_EOL), http)
 
 
-def _travel(placed: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """(archive, value) in archive order, an archive a partition: payloads are compressed on the way."""
+def _travel(recs: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """(archive, value) in archive order, an archive a partition: payloads are compressed on the way,
+    digests are bytes, and the heads are made where the records are written."""
+    here = [*order, "record_type", "refers_to", "payload_bytes"]
+    kinds = {c: recs.schema[c].dataType.simpleString() for c in here} | {"payload_digest": "binary"}
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=9)
         for b in batches:
             payloads = b.column("payload").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("archive", *order, "head")] + [pa.array([len(x) for x in payloads], pa.int64()),
-                 pa.array([pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in payloads], pa.binary())], names=["archive", *order, "head", "size", "packed"])
+            packed = [codec.compress(x, asbytes=True) if x else b"" for x in payloads]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("archive", *here)), pa.array([len(x) for x in payloads], pa.int64()), pa.array(packed, pa.binary())],
+                                             names=["archive", *here, "size", "packed"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,10 +95,12 @@ def _travel(placed: DataFrame, n: int, order: list[str]) -> DataFrame:
             values = [f"{h}{pa.decompress(x, size, codec='zstd', asbytes=True).decode() if size else ''}{_EOL}" for h, size, x in rows]
             yield pa.RecordBatch.from_arrays([b.column("archive"), pa.array(values, pa.string())], names=["archive", "value"])
 
-    small_batches(placed.sparkSession)
-    keys = "".join(f", {c} {placed.schema[c].dataType.simpleString()}" for c in order)
-    packed = placed.select("archive", *order, "head", "payload").mapInArrow(pack, f"archive int{keys}, head string, size long, packed binary")
-    return packed.repartitionById(n, "archive").sortWithinPartitions("archive", *order).mapInArrow(unpack, "archive int, value string")
+    small_batches(recs.sparkSession)
+    packed = (recs.withColumn("payload_digest", F.unhex("payload_digest")).select("archive", *here, "payload")
+              .mapInArrow(pack, "archive int" + "".join(f", {c} {kinds[c]}" for c in here) + ", size long, packed binary"))
+    packed = packed.repartitionById(n, "archive").sortWithinPartitions("archive", *order)        # bytes and hex sort alike
+    return (packed.withColumn("payload_digest", F.lower(F.hex("payload_digest"))).select("archive", _head().alias("head"), "size", "packed")
+            .mapInArrow(unpack, "archive int, value string"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -109,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     order = ["page_id", "payload_digest", "url"]
     placed = recs.select(
         F.pmod(F.xxhash64(*order), F.lit(n)).cast("int").alias("archive"),
-        *order, F.col("head"), kept.alias("payload"), size.cast("long").alias("length"))
+        *order, "record_type", "refers_to", "payload_bytes", kept.alias("payload"), size.cast("long").alias("length"))
     slim = placed.select("archive", *order, "length").repartitionById(n, "archive")
     w = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     index = slim.select("archive", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"), "length", "url", "page_id", "payload_digest")
