@@ -1,6 +1,8 @@
 """Text expressions (X8, T1-T2): all built-in, whole texts, no UDF."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,12 @@ def strip_markup(c) -> Column:
 
 
 def tokens(c, separator: str = NON_WORD, min_len: int = 4) -> Column:
-    """Lower-cased words of a whole text, markup removed, at least ``min_len`` long."""
+    """Lower-cased words of a whole text, markup removed, at least ``min_len`` long.
+
+    Letter-run words (the default separator) are matched directly, inside generated code; only
+    another separator splits and filters by a lambda."""
+    if separator == NON_WORD and min_len > 0:
+        return F.regexp_extract_all(F.lower(strip_markup(c)), F.lit(f"[a-z]{{{min_len},}}"), 0)
     parts = F.split(F.lower(strip_markup(c)), separator)
     return F.filter(parts, lambda w: F.length(w) >= min_len)
 
@@ -38,6 +45,19 @@ def word_line(c, min_len: int = 1) -> Column:
     return F.trim(t)
 
 
+def count_words(c, min_len: int = 1) -> Column:
+    """How many words ``tokens`` gives (default separator), without an array."""
+    return F.regexp_count(F.lower(strip_markup(c)), F.lit(f"[a-z]{{{max(1, min_len)},}}"))
+
+
+def count_listed(line, words) -> Column:
+    """How many words of a ``word_line`` are in the list."""
+    listed = sorted({w for w in words if re.fullmatch("[a-z]+", w)})      # no other word can be in a line
+    if not listed:
+        return F.when(_c(line).isNotNull(), F.lit(0))
+    return F.regexp_count(_c(line), F.lit(rf"\b(?:{'|'.join(listed)})\b"))
+
+
 def line_bigrams(line) -> Column:
     """Adjacent pairs 'w1 w2' of a ``word_line``: one zero-width match per word that has
     a successor. Stays in generated code (no lambda), about 3x faster than ``bigrams``

@@ -3,8 +3,10 @@
 ``F.median`` keeps every distinct value of a group in one aggregation buffer,
 so a group holding a third of a 100 TB table would land in one task. The
 operator here selects the middle rank(s) by narrowing histograms instead, by the
-same steps for every group and at every size. The (key, value) rows are written once
-to the shared folder first, so a join or filter behind them runs once:
+same steps for every group and at every size. Each pass reads the input again, so a caller whose
+input has a join or a costly filter behind it passes ``stage=True``: the (key, value) rows are
+written once to the shared folder first. A plain table scan is read again instead: writing its
+values would cost more than the second scan.
 
 1. One pass counts rows per (group, coarse bucket). The coarse bucket is a
    data-independent monotone function of the value, so this is a plain partial
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .partitioning import written
@@ -51,9 +53,19 @@ def _coarse_bucket(v: Column, per_unit: float) -> Column:
     return F.when(v == F.lit(_INF), F.lit(1 << 62)).when(v == F.lit(-_INF), F.lit(-(1 << 62))).otherwise(finite)
 
 
-def _quantile_bucket(v: Column) -> Column:
-    """Bucket of v among the cuts ``__q``, monotone in v; equal to a cut is a bucket of its own."""
-    return F.size(F.filter("__q", lambda q: q < v)) + F.size(F.filter("__q", lambda q: q <= v))
+def _with_quantile_bucket(df: DataFrame, v: Column, cuts: int) -> DataFrame:
+    """``__b``: bucket of v among the cuts ``__q``, monotone in v; equal to a cut is a bucket of its own.
+
+    The cuts below v are counted by binary search, a column a step: log2(cuts) comparisons a row inside
+    generated code, where a lambda over the array would be called for every cut.
+    """
+    df, step = df.withColumn("__b", F.lit(0)), 1 << (cuts.bit_length() - 1)
+    while step:
+        # get() beyond the last cut is NULL, which is not below v
+        below = F.get("__q", F.col("__b") + (step - 1)) < v
+        df = df.withColumn("__b", F.col("__b") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    return df.withColumn("__b", F.col("__b") * 2 + F.when(F.get("__q", F.col("__b")) == v, F.lit(1)).otherwise(F.lit(0)))
 
 
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,14 +98,24 @@ FINAL_MAX_ROWS = 2_000_000
 
 def _targets(t: DataFrame) -> tuple[DataFrame, int]:
     """The small target table, written (no later use repeats the scan behind it), and the
-    rows of its largest open interval."""
-    t = written(t, "median-targets")
-    return t, int(t.where(F.col("__lo") < F.col("__hi")).agg(F.max("__cnt")).first()[0] or 0)
+    rows of its largest open interval, observed by the job that writes it."""
+    seen = Observation()
+    t = written(t.observe(seen, F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__cnt"))).alias("open")), "median-targets")
+    return t, int(seen.get["open"] or 0)
+
+
+def _histogram(x: DataFrame, gkeys: Sequence[str], per_unit: float, counts: Sequence[str] = ()) -> DataFrame:
+    """Rows per (group, coarse bucket) with the bucket's smallest and largest value and its sum;
+    ``counts`` are integer columns that are summed along. Rows without a value are bucket NULL."""
+    v = F.col(_V)
+    return (x.groupBy(*gkeys, _coarse_bucket(v, per_unit).alias("__b"))
+             .agg(F.count(v).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh"), F.sum(v).alias("__s"),
+                  *[F.sum(c).alias(c) for c in counts]))
 
 
 def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
-                  coarse_per_unit: float = 64.0,
-                  final_max_rows: int = FINAL_MAX_ROWS) -> DataFrame:
+                  coarse_per_unit: float = 64.0, final_max_rows: int = FINAL_MAX_ROWS,
+                  stage: bool = False, histogram: DataFrame | None = None) -> DataFrame:
     """One row per (group, middle rank) with the exact value at that rank.
 
     Columns: ``keys`` (or ``__all`` when no keys), the group statistics
@@ -103,19 +125,20 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
     than ``final_max_rows`` rows. A pass cuts every open interval at ``cuts`` quantiles of its own
     rows, whatever their magnitudes, and a value that is a cut has a bucket of its own; so each
     pass divides the rows by about ``cuts`` or closes the interval, and the last sort is bounded.
+    ``stage`` writes the rows first; ``histogram`` is the first pass if the caller has made it.
     """
     keys = list(keys)
     gkeys = keys or [_ALL]
     x = df.select(*[F.col(k) for k in keys], _value(value).alias(_V))
     if not keys:
         x = x.withColumn(_ALL, F.lit(0))
-    x = written(x.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))), "median-values")
+    x = x.where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
+    if stage:
+        x = written(x, "median-values")
     v = F.col(_V)
 
     # Pass 1: coarse histogram over all rows; group size and target ranks.
-    h = (x.groupBy(*gkeys, _coarse_bucket(v, coarse_per_unit).alias("__b"))
-          .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh"),
-               F.sum(v).alias("__s")))
+    h = _histogram(x, gkeys, coarse_per_unit) if histogram is None else histogram
     wg = Window.partitionBy(*gkeys)
     n = F.sum("__c").over(wg)
     h = (h.withColumn("__n", n).withColumn("__gsum", F.sum("__s").over(wg))
@@ -135,7 +158,8 @@ def median_values(df: DataFrame, keys: Sequence[str], value, *, cuts: int = 255,
         at = F.percentile_approx(v, [i / (cuts + 1) for i in range(1, cuts + 1)], 8 * (cuts + 1))
         bounds = cand.groupBy(*gkeys, "__lo", "__hi").agg(at.alias("__q"))
         cand = _ns_join(cand, bounds, gkeys + ["__lo", "__hi"])
-        h = (cand.groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below", "__ks", _quantile_bucket(v).alias("__b"))
+        cand = _with_quantile_bucket(cand, v, cuts)
+        h = (cand.groupBy(*gkeys, *_STATS, "__lo", "__hi", "__below", "__ks", "__b")
                  .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__bl"), F.max(v).alias("__bh")))
         refined = _pick_targets(h, gkeys, gkeys + ["__lo", "__hi"], _STATS)
         t, max_open = _targets(t.where(F.col("__lo") == F.col("__hi")).unionByName(refined))
@@ -174,6 +198,29 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value, alias: str = "medi
     return mv.groupBy(*keys).agg(*aggs) if keys else mv.agg(*aggs)
 
 
+def median_and_counts(df: DataFrame, keys: Sequence[str], value, counts: dict[str, Column], alias: str = "median",
+                      *, coarse_per_unit: float = 64.0, **kw) -> tuple[DataFrame, DataFrame]:
+    """(medians, counts): the exact median of ``value`` per group as ``grouped_median`` gives it, and per
+    group how many rows meet each condition of ``counts``, also of rows whose value is NULL.
+
+    The conditions are counted along in the median's first histogram, so the two take one scan
+    together (the median's last step reads the values a second time).
+    """
+    keys = list(keys)
+    gkeys = keys or [_ALL]
+    names = [f"__n{i}" for i in range(len(counts))]
+    x = df.select(*[F.col(k) for k in keys], _value(value).alias(_V),
+                  *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in zip(names, counts.values())])
+    if not keys:
+        x = x.withColumn(_ALL, F.lit(0))
+    x = x.withColumn(_V, F.when(~F.isnan(_V), F.col(_V)))
+    h = written(_histogram(x, gkeys, coarse_per_unit, names), "median-histogram")
+    sums = [F.sum(n).alias(c) for n, c in zip(names, counts)]
+    per = h.groupBy(*keys).agg(*sums) if keys else h.agg(*sums)
+    return grouped_median(df, keys, value, alias, histogram=h.where(F.col("__b").isNotNull()).drop(*names),
+                          coarse_per_unit=coarse_per_unit, **kw), per
+
+
 def global_median(df: DataFrame, value, alias: str = "median", **kw) -> DataFrame:
     """Exact median over the whole table (G7), one row; never a single-partition sort."""
     return grouped_median(df, [], value, alias, **kw)

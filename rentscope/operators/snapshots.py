@@ -66,9 +66,7 @@ def group_movers(stacked: DataFrame, key: str, value: str, old: str, new: str, *
     """
     from ..functions.numeric import round_half_up, safe_ratio
     two = stacked.where(F.col(label).isin(old, new) & F.col(key).isNotNull())
-    med = grouped_median(two, [label, key], value, "__med")
-    cnt = two.groupBy(label, key).agg(F.count(value).alias("__n"))
-    s = med.join(cnt, [label, key])
+    s = materialize(grouped_median(two, [label, key], value, "__med", stats={"n": "__n"}))     # read twice below
     o = s.where(F.col(label) == old).select(key, F.col("__med").alias("median_old"), F.col("__n").alias("n_old"))
     n = s.where(F.col(label) == new).select(key, F.col("__med").alias("median_new"), F.col("__n").alias("n_new"))
     m = n.join(o, key, "inner").where((F.col("n_new") >= min_rows) & (F.col("n_old") >= min_rows))
@@ -115,7 +113,7 @@ def snapshot_changes(stacked: DataFrame, key: str, label: str = "month",
 
 def movers_by_period(stacked: DataFrame, key: str, value: str, *, label: str = "month",
                      prev_label: str = "prev_month", min_rows: int = 50, k: int = 3,
-                     digits: int = 2) -> DataFrame:
+                     digits: int = 2, stage: bool = False) -> DataFrame:
     """For every snapshot, the ``k`` groups whose exact median moved most against the
     snapshot before it (J9 + O7 over all snapshots).
 
@@ -126,7 +124,7 @@ def movers_by_period(stacked: DataFrame, key: str, value: str, *, label: str = "
     """
     from ..functions.numeric import round_half_up, safe_ratio
     from .topk import top_k_per_group
-    s = grouped_median(stacked.where(F.col(key).isNotNull()), [label, key], value, "__med", stats={"n": "__n"})
+    s = grouped_median(stacked.where(F.col(key).isNotNull()), [label, key], value, "__med", stats={"n": "__n"}, stage=stage)
     s = materialize(s)          # one row per (snapshot, group), read three times below
     seq = _with_previous(s.select(label).distinct(), label, prev_label)   # every snapshot with values
     s = s.where(F.col("__n") >= min_rows)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from ..functions.text import NON_WORD, bigrams, line_bigrams, tokens, word_count_spaces, word_line
+from ..functions.text import (NON_WORD, bigrams, count_listed, count_words, line_bigrams, tokens, word_count_spaces,
+                              word_line)
 from .partitioning import spread_for_cpu
 from .topk import top_k_per_group
 
@@ -63,17 +64,23 @@ def lexicon_rate(df: DataFrame, text: str, group: Sequence[str], *,
                  digits: int = 3) -> DataFrame:
     """Positive / negative word rate per ``per`` words (T3), one pass.
 
-    Word counts per text are computed in-row with array functions, so no word
+    Word counts per text are computed in-row: letter-run words by counting matches
+    on the word line, inside generated code, other separators with array functions. No word
     row is materialised; the group aggregate is a partial sum.
     """
     # NULL texts are skipped up front: with ANSI off, size(NULL) would count -1 words
-    src = df.select(*group, text).where(F.col(text).isNotNull())
-    toks = spread_for_cpu(src).select(*group, tokens(text, separator, min_len).alias("__w"))
-    toks = toks.select(*group, F.filter("__w", lambda x: F.length(x) > 0).alias("__w"))
-    pos, neg = F.array(*[F.lit(w) for w in positive]), F.array(*[F.lit(w) for w in negative])
-    per_doc = toks.select(*group, F.size("__w").alias("__n"),
-                          F.size(F.filter("__w", lambda x: F.array_contains(pos, x))).alias("__p"),
-                          F.size(F.filter("__w", lambda x: F.array_contains(neg, x))).alias("__q"))
+    src = spread_for_cpu(df.select(*group, text).where(F.col(text).isNotNull()))
+    if separator == NON_WORD:
+        line = src.select(*group, word_line(text, min_len).alias("__l"))
+        per_doc = line.select(*group, count_words("__l", min_len).alias("__n"),
+                              count_listed("__l", positive).alias("__p"), count_listed("__l", negative).alias("__q"))
+    else:
+        toks = src.select(*group, tokens(text, separator, min_len).alias("__w"))
+        toks = toks.select(*group, F.filter("__w", lambda x: F.length(x) > 0).alias("__w"))
+        pos, neg = F.array(*[F.lit(w) for w in positive]), F.array(*[F.lit(w) for w in negative])
+        per_doc = toks.select(*group, F.size("__w").alias("__n"),
+                              F.size(F.filter("__w", lambda x: F.array_contains(pos, x))).alias("__p"),
+                              F.size(F.filter("__w", lambda x: F.array_contains(neg, x))).alias("__q"))
     g = per_doc.groupBy(*group).agg(F.sum("__n").cast("long").alias("words"),
                                     F.sum("__p").cast("long").alias("positive"),
                                     F.sum("__q").cast("long").alias("negative"))

@@ -74,14 +74,14 @@ def professionalisation(stacked: DataFrame) -> DataFrame:
 
 def area_trajectories(stacked: DataFrame, months: list[str], k: int = 8) -> DataFrame:
     """Median price per month of the k biggest areas of the latest month, pivoted."""
-    from ..operators import grouped_median, pivot_wide, top_k
+    from ..operators import grouped_median, materialize, pivot_wide, top_k
     priced = stacked.where((F.col("price") > 0) & F.col("neighbourhood_cleansed").isNotNull())
-    sizes = priced.groupBy("month", "neighbourhood_cleansed").agg(F.count(F.lit(1)).alias("n"))
-    latest = sizes.agg(F.max("month")).scalar()
-    top = top_k(sizes.where(F.col("month") == latest), [F.col("n").desc()], k,
+    # the sizes that make the top list come with the medians
+    m = materialize(grouped_median(priced, ["month", "neighbourhood_cleansed"], "price", "med", stats={"n": "n"}))
+    latest = m.agg(F.max("month")).scalar()
+    top = top_k(m.where(F.col("month") == latest), [F.col("n").desc()], k,
                 ["neighbourhood_cleansed"]).select("neighbourhood_cleansed")
-    m = grouped_median(priced.join(top, "neighbourhood_cleansed", "left_semi"), ["month", "neighbourhood_cleansed"],
-                       "price", "med").withColumn("med", R("med", 2))
+    m = m.join(top, "neighbourhood_cleansed", "left_semi").drop("n").withColumn("med", R("med", 2))
     return pivot_wide(m, ["neighbourhood_cleansed"], "month", "med", {mo: mo for mo in months})
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import band
 from ..functions.numeric import pct, round_half_up, safe_ratio
 from ..operators.joins import count_children, portfolio_sizes
-from ..operators.medians import grouped_median
+from ..operators.medians import grouped_median, median_and_counts
 from ..operators.shares import share_of_total
 from ..operators.topk import top_k
 from ..operators.windows import adjacent_step
@@ -33,17 +33,18 @@ def supply_by_group(df: DataFrame, key: str, value: str, *, limit: int | None =
                     share_alias: str = "pct_of_city_supply", avg_alias: str = "avg_price",
                     median_alias: str = "median_price", share_digits: int = 1,
                     min_rows: int | None = None,
-                    keep_null: bool = False) -> DataFrame:
+                    keep_null: bool = False, stage: bool = False) -> DataFrame:
     """Groups by size with share, mean and exact median of priced rows (A1/D3/M7/H1).
 
     Share is taken over all groups before the limit. The NULL group is left out
-    of rows and share (A1/D3), unless ``keep_null`` (M7).
+    of rows and share (A1/D3), unless ``keep_null`` (M7). ``stage``: the input has a join behind it
+    (see ``operators.medians``).
     """
     out_key = out_key or key
     priced = df.where(F.col(value) > 0)
     # count and mean come from the median's first pass; the source's inner join
     # of the two aggregates drops the NULL group, so drop it explicitly.
-    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"})
+    j = grouped_median(priced, [key], value, "__med", stats={"n": "__n", "avg": "__avg"}, stage=stage)
     if not keep_null:
         j = j.where(F.col(key).isNotNull())
     if min_rows is not None:
@@ -155,9 +156,10 @@ def having_top(df: DataFrame, key: str, value: Column | str, *, min_rows: int |
 
 def value_picks(df: DataFrame, key: str, value: str, *, median_filter: Column,
                 pick_filter: Column, order: Sequence[Column], tiebreak: Sequence[str],
-                k: int, select: Sequence[Column], median_alias: str = "nb_median_price") -> DataFrame:
+                k: int, select: Sequence[Column], median_alias: str = "nb_median_price",
+                stage: bool = False) -> DataFrame:
     """Rows below their group's exact median that pass ``pick_filter``."""
-    med = grouped_median(df.where(median_filter), [key], value, "__med")
+    med = grouped_median(df.where(median_filter), [key], value, "__med", stage=stage)
     j = df.join(med, key, "inner").where(pick_filter & (F.col(value) < F.col("__med")))
     j = j.withColumn(median_alias, R("__med", 2))
     return top_k(j, order, k, tiebreak).select(*select)
@@ -256,34 +258,29 @@ def children_bands(parent: DataFrame, child: DataFrame, parent_key: str, child_k
     return band_counts(c, lab, names[0], names[1], names[2])
 
 
-def kpi_columns(price: str, kind: str, a: str, b: str, *, flag: Column,
-                never: Column) -> list[Column]:
-    """Aggregates of one KPI row apart from the medians (B2)."""
-    p = F.col(price)
-    priced = p > 0
-    return [F.count(F.lit(1)).alias("rows"),
-            R(pct(F.count_if(p.isNull() | (p <= 0)), F.count(F.lit(1))), 2).alias("no_price_pct"),
-            R(pct(F.count_if(priced & flag), F.count_if(priced)), 2).alias("flag_share"),
-            R(pct(F.count_if(never), F.count(F.lit(1))), 2).alias("never_pct")]
-
-
 def kpi_rows(df: DataFrame, period: Column | None, price: str, kind: str, a: str, b: str, *,
              flag: Column, never: Column, names: Mapping[str, str]) -> DataFrame:
     """One KPI row per period (B2/D1/D2): rows, two kind medians, three shares.
 
-    The scalar subqueries of the source (six scans) become one aggregate plus
-    one grouped median over (period, kind), pivoted on the small result.
+    The scalar subqueries of the source (six scans) become one grouped median over (period,
+    kind) whose first histogram counts the conditions along, pivoted on the small result.
     """
     p = F.col(price)
+    priced = p > 0
     keys = ["__p"] if period is not None else []
     base = df.withColumn("__p", period) if period is not None else df
-    stats = (base.groupBy(*keys) if keys else base).agg(*kpi_columns(price, kind, a, b, flag=flag, never=never))
-    med = grouped_median(base.where((p > 0) & F.col(kind).isin(a, b)), keys + [kind], price, "__m")
+    med, per = median_and_counts(base, keys + [kind], F.when(priced & F.col(kind).isin(a, b), p), {
+        "rows": F.lit(True), "__none": p.isNull() | (p <= 0), "__priced": priced, "__flag": priced & flag, "__never": never}, "__m")
+    total = [F.sum(c).alias(c) for c in ("rows", "__none", "__priced", "__flag", "__never")]
+    stats = (per.groupBy(*keys) if keys else per).agg(*total).select(
+        *keys, F.coalesce("rows", F.lit(0)).alias("rows"), R(pct("__none", "rows"), 2).alias("no_price_pct"),
+        R(pct("__flag", "__priced"), 2).alias("flag_share"), R(pct("__never", "rows"), 2).alias("never_pct"))
     piv = (med.groupBy(*keys) if keys else med).agg(
         F.max(F.when(F.col(kind) == a, F.col("__m"))).alias("__a"),
         F.max(F.when(F.col(kind) == b, F.col("__m"))).alias("__b"))
     if keys:
-        j = stats.join(piv, keys, "left")
+        r = piv.withColumnRenamed("__p", "__r")
+        j = stats.join(r, stats["__p"].eqNullSafe(r["__r"]), "left")
     else:
         j = stats.withColumn("__one", F.lit(1)).join(piv.withColumn("__one", F.lit(1)), "__one", "left")
     cols = ([F.col("__p").alias(names["period"])] if keys else []) + [
