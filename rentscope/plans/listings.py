@@ -174,13 +174,18 @@ def a10_revenue_leaders(listings: DataFrame, min_rows: int | None = 20, priced_o
                         extra_means={"avg_est_occupancy_days": ("estimated_occupancy_l365d", 1)})
 
 
-def a11_value_picks(listings: DataFrame, min_rating: float = 4.8, min_reviews: int = 20, k: int = 20) -> DataFrame:
-    """A11 (k=20) / M13 (k=8) / D29 (``min_reviews=10, k=25``)."""
+def a11_value_picks(listings: DataFrame, min_rating: float = 4.8, min_reviews: int = 20, k: int = 20,
+                    area: str | None = None, max_price: float | None = None) -> DataFrame:
+    """A11 (k=20) / M13 (k=8) / D29 (``min_reviews=10, k=25`` with the area and the price ceiling
+    picked by the user; the ceiling bounds the picks, not the rows of the median)."""
     c = F.col
     base = (c("room_type") == ENTIRE) & (c("price") > 0)
+    if area is not None:
+        listings = listings.where(c("neighbourhood_cleansed") == area)      # an area's median needs its own rows only
+    ceiling = F.lit(True) if max_price is None else c("price") <= max_price
     return M.value_picks(
         listings, "neighbourhood_cleansed", "price", median_filter=base,
-        pick_filter=base & (c("review_scores_rating") >= min_rating) & (c("number_of_reviews") >= min_reviews),
+        pick_filter=base & ceiling & (c("review_scores_rating") >= min_rating) & (c("number_of_reviews") >= min_reviews),
         order=[c("review_scores_rating").desc(), c("number_of_reviews").desc()], tiebreak=["id"], k=k,
         select=["name", c("neighbourhood_cleansed").alias("neighbourhood"), R("price", 2).alias("price"),
                 "nb_median_price", c("review_scores_rating").alias("rating"), c("number_of_reviews").alias("reviews")])

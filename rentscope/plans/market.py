@@ -17,9 +17,10 @@ from ..functions.bands import band
 from ..functions.numeric import pct, round_half_up, safe_ratio
 from ..operators.joins import count_children, portfolio_sizes
 from ..operators.medians import grouped_median, median_and_counts
+from ..operators.partitioning import materialize
 from ..operators.shares import share_of_total
 from ..operators.topk import top_k
-from ..operators.windows import adjacent_step
+from ..operators.windows import adjacent_step, rolling_sum
 
 R = round_half_up
 
@@ -239,6 +240,27 @@ def trailing_count(events: DataFrame, entity: str, date_col: str, asof: str, day
     return events.where(F.col(date_col) >= cut).groupBy(entity).agg(F.count(F.lit(1)).alias(alias))
 
 
+def cohort_report(df: DataFrame, year: Column, month: Column, *, run: int = 4, count_alias: str = "registrations") -> DataFrame:
+    """Issue cohorts (E3): rows and share of each year, of the ``run`` consecutive months that hold the most,
+    and of the earliest month: (part, cohort, count, pct). One ROLLUP serves all three; rows without a
+    valid year and month have no cohort, but count in the shares. Ties go to the earlier run.
+    """
+    ok = month.between(1, 12) & year.isNotNull()
+    g = (df.select(F.when(ok, year).alias("__y"), F.when(ok, month).alias("__m")).rollup("__y", "__m")
+           .agg(F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__g")))
+    g = materialize(g)              # a row a month and year
+    total = g.where("__g = 3").agg(F.max("__n")).scalar()
+    years = g.where("__g = 1 AND __y IS NOT NULL").select(F.lit("year").alias("part"), F.col("__y").cast("string").alias("cohort"), "__n")
+    months = g.where("__g = 0 AND __y IS NOT NULL").select((F.col("__y") * 12 + F.col("__m") - 1).alias("__i"), "__n")
+    label = lambda i: F.format_string("%04d-%02d", F.floor(i / 12).cast("int"), (i % 12 + 1).cast("int"))
+    i = F.col("__i")
+    best = top_k(rolling_sum(months, "__i", "__n", run, "__r"), [F.col("__r").desc()], 1, ["__i"]).select(
+        F.lit("best_run").alias("part"), F.concat(label(i - (run - 1)), F.lit(" to "), label(i)).alias("cohort"), F.col("__r").alias("__n"))
+    first = top_k(months, [i], 1).select(F.lit("earliest").alias("part"), label(i).alias("cohort"), "__n")
+    return years.unionByName(best).unionByName(first).select(
+        "part", "cohort", F.col("__n").alias(count_alias), R(pct("__n", total), 1).alias("pct"))
+
+
 def lead_time(events: DataFrame, entity: str, date_col: str, hit: Column) -> DataFrame:
     """Per entity: days from its first event to its first ``hit`` event."""
     d = F.col(date_col).cast("date")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pct, round_half_up as R, safe_ratio
 from ..operators import mix, ratio_of_counts, rolling_sum, share_of_total, top_k, top_n_share
+from . import market as M
 
 # Property types counted as multi-unit in the write-up.
 MULTI_UNIT_TYPES = ["Apartment", "Condominium"]
@@ -68,6 +69,12 @@ def e2_postal_share(registry: DataFrame) -> DataFrame:
     return top_k(g, [F.col("registrations").desc()], 1, ["postal_area"])
 
 
+def e3_report(registry: DataFrame, run_months: int = 4) -> DataFrame:
+    """Year shares, the strongest run of months and the earliest month of the number prefixes."""
+    yy, mm = (F.regexp_extract("registration_number", REG_PATTERN, g).try_cast("int") for g in (1, 2))
+    return M.cohort_report(registry, F.lit(2000) + yy, mm, run=run_months)
+
+
 def e3_cohorts(registry: DataFrame, run_months: int = 4) -> DataFrame:
     """Issue-month cohorts parsed from the number prefix, with the rolling run."""
     yy = F.regexp_extract("registration_number", REG_PATTERN, 1)

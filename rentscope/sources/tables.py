@@ -22,6 +22,19 @@ def read_snapshot(spark: SparkSession, path: str, month: str | None = None, labe
     return df.where(F.col(label) == month) if month is not None else df
 
 
+def write_stacked(stacked: DataFrame, path: str, label: str = "month") -> None:
+    """Write stacked snapshots as one table partitioned by ``label`` (S4); the months of ``stacked``
+    replace theirs, others stay."""
+    (stacked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(label).parquet(path))
+
+
+def read_months(spark: SparkSession, path: str, months: DataFrame, label: str = "month") -> DataFrame:
+    """The rows of the months in a list of their own (S6): the list is known at run time only and
+    reaches the scan as a dynamic partition filter, so other months are not read."""
+    table = spark.read.parquet(path)
+    return table.withColumn(label, F.col(label).cast("string")).join(months.select(label).distinct(), label, "left_semi")
+
+
 def write_mart(df: DataFrame, root: str, name: str) -> str:
     """Materialise an aggregate table (S7); marts are small, written once per build."""
     path = f"{root}/{name}"
