@@ -6,18 +6,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster when the scan yields fewer
-    partitions than the default parallelism (one large row group, one gzip or
-    multi-line CSV file - not splittable). With many input splits, as at scale,
-    this is a no-op, so no shuffle is added there. Deciding needs planning only,
-    no job."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the plan as is
-        return df
-    return df.repartition(par) if n < par else df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows out to ``partitions`` before CPU-heavy work per row. For a caller that knows its
+    input as one unsplittable piece (a gzip or multi-line CSV file, one row group); None leaves the
+    input's own splits and adds no shuffle."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_half_up
 from ..functions.text import (NON_WORD, bigrams, count_listed, count_words, line_bigrams, tokens, word_count_spaces,
                               word_line)
-from .partitioning import spread_for_cpu
+from .partitioning import spread
 from .topk import top_k_per_group
 
 # Default English stop words (our own list; the source's list is not given).
@@ -28,9 +28,10 @@ NEGATIVE_WORDS = ("bad dirty noisy rude broken poor terrible awful small smell p
 
 
 def words(df: DataFrame, text: str, group: Sequence[str], *, separator: str = NON_WORD,
-          min_len: int = 4, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """One row per word occurrence (group..., word); stop words removed."""
-    src = spread_for_cpu(df.select(*group, text))
+          min_len: int = 4, stop_words: Sequence[str] = STOP_WORDS, partitions: int | None = None) -> DataFrame:
+    """One row per word occurrence (group..., word); stop words removed. ``partitions`` deals the texts
+    out first (see ``partitioning.spread``)."""
+    src = spread(df.select(*group, text), partitions)
     w = src.select(*group, F.explode(tokens(text, separator, min_len)).alias("word"))
     if stop_words:
         w = w.where(~F.col("word").isin(list(stop_words)))
@@ -44,9 +45,9 @@ def word_top(df: DataFrame, text: str, group: Sequence[str], k: int = 100, **kw)
 
 
 def bigram_top(df: DataFrame, text: str, group: Sequence[str], k: int = 20, *,
-               separator: str = NON_WORD, min_len: int = 1) -> DataFrame:
+               separator: str = NON_WORD, min_len: int = 1, partitions: int | None = None) -> DataFrame:
     """Top-k adjacent word pairs per group (T2); pairs never cross documents."""
-    src = spread_for_cpu(df.select(*group, text).where(F.col(text).isNotNull()))
+    src = spread(df.select(*group, text).where(F.col(text).isNotNull()), partitions)
     if separator == NON_WORD:
         # letter-run words: pairs straight from the word line, inside generated code
         pairs = src.select(*group, F.explode(line_bigrams(word_line(text, min_len))).alias("bigram"))
@@ -61,7 +62,7 @@ def bigram_top(df: DataFrame, text: str, group: Sequence[str], k: int = 20, *,
 def lexicon_rate(df: DataFrame, text: str, group: Sequence[str], *,
                  positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
                  separator: str = NON_WORD, min_len: int = 1, per: float = 1000.0,
-                 digits: int = 3) -> DataFrame:
+                 digits: int = 3, partitions: int | None = None) -> DataFrame:
     """Positive / negative word rate per ``per`` words (T3), one pass.
 
     Word counts per text are computed in-row: letter-run words by counting matches
@@ -69,7 +70,7 @@ def lexicon_rate(df: DataFrame, text: str, group: Sequence[str], *,
     row is materialised; the group aggregate is a partial sum.
     """
     # NULL texts are skipped up front: with ANSI off, size(NULL) would count -1 words
-    src = spread_for_cpu(df.select(*group, text).where(F.col(text).isNotNull()))
+    src = spread(df.select(*group, text).where(F.col(text).isNotNull()), partitions)
     if separator == NON_WORD:
         line = src.select(*group, word_line(text, min_len).alias("__l"))
         per_doc = line.select(*group, count_words("__l", min_len).alias("__n"),

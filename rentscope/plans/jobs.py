@@ -6,21 +6,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 from ..operators import assert_unique
-from ..operators.partitioning import spread_for_cpu
+from ..operators.partitioning import spread
 from ..session import scratch_path
 from ..sources import clean_listings, read_listings_raw, write_mart, write_snapshot
 
 
-def build_snapshot(spark: SparkSession, csv_path: str, month: str, table_path: str) -> int:
+def build_snapshot(spark: SparkSession, csv_path: str, month: str, table_path: str,
+                   partitions: int | None = None) -> int:
     """Header check -> typed listings -> unique id gate -> write the month's partition.
 
     The multi-line CSV is not splittable per file and is the costly part, so it is
     parsed once: the typed rows are staged as Parquet in the shared checkpoint
     folder (which also cuts the lineage back to the CSV), the id gate reads only
     the staged id column, and the month's partition is written from the stage.
-    Nothing reaches the table when the gate fails.
+    Nothing reaches the table when the gate fails. ``partitions`` deals the parsed rows out before
+    they are cleaned (a snapshot is one file, so one task).
     """
-    raw = spread_for_cpu(read_listings_raw(spark, csv_path))   # one task per gzip / multi-line file
+    raw = spread(read_listings_raw(spark, csv_path), partitions)
     stage = scratch_path(spark, "staging", f"{month}-{uuid.uuid4().hex}")
     clean_listings(raw).write.parquet(stage)
     staged = spark.read.parquet(stage)

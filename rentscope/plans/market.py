@@ -207,12 +207,18 @@ def period_volume(df: DataFrame, period: Column, *, period_alias: str, count_ali
     return df.groupBy(period.alias(period_alias)).agg(*aggs)
 
 
-def month_of_year_mean(df: DataFrame, date_col: str, start, end, *,
+def month_of_year_mean(df: DataFrame, date_col: str, start=None, end=None, *,
                        alias: str, digits: int = 0) -> DataFrame:
     """Mean monthly volume by calendar month over [start, end).
 
-    ``start`` / ``end`` are ISO date strings or date columns (e.g. scalar subqueries)."""
+    ``start`` / ``end`` are ISO date strings or date columns. Without them: from the first month of
+    the data up to, not including, the latest one, bounded on the month table itself, so the rows
+    are read once."""
     d = F.col(date_col)
+    if start is None and end is None:
+        m = materialize(df.where(d.isNotNull()).groupBy(F.trunc(d.cast("date"), "month").alias("__m")).agg(F.count(F.lit(1)).alias("__c")))
+        m = m.where(F.col("__m") < m.agg(F.max("__m")).scalar())
+        return m.groupBy(F.date_format("__m", "MM").alias("month_num")).agg(R(F.avg("__c"), digits).alias(alias))
     lo = F.lit(start).cast("date") if isinstance(start, str) else start
     hi = F.lit(end).cast("date") if isinstance(end, str) else end
     m = (df.where((d >= lo) & (d < hi))
@@ -240,6 +246,18 @@ def trailing_count(events: DataFrame, entity: str, date_col: str, asof: str, day
     return events.where(F.col(date_col) >= cut).groupBy(entity).agg(F.count(F.lit(1)).alias(alias))
 
 
+def distinct_profile(df: DataFrame, keys: Mapping[str, str], count_alias: str, counts: Mapping[str, Column] = {}) -> DataFrame:
+    """Rows, rows that meet each condition, and the distinct values of each key (E1); one row.
+
+    Two distinct counts in one aggregate would expand every row once a key; here each key is
+    aggregated by itself (a key is combined before the shuffle), the first one along with the counts.
+    """
+    (first, key), *rest = keys.items()
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_alias), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    out = per.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (count_alias, *counts)], F.count(key).alias(first))
+    return out.select("*", *[df.groupBy(k).agg(F.count(F.lit(1))).agg(F.count(k)).scalar().alias(n) for n, k in rest])
+
+
 def cohort_report(df: DataFrame, year: Column, month: Column, *, run: int = 4, count_alias: str = "registrations") -> DataFrame:
     """Issue cohorts (E3): rows and share of each year, of the ``run`` consecutive months that hold the most,
     and of the earliest month: (part, cohort, count, pct). One ROLLUP serves all three; rows without a

@@ -51,11 +51,9 @@ def d33_coverage(registry: DataFrame, listings: DataFrame, outside_count: int |
 
 
 def e1_profile(registry: DataFrame) -> DataFrame:
-    g = registry.agg(F.count(F.lit(1)).alias("registrations"),
-                     F.count_distinct("registration_number").alias("distinct_numbers"),
-                     F.count_distinct("address").alias("distinct_addresses"),
-                     F.count_if(F.col("unit").isNotNull()).alias("with_unit"))
-    return g.select("*", (F.col("registrations") - F.col("distinct_numbers")).alias("duplicates"),
+    g = M.distinct_profile(registry, {"distinct_numbers": "registration_number", "distinct_addresses": "address"}, "registrations",
+                           {"with_unit": F.col("unit").isNotNull()})
+    return g.select("registrations", "distinct_numbers", "distinct_addresses", "with_unit", (F.col("registrations") - F.col("distinct_numbers")).alias("duplicates"),
                     R(safe_ratio("registrations", "distinct_addresses"), 2).alias("per_address"),
                     R(pct(F.col("with_unit"), F.col("registrations")), 1).alias("pct_with_unit"))
 
