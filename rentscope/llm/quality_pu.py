@@ -106,9 +106,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return model
 
 
+#: Hashes of rows are compared in so many bits, so a share stays exact for any number of rows.
+SHARE_BITS = 62
+
+
+def threshold(rows: int, n: int) -> int:
+    """Hashes below it are about ``rows`` of n: all of them if there are no more, never none."""
+    return (1 << SHARE_BITS) * min(rows, max(n, 1)) // max(n, 1)
+
+
 def _sample(docs: DataFrame, rows: int, n: int) -> np.ndarray:
-    """Features of about ``rows`` of the n rows of docs, chosen by a hash of the id."""
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / max(n, 1)))
+    """Features of about ``rows`` of the n rows of docs, chosen by a hash of id and text (the texts
+    of a repeated id are chosen one by one)."""
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << SHARE_BITS)) < threshold(rows, n)
     got = with_features(docs.filter(share).select("doc_id", "text"), ["doc_id"]).select("doc_id", "x").collect()
     got.sort(key=lambda r: (str(r["doc_id"]), r["x"]))
     return np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES))
@@ -128,7 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def op4_quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted. Null or empty text has the score of
-    a text without words; a null doc_id is held out."""
+    a text without words; a null doc_id is held out. Repeated rows have equal scores, very long texts
+    are read whole, an empty table gives no rows, and without labels the score is the prior 0.5; other
+    columns are not looked at, whatever their names."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -43,9 +43,9 @@ def records(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"),
                        F.sha2(html.cast("binary"), 256).alias("payload_digest"))
     # only digests that repeat have revisits; they alone take part in the join
-    first = (own.filter(F.col("payload_bytes") >= MIN_PAYLOAD).select("page_id", "payload_digest")
-             .groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-             .filter("n > 1 AND first IS NOT NULL").select("payload_digest", "first"))
+    first = (own.filter(F.col("payload_bytes") >= MIN_PAYLOAD).select("page_id", F.unhex("payload_digest").alias("d"))
+             .groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+             .filter("n > 1 AND first IS NOT NULL").select(F.lower(F.hex("d")).alias("payload_digest"), "first"))
     joined = own.join(written(first, "warc-first"), "payload_digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest",
@@ -117,7 +117,8 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     placed = recs.select(
         F.pmod(F.xxhash64(*order), F.lit(n)).cast("int").alias("archive"),
         *order, "record_type", "refers_to", "payload_bytes", kept.alias("payload"), size.cast("long").alias("length"))
-    slim = placed.select("archive", *order, "length").repartitionById(n, "archive")
+    slim = (placed.select("archive", "page_id", F.unhex("payload_digest").alias("payload_digest"), "url", "length")
+            .repartitionById(n, "archive").withColumn("payload_digest", F.lower(F.hex("payload_digest"))))
     w = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     index = slim.select("archive", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"), "length", "url", "page_id", "payload_digest")
     index.write.parquet(f"{folder}/index")

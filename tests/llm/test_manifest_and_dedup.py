@@ -296,3 +296,20 @@ def test_logs_address_whole_trees(spark):
     full = sum(merkle.BLOCK // 3 ** k for k in range(merkle.HEIGHT + 1))
     assert first[0] == (0, full) and first[1] == (full, full) and first[2][0] == 2 * full
     assert root == bytes(logs[-1].collect()[0]["nodes"][-32:]) and len(logs) == 2
+
+
+# ------------------------------------------------------------------ op4
+def test_op4_samples_any_number_of_rows():
+    from rentscope.llm import quality_pu
+    for n in (0, 1, 20_000, 10**9, 5 * 10**10, 10**15):
+        share = quality_pu.threshold(20_000, n) / 2.0 ** quality_pu.SHARE_BITS
+        assert share == pytest.approx(min(1.0, 20_000 / max(n, 1)), rel=1e-3)
+
+
+def test_op3_archives_lie_in_partitions_of_their_own(spark):
+    from rentscope.llm import warc
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("x"), 120).alias("html"))
+    recs = pages.select(F.pmod("page_id", F.lit(40)).cast("int").alias("archive"), "page_id", F.sha2("url", 256).alias("payload_digest"), "url", F.lit("response").alias("record_type"),
+                        F.lit(None).cast("long").alias("refers_to"), F.lit(120).cast("long").alias("payload_bytes"), F.col("html").alias("payload"))
+    parts = warc._travel(recs, 40, ["page_id", "payload_digest", "url"]).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("archive").alias("n"))
+    assert sorted(r["n"] for r in parts.collect()) == [1] * 40
