@@ -111,11 +111,17 @@ def upper_bound(k: int, n: int, confidence: float) -> float:
     """Exact one-sided Clopper-Pearson upper bound of a rate with k of n events."""
     if n == 0 or k >= n:
         return 1.0
-    lchoose = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
+    ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
     def cdf(p: float) -> float:
-        lp, lq = math.log(p), math.log1p(-p)
-        return math.fsum(math.exp(c + i * lp + (n - i) * lq) for i, c in enumerate(lchoose))
+        # for p over k / n the terms fall from k downwards, ever faster: some sqrt(k) of them count
+        term = share = 1.0
+        for i in range(k, 0, -1):
+            term *= i * (1 - p) / ((n - i + 1) * p)
+            share += term
+            if term < 1e-18 * share:
+                break
+        return math.exp(ways + k * math.log(p) + (n - k) * math.log1p(-p)) * share
 
     lo, hi = k / n, 1.0
     for _ in range(60):
@@ -134,8 +140,7 @@ def choose(counts: dict[Hashable, tuple[int, list[int]]], alpha: float = ALPHA,
     out: dict[Hashable, float] = {}
     for s, (n, over) in counts.items():
         for cutoff, k in zip(GRID, over, strict=True):
-            # beyond twice the allowed share the bound cannot hold; the sum would only get long
-            if k > 2 * alpha * n or upper_bound(k, n, 1 - delta / (len(BANDS) + 1)) > alpha:
+            if upper_bound(k, n, 1 - delta / (len(BANDS) + 1)) > alpha:
                 break
             out[s] = cutoff
     return out

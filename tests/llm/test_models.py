@@ -126,6 +126,18 @@ def test_exact_bound():
     assert rules.upper_bound(0, 0, 0.99) == 1.0 and rules.upper_bound(5, 5, 0.99) == 1.0
 
 
+def test_op6_bound_on_many_labels():
+    """The exact tail, summed over every term, is 1 - confidence at the bound; a hundred million labels take no longer than the root of it."""
+    n, k = 20_000, 380
+    p = rules.upper_bound(k, n, 0.98)
+    tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    assert abs(tail - 0.02) < 1e-6
+    n, k = 10**8, 2 * 10**6
+    p = rules.upper_bound(k, n, 0.98)
+    assert abs((p - k / n) / math.sqrt(k / n * (1 - k / n) / n) - 2.0537) < 0.01        # the normal quantile
+    assert rules.upper_bound(0, n, 0.98) == pytest.approx(-math.log(0.02) / n, rel=1e-6)
+
+
 def test_op6_risk(spark):
     """Good documents below a cutoff stay; junk that no good document resembles goes; few labels certify nothing."""
     good = [(i, " ".join(f"w{(i * 7 + j) % 5003}" for j in range(100)), 1) for i in range(3000)]
