@@ -7,10 +7,11 @@ often each is used:
 
 * best-fit decreasing gives the first incumbent;
 * bin completion improves it: the largest remaining length opens a bin, its undominated fillings
-  are enumerated in the order of their waste, each is applied as often as the counts allow, and a
-  branch is pruned when its waste so far exceeds what a better solution than the incumbent may
-  have. The search ends when the incumbent meets the lower bound ceil(sum / capacity) or when its
-  documented work is used up; the incumbent is then the plan.
+  over all lengths are enumerated in the order of their waste, each is applied as often as the
+  counts allow, and a branch is pruned when its waste so far exceeds what a better solution than
+  the incumbent may have, or when the lower bound of what is left says so. Best fit completes
+  branches on the way down. The search ends when the incumbent meets the lower bound, when no
+  branch is left or when ``NODES`` nodes are used up; the incumbent is then the plan.
 
 Each piece then finds its place from its rank among the pieces of its length. Ranks are counted
 inside the tokenising tasks and offset by task totals, so a length that a third of all pieces
@@ -24,6 +25,7 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,9 @@ from .common import small_batches, texts, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Work of the branch and bound (distinct lengths, summed over the search nodes) and fillings per
-#: node; beyond that work the incumbent stands.
-WORK, FILLINGS = 100_000, 8
+#: Nodes of the branch and bound, whatever the number of lengths; beyond them the incumbent stands.
+#: Every TRY_BEST_FIT levels best fit completes a branch, which may be a better incumbent.
+NODES, TRY_BEST_FIT = 4_000, 16
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps.
 CACHE_WORDS = 600_000
@@ -181,65 +183,158 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [g for groups in open_bins.values() for g in groups]
 
 
-def fillings(largest: int, counts: dict[int, int], lengths: list[int], capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a bin around ``largest``, least waste first.
-
-    Depth first over the lengths that still fit, longest first: a filling is complete when no
-    remaining length fits, so none is a proper part of another; of fillings with equal waste the
-    one with the longer pieces comes first, which dominates.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: pieces over half a bin share none, and what the others hold
+    beyond the room beside them needs more (the best such bound over all least lengths counted)."""
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    pieces_to, size_to = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * x)]
+    half = int(np.searchsorted(x, capacity // 2, "right"))
+    least = np.r_[0, x[:half]]
+    a = np.searchsorted(x, least)                                      # counted from this length on
+    b = np.maximum(np.searchsorted(x, capacity - least, "right"), half)     # from here on a piece fills its bin alone
+    beside = (pieces_to[b] - pieces_to[half]) * capacity - (size_to[b] - size_to[half])
+    extra = np.maximum(0, -((beside - (size_to[half] - size_to[np.minimum(a, half)])) // capacity))
+    return int((pieces_to[-1] - pieces_to[half] + extra).max())
+
+
+def reachable(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """Entry i: a bit for each sum up to ``room`` that pieces of the first i lengths make."""
+    mask, bits = (1 << room + 1) - 1, 1
+    out = [bits]
+    for x in lengths:
+        left, step = min(counts[x], room // x), 1
+        while left:
+            step = min(step, left)
+            bits |= bits << step * x & mask
+            left, step = left - step, 2 * step
+        out.append(bits)
+    return out
+
+
+def _smear(bits: int, width: int) -> int:
+    """bits moved up by 0 to width places, together."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(rest: tuple[int, ...], waste: int, spare: int) -> bool:
+    """Whether a spare piece may take the place of some pieces of ``rest`` (or of none) and fit.
+
+    Such an exchange never hurts: the pieces it frees fit wherever the spare one would have been.
+    ``spare`` has a bit for each length of which a piece is left. An equal length for a single
+    piece is no exchange.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = [0]
-
-    def grow(chosen: tuple[int, ...], room: int, used: dict[int, int], below: int) -> None:
-        steps[0] += 1
-        if steps[0] > 60 * most or len(found) >= 4 * most or found and found[0][0] == 0 and len(found) >= most:
+    single = several = 0
+    for x in rest:
+        several |= (several | single) << x
+        single |= 1 << x
+    swaps = _smear(several, waste)
+    if waste:
+        swaps |= _smear((single | 1) << 1, waste - 1)
+    return bool(spare & swaps)
+
+
+def fillings(largest: int, counts: dict[int, int], capacity: int, slack: int | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, filling) of every undominated filling of a bin around ``largest`` that wastes
+    ``slack`` at most, least waste first, of equal waste those with longer pieces first.
+
+    The sums that the shorter lengths can make are known beforehand, so every step of the
+    enumeration ends in a filling.
+    """
+    room = capacity - largest
+    left = {x: n - (x == largest) for x, n in counts.items() if x <= room and n > (x == largest)}
+    lengths = sorted(left)
+    reach = reachable(lengths, left, room)
+    spare = sum(1 << x for x in lengths)
+
+    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        i, fits = bisect_right(lengths, min(room, below)) - 1, False
-        tried = 0
-        while i >= 0 and tried < 6:
-            x = lengths[i]
+        i = bisect_right(lengths, total, 0, i)
+        while i and reach[i] >> total & 1:
             i -= 1
-            if counts.get(x, 0) - used.get(x, 0) > 0:
-                fits, tried = True, tried + 1
-                grow((*chosen, x), room - x, {**used, x: used.get(x, 0) + 1}, x)
-        if not fits and not any(x <= room and counts.get(x, 0) > used.get(x, 0) for x in lengths[:1]):
-            found.append((room, chosen))
-
-    grow((largest,), capacity - largest, {largest: 1}, largest)
-    found.sort(key=lambda f: (f[0], tuple(-x for x in f[1])))
-    return list(dict.fromkeys(f for _, f in found))[:most]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, work: int = WORK, width: int = FILLINGS) -> Plan:
-    """Fillings that hold every piece, in as few bins as the search finds."""
+            x = lengths[i]
+            for k in range(min(left[x], total // x), 0, -1):
+                if reach[i] >> total - k * x & 1:
+                    for tail in exact(i, total - k * x):
+                        yield (x,) * k + tail
+
+    for waste in range(min(room, room if slack is None else slack) + 1):
+        if reach[-1] >> room - waste & 1:
+            for rest in exact(len(lengths), room - waste):
+                gone = sum(1 << x for x in set(rest) if rest.count(x) == left[x])
+                if not dominated(rest, waste, spare & ~gone):
+                    yield waste, (largest, *rest)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+    """Fillings that hold every piece, in as few bins as the search finds.
+
+    Branches are tried by limited discrepancy: wave d holds the branches that leave the first
+    choice by d places in all, so a poor choice high up is met early. A filling is applied as often
+    as the counts (and the waste allowed) let it, later also once only, so that a search that ends
+    before its ``nodes`` are used up has seen every packing that could need fewer bins.
+    """
     counts = {k: v for k, v in counts.items() if v > 0}
     best = best_fit_decreasing(counts, capacity)
     best_bins = sum(n for _, n in best)
     total = sum(k * v for k, v in counts.items())
-    bound = -(-total // capacity)
-    spent = 0
-    # (bins so far, waste so far, counts, plan); the last is looked at first: depth first, least waste first
-    stack: list[tuple[int, int, dict[int, int], Plan]] = [(0, 0, counts, [])]
-    while stack and best_bins > bound and spent < work:
-        bins, waste, left, plan = stack.pop()
-        spent += 1 + len(left)
-        if waste > (best_bins - 1) * capacity - total:
-            continue
-        if not left:
-            best, best_bins = plan, bins
-            continue
-        rest = best_fit_decreasing(left, capacity)
-        if bins + sum(n for _, n in rest) < best_bins:
-            best, best_bins = plan + rest, bins + sum(n for _, n in rest)
-        lengths = sorted(left)
-        for f in reversed(fillings(lengths[-1], left, lengths, capacity, width)):
-            need: dict[int, int] = defaultdict(int)
+    bound = lower_bound(counts, capacity) if counts else 0
+    wave, cut = 0, True
+    while cut and nodes > 0 and best_bins > bound:
+        cut = False
+        left, path, bins, waste = dict(counts), [], 0, 0
+        frames: list[list[tuple[int, tuple[int, ...], int, int]]] = []      # moves yet to try, the next one last
+        allowance = wave
+        while nodes > 0 and best_bins > bound:
+            nodes -= 1
+            moves: list[tuple[int, tuple[int, ...], int, int]] = []
+            slack = (best_bins - 1) * capacity - total - waste
+            if not left:
+                if bins < best_bins:
+                    best, best_bins = [(f, t) for _, f, t, _ in path], bins
+            elif slack >= 0 and bins + lower_bound(left, capacity) < best_bins:
+                if len(path) % TRY_BEST_FIT == 0:
+                    rest = best_fit_decreasing(left, capacity)
+                    if bins + sum(n for _, n in rest) < best_bins:
+                        best, best_bins = [(f, t) for _, f, t, _ in path] + rest, bins + sum(n for _, n in rest)
+                largest = max(left)
+
+                def options() -> Iterator[tuple[int, tuple[int, ...], int]]:
+                    for once in (False, True):
+                        for w, f in fillings(largest, left, capacity, slack):
+                            times = min(left[x] // f.count(x) for x in set(f))
+                            times = min(times, slack // w) if w else times
+                            if not once or times > 1:
+                                yield w, f, 1 if once else times
+                choices = options()
+                for i, (w, f, t) in enumerate(islice(choices, allowance + 1)):
+                    moves.append((w, f, t, allowance - i))
+                cut = cut or next(choices, None) is not None
+            frames.append(moves)
+            while frames and not frames[-1]:
+                frames.pop()
+                if path:
+                    w, f, t, _ = path.pop()
+                    bins, waste = bins - t, waste - w * t
+                    for x in f:
+                        left[x] = left.get(x, 0) + t
+            if not frames:
+                break
+            w, f, t, allowance = frames[-1].pop()
+            path.append((w, f, t, allowance))
+            bins, waste = bins + t, waste + w * t
             for x in f:
-                need[x] += 1
-            times = min(left[x] // k for x, k in need.items())
-            after = {x: v - need.get(x, 0) * times for x, v in left.items() if v > need.get(x, 0) * times}
-            stack.append((bins + times, waste + times * (capacity - sum(f)), after, [*plan, (f, times)]))
+                left[x] -= t
+                if not left[x]:
+                    del left[x]
+        wave += 1
     return best
 
 
@@ -299,6 +394,18 @@ def pack(docs: DataFrame, columns: list[str], path: str | None = None, capacity:
     return place(cut, columns, capacity)
 
 
+def sequences(packed: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The training sequences of pieces packed with their ids: sequence_id, length, the ids (little-endian
+    unsigned 32-bit), and for each of its documents in turn the value of ``column`` and where it begins.
+
+    A sequence holds ``capacity`` ids at most, so no group is larger than that; sequence numbers spread evenly.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", F.col(f"`{column}`").alias("owner"), "ids")))
+    return (packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("parts"))
+            .select("sequence_id", "length", F.col("parts.owner").alias("owners"), F.col("parts.offset").alias("offsets"),
+                    F.aggregate("parts.ids", F.expr("X''"), lambda a, x: F.concat(a, x)).alias("ids")))
+
+
 def op9_best_fit_packing(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row a piece with the contract's columns."""
     return pack(docs, ["doc_id"], path).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,7 +1,8 @@
 """Chat collapse, packing, near-dedup and the pipeline against SQL or brute force."""
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -111,6 +112,88 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in packing.bin_completion(counts, 100)) <= greedy
 
 
+def exhaustive(items, capacity):
+    """Fewest bins, by trying every place of every piece."""
+    items = sorted(items, reverse=True)
+
+    def go(i, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if i == len(items):
+            return len(rooms)
+        for k in range(len(rooms)):
+            if rooms[k] >= items[i] and rooms[k] not in rooms[:k]:
+                best = go(i + 1, rooms[:k] + [rooms[k] - items[i]] + rooms[k + 1:], best)
+        return go(i + 1, [*rooms, capacity - items[i]], best)
+    return go(0, [], len(items) + 1)
+
+
+def test_bin_completion_is_optimal_on_small_tables():
+    better = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        capacity = rng.choice([20, 30, 60])
+        counts = Counter(rng.randint(2, capacity // 2 + 3) for _ in range(rng.randint(3, 12)))
+        best = exhaustive(list(counts.elements()), capacity)
+        assert packing.lower_bound(counts, capacity) <= best
+        assert sum(n for _, n in packing.bin_completion(counts, capacity)) == best
+        better += best < sum(n for _, n in packing.best_fit_decreasing(counts, capacity))
+    assert better
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bin_completion_beats_best_fit_on_large_tables(seed):
+    rng = random.Random(seed)
+    counts = Counter(rng.randint(900, 2600) for _ in range(3000))
+    plan = packing.bin_completion(counts)
+    used = Counter()
+    for filling, times in plan:
+        assert sum(filling) <= packing.CAPACITY
+        for x in filling:
+            used[x] += times
+    assert used == counts
+    assert sum(n for _, n in plan) < sum(n for _, n in packing.best_fit_decreasing(counts, packing.CAPACITY))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_the_undominated_ones(seed):
+    """Against all sets of pieces: a set is dominated if swapping some of it for one larger spare piece, or for an
+    equal one in place of several, still fits."""
+    rng = random.Random(seed)
+    capacity = rng.choice([12, 20, 31])
+    counts = Counter(rng.randint(1, capacity * 2 // 3) for _ in range(rng.randint(1, 9)))
+    largest = max(counts)
+    others = sorted((counts - Counter([largest])).elements(), reverse=True)
+    room, want = capacity - largest, set()
+    for r in range(len(others) + 1):
+        for rest in set(combinations(others, r)):
+            waste = room - sum(rest)
+            if waste < 0:
+                continue
+            spare = set((Counter(others) - Counter(rest)))
+            swaps = [s for k in range(r + 1) for s in set(combinations(rest, k))]
+            if not any(sum(s) <= y <= sum(s) + waste and (y > sum(s) or len(s) > 1) for s in swaps for y in spare):
+                want.add((waste, (largest, *rest)))
+    got = list(packing.fillings(largest, counts, capacity))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [w for w, _ in got] == sorted(w for w, _ in got)
+
+
+def test_sequences(spark):
+    docs = odd_docs(spark)
+    packed = packing.pack(docs, ["doc_id"], keep_ids=True)
+    by = defaultdict(list)
+    for r in packed.collect():
+        by[r["sequence_id"]].append((r["offset"], r["doc_id"], bytes(r["ids"])))
+    got = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}
+    assert set(got) == set(by)
+    for s, parts in by.items():
+        parts.sort(key=lambda p: p[0])
+        assert bytes(got[s]["ids"]) == b"".join(p[2] for p in parts) and 4 * got[s]["length"] == len(got[s]["ids"])
+        assert got[s]["offsets"] == [p[0] for p in parts] and got[s]["owners"] == [p[1] for p in parts]
+    assert packing.sequences(packing.pack(empty(docs), ["doc_id"], keep_ids=True)).isEmpty()
+
+
 def brute_components(texts, n=4, percent=80):
     sets = {}
     for i, t in texts:
@@ -256,6 +339,10 @@ def test_pipeline(spark):
     assert {r["doc_id"]: r["n"] for r in [{"doc_id": i, "n": len(packing.encode([(t or "").encode()], packing.tokenizer_path())[0]) // 4} for i, t in masked.items()]} == {
         i: sum(r["length"] for r in got if r["doc_id"] == i) for i in left}
     check_packing(got, 4096)
+    for r in got:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+    joined = {i: b"".join(bytes(r["ids"]) for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] == i) for i in left}
+    assert joined == {i: packing.encode([(t or "").encode()], packing.tokenizer_path())[0] for i, t in masked.items()}
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_scan", "best_fit_packing"]
 
 
