@@ -32,8 +32,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of at most 4096 tokens."""
-    return packing.op9_best_fit_packing(docs)
+    """Pieces of all documents with their token ids and places in sequences of at most 4096 tokens.
+
+    ``packing.sequences`` makes training sequences of the rows.
+    """
+    return packing.pack(docs, ["doc_id"], keep_ids=True)
 
 
 STAGES = [
