@@ -11,7 +11,7 @@ often each is used:
   counts allow, and a branch is pruned when its waste so far exceeds what a better solution than
   the incumbent may have, or when the lower bound of what is left says so. Best fit completes
   branches on the way down. The search ends when the incumbent meets the lower bound, when no
-  branch is left or when ``NODES`` nodes are used up; the incumbent is then the plan.
+  branch is left or when ``NODES`` nodes and fillings are used up; the incumbent is then the plan.
 
 Each piece then finds its place from its rank among the pieces of its length. Ranks are counted
 inside the tokenising tasks and offset by task totals, so a length that a third of all pieces
@@ -25,7 +25,6 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,8 @@ from .common import small_batches, texts, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Nodes of the branch and bound, whatever the number of lengths; beyond them the incumbent stands.
+#: Nodes of the branch and bound and fillings looked at there, whatever the number of lengths; beyond
+#: them the incumbent stands.
 #: Every TRY_BEST_FIT levels best fit completes a branch, which may be a better incumbent.
 NODES, TRY_BEST_FIT = 4_000, 16
 TOKENIZER = "word_bpe_49k.json"
@@ -239,9 +239,9 @@ def dominated(rest: tuple[int, ...], waste: int, spare: int) -> bool:
     return bool(spare & swaps)
 
 
-def fillings(largest: int, counts: dict[int, int], capacity: int, slack: int | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(waste, filling) of every undominated filling of a bin around ``largest`` that wastes
-    ``slack`` at most, least waste first, of equal waste those with longer pieces first.
+def candidates(largest: int, counts: dict[int, int], capacity: int, slack: int | None = None) -> Iterator[tuple[int, tuple[int, ...], bool]]:
+    """(waste, filling, whether it is undominated) of every filling of a bin around ``largest`` that
+    wastes ``slack`` at most, least waste first, of equal waste those with longer pieces first.
 
     The sums that the shorter lengths can make are known beforehand, so every step of the
     enumeration ends in a filling.
@@ -269,8 +269,12 @@ def fillings(largest: int, counts: dict[int, int], capacity: int, slack: int | N
         if reach[-1] >> room - waste & 1:
             for rest in exact(len(lengths), room - waste):
                 gone = sum(1 << x for x in set(rest) if rest.count(x) == left[x])
-                if not dominated(rest, waste, spare & ~gone):
-                    yield waste, (largest, *rest)
+                yield waste, (largest, *rest), not dominated(rest, waste, spare & ~gone)
+
+
+def fillings(largest: int, counts: dict[int, int], capacity: int, slack: int | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """The undominated ones of ``candidates``."""
+    return ((waste, f) for waste, f, good in candidates(largest, counts, capacity, slack) if good)
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
@@ -306,17 +310,20 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                         best, best_bins = [(f, t) for _, f, t, _ in path] + rest, bins + sum(n for _, n in rest)
                 largest = max(left)
 
-                def options() -> Iterator[tuple[int, tuple[int, ...], int]]:
-                    for once in (False, True):
-                        for w, f in fillings(largest, left, capacity, slack):
-                            times = min(left[x] // f.count(x) for x in set(f))
-                            times = min(times, slack // w) if w else times
-                            if not once or times > 1:
-                                yield w, f, 1 if once else times
-                choices = options()
-                for i, (w, f, t) in enumerate(islice(choices, allowance + 1)):
-                    moves.append((w, f, t, allowance - i))
-                cut = cut or next(choices, None) is not None
+                full = False
+                for once in (False, True):
+                    for w, f, good in candidates(largest, left, capacity, slack):
+                        nodes -= 1
+                        times = min(left[x] // f.count(x) for x in set(f))
+                        times = min(times, slack // w) if w else times
+                        if good and (not once or times > 1):
+                            moves.append((w, f, 1 if once else times, allowance - len(moves)))
+                        full = len(moves) > allowance or nodes <= 0
+                        if full:
+                            break
+                    if full:
+                        break
+                cut = cut or full
             frames.append(moves)
             while frames and not frames[-1]:
                 frames.pop()
