@@ -132,7 +132,9 @@ def predict(docs: DataFrame, models: dict[str, np.ndarray], path: str, columns:
     """``columns`` of docs with lang_pred and score (the posterior under equal priors).
 
     Text without a letter (or null) is ``und`` with score 0, and so is every text if no language
-    was learned. Equal likelihoods go to the language first in the alphabet.
+    was learned. Equal likelihoods go to the language first in the alphabet. Repeated rows are
+    predicted each, very long texts and words whole; an empty table gives no rows. A column of docs
+    named like an added one must not be among ``columns``; others are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -4,7 +4,9 @@ A word is its UTF-8 bytes behind a word mark; its arcs are the vocabulary's piec
 byte, the byte piece, so any text has a segmentation. Pieces do not reach across words, so the
 marginal probability of a text is the product of its words'. The forward recursion runs in log
 space and over many words of one length at once; one call can weigh the same arcs by several
-models (rows of ``logp``).
+models (rows of ``logp``). A word over ``BATCH_LENGTH`` bytes is walked alone, block by block:
+of its alphas only those that the longest piece reaches back to are kept (for counts all of them,
+a number a byte), of its arcs those of one block.
 """
 from __future__ import annotations
 
@@ -14,8 +16,10 @@ from .shingles import U, stream
 
 MARK = b" "
 VOCABULARY = "piece_bpe_32k.model"
-#: Longer words (in bytes) are walked arc by arc instead of in batches by length.
+#: Longer words (in bytes) are walked alone instead of in batches by length.
 BATCH_LENGTH = 40
+#: Weights of arcs that a long word's block holds.
+BLOCK_WEIGHTS = 1 << 20
 #: Words of one length handled at once.
 BATCH_WORDS = 8192
 
@@ -61,6 +65,9 @@ class Pieces:
         for n, rows in sorted(by_length.items()):
             rows.sort()
             self.tables[n] = (np.array([r[0] for r in rows], U), np.array([r[1] for r in rows], np.int64))
+        #: Lengths of the kinds of arcs: the byte pieces, then the tables.
+        self.lengths = np.array([1, *self.tables], np.int64)
+        self.reach = int(self.lengths.max())
 
     @staticmethod
     def _hash(raw: bytes) -> int:
@@ -86,6 +93,17 @@ class Pieces:
         return out
 
 
+    def starting(self, row: np.ndarray) -> np.ndarray:
+        """Ids (or -1) of the arcs from each position of one word, by kind; they end inside the row."""
+        out = np.full((len(row), len(self.lengths)), -1, np.int64)
+        out[:, 0] = self.byte[row]
+        found = self.arcs(row[None])
+        for j, n in enumerate(self.tables, 1):
+            if n in found:
+                out[:len(row) - n + 1, j] = found[n][0]
+        return out
+
+
 def _groups(words: list[bytes]):
     """(word numbers, matrix of their marked bytes) of words of one length, in bounded batches."""
     if not words:
@@ -95,7 +113,7 @@ def _groups(words: list[bytes]):
     edges = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0, True])
     for a, z in zip(edges[:-1], edges[1:], strict=True):
         n = int(length[order[a]]) + 1
-        step = BATCH_WORDS if n <= BATCH_LENGTH else 1
+        step = BATCH_WORDS if n <= BATCH_LENGTH else 1      # a long word comes alone
         for i in range(a, z, step):
             numbers = order[i:min(z, i + step)]
             raw = b"".join(MARK + words[k] for k in numbers)
@@ -125,11 +143,60 @@ def _forward(pieces: Pieces, rows: np.ndarray, logp: np.ndarray):
     return alpha, arcs
 
 
+def _weights(ids: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    out = logp[ids]
+    out[ids < 0] = -np.inf
+    return out
+
+
+def _long_forward(pieces: Pieces, row: np.ndarray, logp: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
+    """alpha (models) at the end of one word; ``every`` takes that of the first model at each position."""
+    reach, kinds = pieces.reach, len(pieces.lengths)
+    step = max(reach, BLOCK_WEIGHTS // (kinds * logp.shape[1]))
+    slots = (np.arange(reach)[:, None] - pieces.lengths) % reach
+    ring = np.full((reach, logp.shape[1]), -np.inf)         # alpha of position t in row t % reach
+    ring[0] = 0.0
+    for a in range(0, len(row), step):
+        z, low = min(len(row), a + step), max(0, a - reach)
+        start, ids = pieces.starting(row[low:z]), np.full((z - a, kinds), -1, np.int64)
+        for j, n in enumerate(pieces.lengths.tolist()):     # by the arcs' ends: positions a + 1 to z
+            first = max(0, n - 1 - (a - low))
+            ids[first:, j] = start[a - low + 1 - n + first:z - low + 1 - n, j] if first < z - a else -1
+        for t, w in enumerate(_weights(ids, logp), a + 1):
+            ring[t % reach] = np.logaddexp.reduce(ring[slots[t % reach]] + w, axis=0)
+            if every is not None:
+                every[t] = ring[t % reach, 0]
+    return ring[len(row) % reach]
+
+
+def _long_counts(pieces: Pieces, row: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Expected piece counts of one word: the forward numbers first, then backward block by block."""
+    reach, kinds, size = pieces.reach, len(pieces.lengths), len(row)
+    alpha = np.zeros(size + 1)
+    total = _long_forward(pieces, row, logp, alpha)[0]
+    step = max(reach, BLOCK_WEIGHTS // kinds)
+    slots = (np.arange(reach)[:, None] + pieces.lengths) % reach
+    ring = np.full(reach, -np.inf)                          # beta of position s in entry s % reach
+    ring[size % reach] = 0.0
+    out = np.zeros(len(logp))
+    for z in range(size, 0, -step):
+        a = max(0, z - step)
+        ids = pieces.starting(row[a:min(size, z + reach)])[:z - a]
+        through = _weights(ids, logp[:, 0])
+        for s in range(z - 1, a - 1, -1):
+            through[s - a] += ring[slots[s % reach]]
+            ring[s % reach] = np.logaddexp.reduce(through[s - a])
+        p = np.exp(alpha[a:z, None] + through - total)
+        out += np.bincount(ids[ids >= 0], p[ids >= 0], len(logp))
+    return out
+
+
 def log_marginals(pieces: Pieces, words: list[bytes], logp: np.ndarray) -> np.ndarray:
     """Natural-log probability of each word (words x models); logp: pieces x models."""
     out = np.zeros((len(words), logp.shape[1]))
     for numbers, rows in _groups(words):
-        out[numbers] = _forward(pieces, rows, logp)[0][-1]
+        long = rows.shape[1] > BATCH_LENGTH
+        out[numbers] = _long_forward(pieces, rows[0], logp) if long else _forward(pieces, rows, logp)[0][-1]
     return out
 
 
@@ -137,6 +204,9 @@ def expected_counts(pieces: Pieces, words: list[bytes], weights: np.ndarray, log
     """Expected piece counts (pieces x columns of weights) under one model; weights: words x columns."""
     out = np.zeros((len(logp), weights.shape[1]))
     for numbers, rows in _groups(words):
+        if rows.shape[1] > BATCH_LENGTH:
+            out += _long_counts(pieces, rows[0], logp)[:, None] * weights[numbers[0]]
+            continue
         alpha, arcs = _forward(pieces, rows, logp)
         beta = np.full(alpha.shape, -np.inf)
         beta[-1] = 0.0

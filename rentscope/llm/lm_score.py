@@ -180,7 +180,8 @@ def score(docs: DataFrame, path: str | None = None, chunk_bytes: int = CHUNK_BYT
 
     Null or empty text is the end symbol alone. A null doc_id is held out. Repeated rows are scored
     each, and each counts in training. An empty table gives no rows; without training texts the
-    model is the start weights.
+    model is the start weights. Very long texts are scored whole, and so is a very long word, block by
+    block; other columns are not looked at, whatever their names.
     """
     path = path or vocabulary_path()
     lists = written(word_lists(docs, chunk_bytes), "word-lists")

@@ -1,5 +1,6 @@
 """Classifier, language model, rules, language ID: brute force and held-out accuracy."""
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -54,6 +55,31 @@ def test_lattice(pieces):
     assert abs((moved - base) / 1e-6 - e[i]) < 1e-3
 
 
+@pytest.mark.parametrize("block", [1, lattice.BLOCK_WEIGHTS])
+def test_long_words_block_by_block(pieces, monkeypatch, block):
+    """Words walked alone against all arcs of the whole word at once, with blocks of the least size too."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 105, n, dtype=np.uint8)) for n in (40, 41, 64, 333)] + ["größe漢字".encode() * 9, b"international" * 20, b"a" * 90]
+    logp = np.log(np.c_[pieces.start, rng.dirichlet(np.ones(pieces.size))] + 1e-12)
+    weights = rng.random((len(words), 2))
+    monkeypatch.setattr(lattice, "BLOCK_WEIGHTS", block)
+    scores, counts = lattice.log_marginals(pieces, words, logp), lattice.expected_counts(pieces, words, weights, logp[:, :1])
+    monkeypatch.setattr(lattice, "BATCH_LENGTH", 1 << 30)
+    assert np.allclose(scores, lattice.log_marginals(pieces, words, logp), rtol=1e-12)
+    assert np.allclose(counts, lattice.expected_counts(pieces, words, weights, logp[:, :1]), atol=1e-9)
+
+
+def test_very_long_word(pieces):
+    """A word of 100 KB: a few bytes of memory a byte of it, not one arc list a byte."""
+    word = bytes(np.random.default_rng(6).integers(97, 123, 100_000, dtype=np.uint8))
+    logp = np.log(np.maximum(pieces.start, 1e-300))[:, None]
+    tracemalloc.start()
+    counts = lattice.expected_counts(pieces, [word], np.ones((1, 1)), logp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 100_000 / pieces.reach < counts.sum() <= 100_001 and peak < 100e6
+
+
 def test_op5(spark, pieces):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(odd_docs(spark))
     data = docs.select("doc_id", "text").collect()
