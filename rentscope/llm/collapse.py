@@ -81,7 +81,8 @@ def op8_chat_collapse(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_copies, rendered: the maximal conversations, PART_TURNS turns a row.
 
     Of equal conversations the smallest conv_id stays (a null id only if all are null);
-    rows with a null conv_id are one conversation. An empty table gives no rows.
+    rows with a null conv_id are one conversation. An empty table gives no rows. Other columns are
+    not looked at, whatever their names.
     """
     turns = written(prefixes(conversations), "prefixes")
     best = written(maximal(turns), "maximal")

@@ -271,7 +271,8 @@ def sketches(sets: DataFrame, sids: DataFrame) -> DataFrame:
 def clusters(docs: DataFrame, n: int = 4, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, row, n_shingles, sid, component_id, root of every row of docs.
 
-    component_id: smallest doc_id reachable (null ids are passed over). A row without words is its
+    component_id: smallest doc_id reachable (null ids are passed over). Very long texts enter with
+    their whole sets, an empty table gives no rows, other columns are not looked at. A row without words is its
     own component (root null). Repeated rows are one class. Where different texts repeat a doc_id,
     unlinked components may have the same component_id; their roots differ.
     """

@@ -170,6 +170,9 @@ def rejected(cutoffs: dict[int, float]) -> Column:
 def op6_quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row a document: base columns, base_failed, kept. Null or empty text fails the base.
 
+    Repeated rows each get their row and the same verdict; very long texts are read whole; an empty
+    table gives no rows, and without labels only the base rules reject. Other columns are not looked at.
+
     The statistics are taken once and written; the labels meet them, not the texts.
     """
     stats = written(with_statistics(docs, ["doc_id"]), "statistics")

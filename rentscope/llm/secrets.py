@@ -165,7 +165,8 @@ def op2_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OW
     spans hold live-looking values or widely copied examples.
 
     Null or empty text has no spans. Repeated rows each get their row. Spans are ordered by start,
-    then kind as listed (live last).
+    then kind as listed (live last). Very long texts are searched whole, an empty table gives no rows,
+    and other columns are not looked at, whatever their names.
     """
     found = written(scan(docs, list(dict.fromkeys(["doc_id", owner]))), "secrets")
     owners = written(ownership(found, owner, max_owners), "secret-owners")

@@ -37,7 +37,8 @@ def records(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload. Among equal payloads of MIN_PAYLOAD bytes or more the smallest
     page_id is the response (each of its rows, if it repeats) and the others revisit it; a null
-    page_id revisits, or is a response where no other id has the payload.
+    page_id revisits, or is a response where no other id has the payload. An empty table gives no
+    rows; other columns are not looked at, whatever their names.
     """
     html = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"),
