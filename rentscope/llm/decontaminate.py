@@ -4,25 +4,31 @@ Patterns are the benchmark's word windows (13 words; a shorter item is one
 window). All windows of one length form one Wu-Manber table: a block of two
 words (one for one-word windows) indexes SHIFT, the number of words that can be
 skipped because no window can end there; shift 0 leads to the bucket of windows
-with that last block, and a first-word check and a direct comparison confirm.
+with that last block, and a first-word check and a direct comparison confirm. Tables are flat
+arrays, so their size is a small multiple of the benchmark's.
 
 The benchmark is read in blocks of bounded bytes, each compiled once and
 broadcast; documents are mapped through the blocks in a chain of narrow stages,
-so neither a long benchmark nor a hot source needs a shuffle.
+so neither a long benchmark nor a hot source needs a shuffle. After ``HELD_BYTES``
+of benchmark the result so far is written, so a worker holds no more tables than that.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, texts
+from .common import map_batches, small_batches, texts, written
 
 WINDOW = 13
 #: Bytes of benchmark text compiled and broadcast at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text whose tables a worker holds at once.
+HELD_BYTES = 32 << 20
 
 #: Maps a UTF-8 byte to itself if it belongs to a word (A-Z lower-cased), else to a space.
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80)
@@ -35,52 +41,86 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """One table for windows of m words."""
+    """One table for windows of m words, in flat arrays (some 60 bytes a benchmark word).
 
-    def __init__(self, m: int, windows: dict[tuple, set]):
+    SHIFT is a byte for each value of a block's hash; blocks that share one take the smaller skip, so
+    a skip never passes an occurrence. A window's bucket is keyed by the hashes of its last block
+    and of its first word; equal windows of a bucket are one entry with all its items.
+    """
+
+    def __init__(self, m: int, items: list[tuple[object, list[bytes]]]):
         self.m, self.b = m, min(2, m)
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for w, items in windows.items():
-            for end in range(self.b, m + 1):
-                block = w[end - self.b:end] if self.b == 2 else w[end - 1]
-                skip = m - end
-                if skip < self.shift.get(block, m):
-                    self.shift[block] = skip
-            last = w[m - self.b:] if self.b == 2 else w[m - 1]
-            self.bucket.setdefault(last, {}).setdefault(w[0], []).append((w, items))
-        self.default = m - self.b + 1
+        self.ids = [i for i, _ in items]
+        words = [w for _, ws in items for w in ws]
+        size = np.array([len(ws) for _, ws in items], np.int64)
+        self.text = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        begins = np.r_[0, ends[:-1] + 1]
+        one = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        # crc32 of a word after its predecessor; at an item's first word it is not used
+        block = one if self.b == 1 else np.fromiter(map(zlib.crc32, words, [0, *one[:-1].tolist()]), np.uint32, len(words))
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        start = np.concatenate([np.arange(f, f + n - m + 1) for f, n in zip(first.tolist(), size.tolist(), strict=True)])
+        self.mask = (1 << (16 * len(words)).bit_length()) - 1
+        self.default = min(255, m - self.b + 1)
+        shift = np.full(self.mask + 1, self.default, np.uint8)
+        for end in range(self.b, m + 1):                    # falling skips, so the least is written last
+            shift[block[start + end - 1] & self.mask] = min(self.default, m - end)
+        self.shift = shift.tobytes()
+        key = block[start + m - 1].astype(np.uint64) << np.uint64(32) | one[start]
+        owner = np.repeat(np.arange(len(items)), size - m + 1)
+        lo, hi = begins[start].astype(np.uint32), ends[start + m - 1].astype(np.uint32)
+        order = self._by_text(key, lo, hi)
+        same = np.r_[False, key[order[1:]] == key[order[:-1]]]
+        for k in np.flatnonzero(same).tolist():
+            i, j = order[k - 1], order[k]
+            same[k] = self._window(lo[i], hi[i]) == self._window(lo[j], hi[j])
+        heads = order[~same]
+        self.key, self.lo, self.hi = key[heads], lo[heads], hi[heads]
+        self.owner, self.owners = owner[order].astype(np.int32), np.r_[np.flatnonzero(~same), len(order)]
+
+    def _window(self, lo: int, hi: int) -> bytes:
+        return self.text[lo:hi]
+
+    def _by_text(self, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Order by key and, among equal keys, by the window's text."""
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
+        for a in np.flatnonzero(np.diff(edges) > 1).tolist():
+            group = order[edges[a]:edges[a + 1]]
+            order[edges[a]:edges[a + 1]] = sorted(group.tolist(), key=lambda i: self._window(lo[i], hi[i]))
+        return order
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
         """(first word of the occurrence, items) from left to right."""
-        m, shift, default = self.m, self.shift, self.default
+        m, shift, mask, crc = self.m, self.shift, self.mask, zlib.crc32
         i, n = m, len(words)
-        get = shift.get
         while i <= n:
-            block = (words[i - 2], words[i - 1]) if self.b == 2 else words[i - 1]
-            s = get(block, default)
+            block = crc(words[i - 1], crc(words[i - 2])) if self.b == 2 else crc(words[i - 1])
+            s = shift[block & mask]
             if s:
                 i += s
                 continue
             at = i - m
-            same = self.bucket[block].get(words[at])
-            if same:
-                here = tuple(words[at:i])
-                for w, items in same:
-                    if w == here:
-                        yield at, items
+            key = np.uint64(block << 32 | crc(words[at]))
+            k = int(np.searchsorted(self.key, key))
+            if k < len(self.key) and self.key[k] == key:
+                here = b" ".join(words[at:i])
+                while k < len(self.key) and self.key[k] == key:
+                    if self._window(self.lo[k], self.hi[k]) == here:
+                        yield at, {self.ids[o] for o in set(self.owner[self.owners[k]:self.owners[k + 1]].tolist())}
+                        break
+                    k += 1
             i += 1
 
 
 def compile_windows(items: list[tuple], window: int = WINDOW) -> list[WuManber]:
     """Tables of (id, text bytes) items, one for each window length that occurs."""
-    by_length: dict[int, dict[tuple, set]] = {}
+    by_length: dict[int, list[tuple[object, list[bytes]]]] = {}
     for item, text in items:
         w = words_of(text)
-        m = min(window, len(w))
-        if m:
-            for i in range(len(w) - m + 1):
-                by_length.setdefault(m, {}).setdefault(tuple(w[i:i + m]), set()).add(item)
+        if w:
+            by_length.setdefault(min(window, len(w)), []).append((item, w))
     return [WuManber(m, by_length[m]) for m in sorted(by_length)]
 
 
@@ -109,7 +149,7 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                 block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, held_bytes: int = HELD_BYTES) -> DataFrame:
     """Columns ``keep`` of docs (default: all) and n_words, hit_spans (merged word ranges, end
     exclusive), hit_items (ids as sorted strings).
 
@@ -128,9 +168,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     blocks = _blocks(benchmark.select("item_id", "text"), block_bytes)
     first = next(blocks, [])
     schema = out.schema
-    todo = [first]
+    todo, held, size = [first], [], 0
     while todo:
-        tables = spark.sparkContext.broadcast(compile_windows(todo.pop(), window))
+        block = todo.pop()
+        size += sum(len(t) for _, t in block)
+        tables = spark.sparkContext.broadcast(compile_windows(block, window))   # bounded by block_bytes and one item
+        held.append(tables)
 
         def scan(b: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
             n_words, all_spans, all_items = [], [], []
@@ -151,6 +194,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         more = next(blocks, None)
         if more is not None:
             todo.append(more)
+            if size >= held_bytes:
+                out = written(out, "decontaminate")
+                for t in held:
+                    t.unpersist()
+                held, size = [], 0
     return out.select(*kept, F.col("_words").alias("n_words"), F.col("_spans").alias("hit_spans"), F.col("_items").alias("hit_items"))
 
 

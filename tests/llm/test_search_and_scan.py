@@ -1,5 +1,6 @@
 """Decontamination, secrets and WARC against SQL or brute force."""
 import hashlib
+import pickle
 import random
 import re
 
@@ -33,8 +34,8 @@ def test_op1_sql(spark):
     same_as_sql(spark, entry.op1_decontaminate(spark, SF), entry.oracle_sql()["op1_decontaminate"])
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_op1_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "held_bytes"), [(1 << 20, 1 << 20), (40, 1 << 20), (40, 150)])
+def test_op1_brute_force(spark, block_bytes, held_bytes):
     """Overlapping and repeating windows, items of every length, several benchmark blocks."""
     rng = random.Random(3)
     word = lambda: rng.choice("aa b Cc dé 漢 7 e-f".split())
@@ -43,11 +44,30 @@ def test_op1_brute_force(spark, block_bytes):
     docs += [(100 + i, "x y " + t + " z") for i, t in items if t and i is not None] + [(200, None), (200, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, BENCH)
-    got = D.verdicts(D.find_windows(d, b, block_bytes=block_bytes))
+    got = D.verdicts(D.find_windows(d, b, block_bytes=block_bytes, held_bytes=held_bytes))
     want = sorted(((i, *brute_hits(t, items)) for i, t in docs), key=repr)
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == want
 
 
+def test_op1_tables(monkeypatch):
+    """Colliding hashes give the same occurrences; the tables are a small multiple of the benchmark."""
+    rng = random.Random(4)
+    items = [(i, [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(5, 30))]) for i in range(60)]
+    text = [rng.choice([b"a", b"b", b"c"]) for _ in range(3000)]
+    for m in (1, 2, 5):
+        want = []
+        for at in range(len(text) - m + 1):
+            ids = {i for i, w in items if any(w[p:p + m] == text[at:at + m] for p in range(len(w) - m + 1))}
+            want += [(at, ids)] * bool(ids)
+        assert list(D.WuManber(m, items).search(text)) == want
+        with monkeypatch.context() as few:
+            few.setattr(D.zlib, "crc32", lambda w, h=0: (len(w) + h) % 2)
+            assert list(D.WuManber(m, items).search(text)) == want
+    long = [(i, b" ".join(b"w%d" % rng.randrange(10 ** 6) for _ in range(400))) for i in range(1000)]
+    size = sum(len(t) for _, t in long)
+    assert sum(len(pickle.dumps(t)) for t in D.compile_windows(long)) < 10 * size
+
+
 def test_op1_odd(spark):
     d = odd_docs(spark)
     b = spark.createDataFrame([(1, "same text here again same text here again same text here again same")], BENCH)
