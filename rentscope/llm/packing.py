@@ -107,10 +107,9 @@ def encode(batch: list[bytes], path: str) -> list[bytes]:
         known.clear()
     split = [(t if b"<|" in t else t.lower()).split() for t in batch]
     parts: dict[bytes, tuple[bytes, bytes]] = {}
-    for w in {w for words in split for w in words}:
-        if w not in known:
-            core = w.rstrip(_TAIL)
-            parts[w] = (core, w[len(core):]) if core and core[-1] in _ALNUM else (w, b"")
+    for w in set().union(*split).difference(known):
+        core = w.rstrip(_TAIL)
+        parts[w] = (core, w[len(core):]) if core and core[-1] in _ALNUM else (w, b"")
     new = {x for p in parts.values() for x in p if x and x not in known}
     _learn(sorted(new), known, worker["tok"], worker["ends"])
     for w, (core, tail) in parts.items():
